@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import decontaminate as _decontaminate, packing as _packing
+from stemma.llm import decontaminate as _decontaminate, neardup as _neardup, packing as _packing
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neardup.classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
+
+
 OP1_SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

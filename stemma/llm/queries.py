@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stemma.llm import decontaminate as _decontaminate, neardup as _neardup, packing as _packing
+from stemma.llm import decontaminate as _decontaminate, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,24 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = _quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged.select("doc_id", *_quality.BASE, "base_failed", "kept", "distance")
+
+
+def _fold(parts: int) -> Column:
+    """crc32 of the id as text, modulo parts; an id that is null is in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % parts, F.lit(0))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    held = _fold(4) == 2
+    model = _toxicity.train(docs.where(~held), labels.where(~held))
+    scored = _toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= _toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 OP1_SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

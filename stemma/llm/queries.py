@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stemma.llm import decontaminate as _decontaminate, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity
+from stemma.llm import decontaminate as _decontaminate, hosts as _hosts, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,47 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= _toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+RULES = [_hosts.Rule("block", "net", "/"), _hosts.Rule("allow", "example.net", "/en/"), _hosts.Rule("block", "example.com", "/de/"), _hosts.Rule("allow", "org", "/fr/")]
+
+
+def op10_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page outcomes are the labels of equal id: good if of quality and not toxic."""
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return _hosts.judge(pages, outcomes, RULES)
+
+
+OP10_SQL = r"""
+WITH p AS MATERIALIZED (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+o AS (SELECT doc_id AS page_id, min(CAST(quality = 1 AND toxic = 0 AS INT)) AS good FROM labels GROUP BY doc_id),
+h AS MATERIALIZED (
+  SELECT host, list_extract(string_split(host, '.'), -1) AS suffix, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS domain,
+    count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+t AS (SELECT (sum(good) + 1) / (sum(n) + 1) AS top FROM h),
+s0 AS MATERIALIZED (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT top FROM t) AS prior FROM h GROUP BY suffix),
+m0 AS (SELECT sum(n) AS n, sum(n * (good / n - prior) ** 2) AS between_, sum(prior * (1 - prior) * n) AS within_, count(*) AS k FROM s0 WHERE n > 1),
+f0 AS (SELECT CASE WHEN coalesce(n, 0) = 0 OR coalesce(within_, 0) = 0 THEN 10.0 WHEN between_ - within_ / n * k > 0 THEN least(1000.0, greatest(2.0, (within_ / n) / ((between_ - within_ / n * k) / greatest(n - k, 1)) - 1)) ELSE 1000.0 END AS s FROM m0),
+d0 AS MATERIALIZED (SELECT domain, sum(h.n) AS n, sum(h.good) AS good, any_value((s0.good + s * prior) / (s0.n + s)) AS prior FROM h JOIN s0 USING (suffix), f0 GROUP BY domain),
+m1 AS (SELECT sum(n) AS n, sum(n * (good / n - prior) ** 2) AS between_, sum(prior * (1 - prior) * n) AS within_, count(*) AS k FROM d0 WHERE n > 1),
+f1 AS (SELECT CASE WHEN coalesce(n, 0) = 0 OR coalesce(within_, 0) = 0 THEN 10.0 WHEN between_ - within_ / n * k > 0 THEN least(1000.0, greatest(2.0, (within_ / n) / ((between_ - within_ / n * k) / greatest(n - k, 1)) - 1)) ELSE 1000.0 END AS s FROM m1),
+h0 AS MATERIALIZED (SELECT host, h.n, h.good, (d0.good + s * prior) / (d0.n + s) AS prior FROM h JOIN d0 USING (domain), f1),
+m2 AS (SELECT sum(n) AS n, sum(n * (good / n - prior) ** 2) AS between_, sum(prior * (1 - prior) * n) AS within_, count(*) AS k FROM h0 WHERE n > 1),
+f2 AS (SELECT CASE WHEN coalesce(n, 0) = 0 OR coalesce(within_, 0) = 0 THEN 10.0 WHEN between_ - within_ / n * k > 0 THEN least(1000.0, greatest(2.0, (within_ / n) / ((between_ - within_ / n * k) / greatest(n - k, 1)) - 1)) ELSE 1000.0 END AS s FROM m2),
+r AS (SELECT host, good + s * prior AS a, n - good + s * (1 - prior) AS b FROM h0, f2),
+ru(rule, v, rh, rp) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+w AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
+  FROM (SELECT *, row_number() OVER () AS row_id FROM p) q LEFT JOIN ru ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, host, path, row_id)
+SELECT page_id, host, path, rule,
+  coalesce(v, CASE WHEN least(a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 1) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  round(a / (a + b), 6) AS reputation
+FROM w JOIN r USING (host)
+"""
+
+
 OP1_SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

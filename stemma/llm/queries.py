@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stemma.llm import decontaminate as _decontaminate, hosts as _hosts, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity
+from stemma.llm import decontaminate as _decontaminate, hosts as _hosts, licenses as _licenses, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.digest(_decontaminate.decontaminate(docs, bench))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

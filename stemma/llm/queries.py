@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stemma.llm import decontaminate as _decontaminate, hosts as _hosts, licenses as _licenses, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity
+from stemma.llm import decontaminate as _decontaminate, hosts as _hosts, licenses as _licenses, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity, warc as _warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,23 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT row_number() OVER () AS row_id, page_id, coalesce(html, '') AS html FROM pages),
+x AS (SELECT *, sha1(html) AS hex FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits FROM x),
+d AS (SELECT page_id, row_id, octet_length(encode(html)) AS size,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS INT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS INT), 1) AS INT) + 4 * CAST(substr(bits, CAST(5 * i + 3 AS INT), 1) AS INT)
+      + 2 * CAST(substr(bits, CAST(5 * i + 4 AS INT), 1) AS INT) + CAST(substr(bits, CAST(5 * i + 5 AS INT), 1) AS INT), 1)), '') AS digest FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page_id DESC NULLS LAST, row_id) AS nth, first_value(page_id) OVER (PARTITION BY digest ORDER BY page_id DESC NULLS LAST, row_id) AS best FROM d)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN best END AS refers_to FROM r
+"""
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
 

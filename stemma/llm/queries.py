@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stemma.llm import decontaminate as _decontaminate, hosts as _hosts, licenses as _licenses, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity, warc as _warc
+from stemma.llm import decontaminate as _decontaminate, hmm as _hmm, hosts as _hosts, licenses as _licenses, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity, warc as _warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def _fold(parts: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % parts, F.lit(0))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hmm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), _fold(5) == 1)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held = _fold(4) == 2

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stemma.llm import decontaminate as _decontaminate, hmm as _hmm, hosts as _hosts, licenses as _licenses, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity, warc as _warc
+from stemma.llm import decontaminate as _decontaminate, hmm as _hmm, hosts as _hosts, html as _html, licenses as _licenses, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity, warc as _warc
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 

@@ -66,19 +66,22 @@ def fuse(*candidates: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.sum("score").alias("score"), labels.alias("via"))
 
 
-def contained_names(texts: DataFrame, names: DataFrame, most: int) -> DataFrame:
-    """id, name, confidence of the ``most`` surest names contained in each text.
+def contained_names(texts: DataFrame, names: DataFrame, most: int, anchor: int = 4) -> DataFrame:
+    """id, name, confidence of the ``most`` surest names (of two characters or more) contained in each text.
 
-    texts: id, text; names: name, weight. Instead of testing all pairs, each substring of a length that names have is looked
-    up, so the join is on equality.
+    texts: id, text; names: name, weight. Instead of testing all pairs, every ``anchor`` characters of a text look up the
+    names that begin with them, and the rest of the name is compared in place; shorter names are looked up whole.
     """
-    lengths = [r[0] for r in names.select(F.length("name")).where("length(name) >= 2").distinct().collect()]  # distinct lengths
     low = texts.select("id", F.lower("text").alias("text"))
-    if not lengths:
-        return low.select("id", F.lit("").alias("name"), F.lit(0.0).alias("confidence")).limit(0)
-    cuts = low.withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths))))).where(F.length("text") >= F.col("n"))
-    cuts = cuts.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1))).select("id", F.length("text").alias("size"), F.substring("text", F.col("at"), F.col("n")).alias("name")).distinct()
-    found = cuts.join(names, "name").select("id", "name", (F.least(F.lit(1.0), F.length("name") / F.col("size")) * F.col("weight")).alias("confidence"))
+    own = names.where("length(name) >= 2")
+    found = None
+    for n in range(2, anchor + 1):
+        group = own.where(F.length("name") >= n if n == anchor else F.length("name") == n).withColumn("key", F.substring("name", 1, n))
+        at = low.where(F.length("text") >= n).select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - n + 1)).alias("at"))
+        keyed = at.select("id", F.length("text").alias("size"), F.substring("text", F.col("at"), F.lit(n)).alias("key"), F.substring("text", F.col("at"), F.lit(64)).alias("rest"))
+        hit = keyed.join(group, "key").where(F.col("rest").startswith(F.col("name"))).select("id", "size", "name", "weight")
+        found = hit if found is None else found.unionByName(hit)
+    found = found.distinct().select("id", "name", (F.least(F.lit(1.0), F.length("name") / F.col("size")) * F.col("weight")).alias("confidence"))
     order = W.partitionBy("id").orderBy(F.col("confidence").desc(), "name")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("id", "name", F.round("confidence", 6).alias("confidence"))
 

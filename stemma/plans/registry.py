@@ -8,9 +8,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.plans import retrieval
+from stemma.plans import retrieval, structure
 
-MODULES: list[ModuleType] = [retrieval]
+MODULES: list[ModuleType] = [retrieval, structure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

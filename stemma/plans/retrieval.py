@@ -174,11 +174,11 @@ SELECT doc_id, len(lines) - 1 AS n_lines, len(list_filter(lines[2:], lambda x: r
 
 def locate_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("slug"), F.col("p_name").alias("title"), F.col("p_partkey").alias("seq"))
-    needles = spark.createDataFrame([("part 1",), ("9",), ("steel",), ("nowhere",)], "needle string")
+    needles = spark.createDataFrame([("small",), ("ring",), ("econ",), ("nowhere",)], "needle string")
     return retrieve.located(part, needles)
 
 
-SQL["locate_tiered"] = """WITH n(needle) AS (VALUES ('part 1'), ('9'), ('steel'), ('nowhere')),
+SQL["locate_tiered"] = """WITH n(needle) AS (VALUES ('small'), ('ring'), ('econ'), ('nowhere')),
 h AS (SELECT needle, CASE WHEN starts_with(lower(p_name), needle) THEN 1 WHEN contains(lower(p_name), needle) THEN 2 ELSE 3 END AS tier, p_type AS slug, p_partkey AS seq FROM part JOIN n ON contains(lower(p_name), needle) OR contains(lower(p_type), needle))
 SELECT needle, tier::INT AS tier, slug FROM h QUALIFY row_number() OVER (PARTITION BY needle ORDER BY tier, seq, slug) = 1"""
 

@@ -1,17 +1,18 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text is a weighted set: its five-word shingles with their counts as weights (a text of one to four words is one
-shingle). Each shingle is a Poisson process whose rate is its weight; arrivals fall on uniformly random registers, a
+A text is a weighted set: its five-word shingles (a text of one to four words is one shingle), of weight 1 + log10 of their
+count, so that a line repeated many times counts for more but doesn't drown the rest. Each shingle is a Poisson process whose rate is its weight; arrivals fall on uniformly random registers, a
 register keeps the shingle that arrives first, and a process ends once its next arrival comes after the latest register.
 Two texts agree in a register with the probability Jaccard similarity of their weighted sets.
 
 Texts that differ only in the case of A-Z are one node, known by 64 bits of their hash. Registers are banded: texts of
 similarity 0.8 share no bucket with probability 1.5e-5, less above. Within a bucket, members are compared by one-bit
 sketches with leaders: the member nearest to the bucket's majority sketch first, then members that were near to fewer than
-three leaders and very near to none. So a bucket of n alike texts gives about 3 * n candidates, and only texts that are
-near to nothing are compared with each other; in buckets of up to eight members all near pairs are candidates.
-Candidates are verified on both whole texts: 0.8 or more of either the probability Jaccard or the plain Jaccard
-similarity of their shingles (equal where no shingle repeats). Verified links are closed to classes.
+two leaders and very near to none. A leader is paired with the near members that still lack one and with the two nearest
+others, so a bucket of n texts gives at most 4 * n candidates, and only texts that are near to nothing are compared with
+all; in buckets of up to eight members all near pairs are candidates.
+Candidates are verified on both whole texts: a Jaccard similarity of 0.8 or more of their sets of shingles, which equals the
+estimated one where no shingle repeats. Verified links are closed to classes.
 
 Scale: no group is collected into one row. Very near texts of the same input batch are linked before the shuffle and only
 their leader goes on, so a hot group of copies is reduced where it lies. A bucket streams through its task in blocks;
@@ -43,7 +44,7 @@ _BITS = 128
 #: Estimated similarity of near texts (3.8 standard deviations below 0.8), and of texts that need no other leader.
 NEAR = 0.6
 VERY_NEAR = 0.92
-LEADERS = 3
+LEADERS = 2
 SMALL = 8
 BLOCK = 50_000
 
@@ -69,13 +70,13 @@ def shingles(h: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def registers(doc: np.ndarray, g: np.ndarray, weight: np.ndarray, n_docs: int, m: int = _M) -> np.ndarray:
-    """ProbMinHash: for each text, the shingle hash that first arrived at each register."""
+    """ProbMinHash: for each text, the shingle hash that first arrived at each register. weight: counts."""
     first = np.full(n_docs * m, np.inf)
     owner = np.zeros(n_docs * m, np.uint64)
     time = np.zeros(len(g))
     doc = doc.astype(np.int64)
     state = g.copy()
-    w = weight.astype(np.float64)
+    w = 1 + np.log10(weight)
     scale = 2.0**-53
     while len(g):
         state = _text.mix(state + np.uint64(0x9E3779B97F4A7C15))
@@ -159,7 +160,9 @@ class Bucket:
         most = len(keys) if alone and len(keys) <= SMALL else LEADERS
         bits = np.unpackbits(sketch.view(np.uint8), axis=1, bitorder="little")
         middle = np.packbits(bits.mean(0) > 0.5, bitorder="little").view(np.int64)
-        order = np.argsort(_distance(sketch, middle), kind="stable")
+        order = np.argsort(_text.mix(keys.view(np.uint64)), kind="stable")  # the same members lead in every band
+        first = order == order[np.argmin(_distance(sketch[order], middle))]
+        order = np.concatenate([order[first], order[~first]])
         keys, sketch = keys[order], sketch[order]
         times, done = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         for one, s in zip(self.keys.tolist(), self.sketch):
@@ -182,8 +185,11 @@ class Bucket:
                 continue
             near[i] = False
             if near.any():
-                yield np.full(int(near.sum()), keys[i]), keys[near]
-                times += near
+                to = near & (times < most)
+                close = np.flatnonzero(near & ~to)
+                to[close[np.argsort(d[close], kind="stable")[:most]]] = True  # and the nearest of those that have enough
+                yield np.full(int(to.sum()), keys[i]), keys[to]
+                times += to
                 done |= d <= _far(VERY_NEAR)
         self.keys, self.sketch = np.append(self.keys, keys[chosen]), np.concatenate([self.sketch, sketch[chosen]])
 
@@ -244,39 +250,22 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar(x: pa.Array, y: pa.Array) -> np.ndarray:
-    """For each pair of texts, the larger of the probability Jaccard and the plain Jaccard similarity of shingles."""
+    """The Jaccard similarity of each pair of texts' sets of shingles."""
     out = np.zeros(len(x))
     both = []
     for column in (x, y):
         h, _, _, ranges = _text.words(*_text.buffers(column), _text.ALNUM)
-        doc, g, count = shingles(h, ranges)
-        both.append((np.searchsorted(doc, np.arange(len(x) + 1)), g, count.astype(np.float64)))
-    (ra, ga, wa), (rb, gb, wb) = both
+        doc, g, _ = shingles(h, ranges)
+        both.append((np.searchsorted(doc, np.arange(len(x) + 1)), g))
+    (ra, ga), (rb, gb) = both
     for i in range(len(x)):
-        a, b, u, v = ga[ra[i] : ra[i + 1]], gb[rb[i] : rb[i + 1]], wa[ra[i] : ra[i + 1]], wb[rb[i] : rb[i + 1]]
-        _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        if not len(p):
-            continue
-        out[i] = len(p) / (len(a) + len(b) - len(p))
-        if out[i] < SIMILARITY and (u.max() > 1 or v.max() > 1):
-            out[i] = max(out[i], _probability(u, v, p, q))
+        a, b = ga[ra[i] : ra[i + 1]], gb[rb[i] : rb[i + 1]]
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        if common:
+            out[i] = common / (len(a) + len(b) - common)
     return out
 
 
-def _probability(u: np.ndarray, v: np.ndarray, p: np.ndarray, q: np.ndarray) -> float:
-    """Sum over common shingles d of 1 / sum over all e of max(u[e] / u[d], v[e] / v[d])."""
-    only_u, only_v = u.sum() - u[p].sum(), v.sum() - v[q].sum()
-    cu, cv = u[p], v[q]
-    ratio = cu / cv  # for shingle d, e counts by u where u[e] / v[e] >= u[d] / v[d]
-    order = np.argsort(ratio)
-    r = ratio[order]
-    sum_v = np.append(0, np.cumsum(cv[order]))
-    sum_u = cu.sum() - np.append(0, np.cumsum(cu[order]))
-    k = np.searchsorted(r, r, "left")
-    total = (only_u + sum_u[k]) / cu[order] + (only_v + sum_v[k]) / cv[order]
-    return float((1 / total).sum())
-
-
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
 
@@ -329,7 +318,10 @@ def links(texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, class_id and the columns named in keep, for every row. docs: doc_id, text; others are ignored."""
+    """doc_id, class_id and, as kept_NAME, the columns named in keep, for every row.
+
+    docs: doc_id, text; others are ignored.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     own = own.withColumn("key", F.when(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), _key(F.col("text"))))
     worded = own.where(F.col("key").isNotNull())

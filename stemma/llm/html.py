@@ -35,6 +35,8 @@ CONSTANT = 5
 BROADCAST = 32 << 20
 #: Children of one element before they become one repeated group, and hosts that a task holds before it passes them on.
 WIDE, HOSTS = 48, 2000
+#: Elements below so many others bound blocks, but their text counts as that of the last.
+DEEP = 100
 
 # Element names by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,7 +54,7 @@ _NAMED = re.compile(r"(?:^|[-_])(?:" + "|".join(NAMED) + r")(?:$|[-_0-9])")
 _COMMENT = re.compile(r"(?:^|[-_])(?:comments?|replies|reply|disqus)(?:$|[-_0-9])")
 _CONTENT = re.compile(r"(?:^|[-_])(?:" + "|".join(CONTENT) + r")(?:$|[-_0-9])")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*'){0,8192})>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -67,8 +69,10 @@ def _key(name: str, attributes: str) -> str:
 def events(page: str) -> Iterator[tuple[str, str]]:
     """("open", key), ("close", name), ("text", decoded text) and ("break", "") of a page, balanced."""
     stack: list[str] = []
+    over: list[str] = []  # elements that are open below DEEP
 
     def pop_to(i: int) -> Iterator[tuple[str, str]]:
+        over.clear()
         while len(stack) > i:
             yield "close", stack.pop()
 
@@ -93,6 +97,10 @@ def events(page: str) -> Iterator[tuple[str, str]]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if m[1] and name in over:
+            del over[len(over) - 1 - over[::-1].index(name) :]
+            yield from (("open", name), ("close", name))
+            continue
         if m[1]:
             i = last(frozenset([name]))
             if i >= 0:
@@ -119,7 +127,11 @@ def events(page: str) -> Iterator[tuple[str, str]]:
             at = n if end < 0 else max(page.find(">", end) + 1, end + 1) if page.find(">", end) >= 0 else n
             yield "close", name
             continue
-        stack.append(name)
+        if len(stack) < DEEP:
+            stack.append(name)
+        else:
+            over.append(name)
+            yield "close", name
     yield from pop_to(0)
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -176,36 +177,55 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(_OUT, {"doc_id": [x["doc_id"]], "n_words": [n], "n_hit": [int(on.sum())], "items": [sorted({i for part in x["items"] for i in part})], "spans": [spans], "text_key": [x["text_key"]]})
 
 
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
+    bench = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-int(total) // block_chars))
+    for k in range(n):
+        yield [tuple(r) for r in bench.where(F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(n)) == k).collect()]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = 32 << 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted ids as strings), spans (first, last+1 word of each hit run).
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored.
     """
-    spark = docs.sparkSession
+    share = docs.sparkSession.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bench = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_chars))
-    if blocks == 1:
-        rows = [tuple(r) for r in bench.collect()]
-        return docs.mapInArrow(_scan(spark.sparkContext.broadcast(index_items(rows)), False), _OUT_SQL).drop("text_key")
-    found = None
-    for k in range(blocks):
-        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
-        part = docs.mapInArrow(_scan(spark.sparkContext.broadcast(index_items(rows)), True), _OUT_SQL)
-        if k:
-            part = part.where("n_hit > 0")
-        found = part if found is None else found.unionByName(part)
-    found = cut(found)
-    hit = found.where("n_hit > 0").dropDuplicates(["text_key", "items", "spans"])
+    first, *others = _blocks(benchmark, block_chars)
+    if not others:
+        return docs.mapInArrow(_scan(share(index_items(first)), False), _OUT_SQL).drop("text_key")
+    scans = [docs.mapInArrow(_scan(share(index_items(rows)), True), _OUT_SQL).where("n_hit > 0") for rows in (first, *others)]
+    hit = cut(reduce(DataFrame.unionByName, scans)).dropDuplicates(["text_key", "items", "spans"])
     one = hit.groupBy("text_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
     one = one.select("doc_id", "n_words", "items", "spans", "text_key").mapInArrow(_unite, _OUT_SQL)
-    every = docs.mapInArrow(_scan(spark.sparkContext.broadcast(index_items([])), True), _OUT_SQL)
     one = one.select("text_key", F.col("n_hit").alias("h"), F.col("items").alias("i"), F.col("spans").alias("s"))
-    joined = every.join(one, "text_key", "left")
+    joined = docs.mapInArrow(_scan(share(index_items([])), True), _OUT_SQL).join(one, "text_key", "left")
     return joined.select("doc_id", "n_words", F.coalesce("h", "n_hit").alias("n_hit"), F.coalesce("i", "items").alias("items"), F.coalesce("s", "spans").alias("spans"))
 
 
+def _without(shared: Broadcast, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _text.chunks(batch.column(at)):
+                h, _, _, ranges = _text.words(*_text.buffers(batch.column(at).slice(a, b - a)), _text.ALNUM)
+                first, _, _ = hits(shared.value, h, ranges)
+                clean = np.ones(b - a, bool)
+                clean[np.searchsorted(ranges, first, "right") - 1] = False
+                yield batch.slice(a, b - a).filter(pa.array(clean))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = 32 << 20) -> DataFrame:
+    """The rows of docs, with all columns, in which no window of the benchmark occurs."""
+    schema = docs.schema
+    for rows in _blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(index_items(rows))
+        docs = docs.mapInArrow(_without(shared, docs.columns.index("text")), schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns that are compared by value."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

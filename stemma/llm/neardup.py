@@ -318,7 +318,7 @@ def links(texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, class_id and, as kept_NAME, the columns named in keep, for every row.
+    """doc_id, class_id, class_key (null where wordless) and, as kept_NAME, the columns named in keep, for every row.
 
     docs: doc_id, text; others are ignored.
     """
@@ -331,6 +331,18 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     of_head = lowest.where(F.col("head") != F.col("key")).groupBy("head").agg(F.min("lowest").alias("low"))
     table = lowest.join(of_head, "head", "left").select("head", "key", F.least("lowest", "low").alias("own_low"))
     top = table.where(F.col("head") == F.col("key")).select("head", F.col("own_low").alias("class_id"))
-    table = table.join(top, "head").select(F.col("key").alias("table_key"), "class_id")
+    table = cut_columnar(table.join(top, "head").select(F.col("key").alias("table_key"), "class_id", F.col("head").alias("class_key")))
     out = own.join(table, F.col("key") == F.col("table_key"), "left")
-    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), *[F.col(f"kept_{c}") for c in keep])
+    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", *[F.col(f"kept_{c}") for c in keep])
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of docs, with all columns: of each class the one of the smallest doc_id; wordless texts all stay."""
+    columns = docs.columns
+    found = classes(docs, tuple(columns))
+    heads = found.where(F.col("class_id").eqNullSafe(F.col("doc_id")))
+    kept = heads.select(*[F.col(f"kept_{c}").alias(c) for c in columns], "class_key")
+    copies = heads.where("class_key IS NOT NULL").groupBy("class_key").count().where("count > 1").limit(1).count()
+    if copies:  # rows of one doc_id, or of none
+        kept = kept.where("class_key IS NULL").unionByName(kept.where("class_key IS NOT NULL").dropDuplicates(["class_key"]))
+    return kept.select(*columns)

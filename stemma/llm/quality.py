@@ -139,7 +139,7 @@ def estimate(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the base statistics, base_failed, distance, kept and the columns named in keep, for every row."""
+    """doc_id, the base statistics, base_failed, distance, kept and, as kept_NAME, the columns named in keep, for every row."""
     carried = [F.col(c).alias(f"kept_{c}") for c in keep]
     own = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *carried)
     fields = [*(f"{b} long" for b in BASE), *(f"{f} double" for f in FLOOR), *(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[1:])]

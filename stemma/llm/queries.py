@@ -56,23 +56,29 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *_quality.BASE, "base_failed", "kept", "distance")
 
 
-def _fold(parts: int) -> Column:
+def fold(parts: int) -> Column:
     """crc32 of the id as text, modulo parts; an id that is null is in fold 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % parts, F.lit(0))
 
 
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hmm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), _fold(5) == 1)
+    return _hmm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), fold(5) == 1)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    held = _fold(4) == 2
+    held = fold(4) == 2
     model = _toxicity.train(docs.where(~held), labels.where(~held))
     scored = _toxicity.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= _toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 RULES = [_hosts.Rule("block", "net", "/"), _hosts.Rule("allow", "example.net", "/en/"), _hosts.Rule("block", "example.com", "/de/"), _hosts.Rule("allow", "org", "/fr/")]
 
 
@@ -137,7 +143,7 @@ FROM d LEFT JOIN hit USING (uid) LEFT JOIN its USING (uid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if (k.startswith("op") or k == "pipeline") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -174,7 +174,7 @@ def _score(shared: Broadcast):
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and the columns named in keep, for every row."""
+    """doc_id, score and, as kept_NAME, the columns named in keep, for every row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[2:])] if keep else []
     return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), ", ".join(["doc_id long", "score double", *fields]))

@@ -1,0 +1,482 @@
+"""Each operator against a brute-force form and on the cases that its docstring defines."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from stemma.llm import _text, decontaminate, hmm, hosts, html, licenses, neardup, packing, quality, toxicity, warc
+from stemma.llm.queries import RULES, fold
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, grp string, kept_text string"
+ALNUM, SPACED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def docs_of(spark, texts, lang="en", source="s"):
+    rows = [(i, t, lang, source, len(t or ""), "x", "y") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(r, n, vocabulary=400):
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+ODD = [None, "", " \n\t", "one", "ÄÖ é 中文", "a\x00b", "x" * 5000, "\n".join(["same line here"] * 30)]
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 16])
+def test_words_match_the_patterns(segment, monkeypatch):
+    monkeypatch.setattr(_text, "SEGMENT", segment)
+    r = random.Random(1)
+    texts = [*ODD, *("".join(r.choice("aB 1é-\n") for _ in range(r.randint(0, 60))) for _ in range(200))]
+    for table, pattern, lower in ((_text.ALNUM, ALNUM, True), (_text.SPACED, SPACED, False), (_text.SPACED_LOWER, SPACED, True)):
+        h, _, _, ranges = _text.words(*_text.buffers(pa.array(texts)), table)
+        known = {}
+        for i, t in enumerate(texts):
+            own = pattern.findall(low(t) if lower else t or "")
+            assert len(own) == ranges[i + 1] - ranges[i]
+            for w, x in zip(own, h[ranges[i] : ranges[i + 1]].tolist()):
+                assert known.setdefault(w, x) == x
+        assert len(set(known.values())) == len(known)
+
+
+# 1
+
+
+def brute_hits(texts, items):
+    windows = {}
+    for item, text in items:
+        w = ALNUM.findall(low(text))
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(item)
+    out = []
+    for t in texts:
+        w, on, found = ALNUM.findall(low(t)), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    on |= set(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        out.append((len(w), len(on), ",".join(sorted(str(x) for x in found if x is not None))))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_decontamination(spark, block):
+    r = random.Random(2)
+    items = [(i, prose(r, n, 30)) for i, n in enumerate([30, 12, 10, 9, 3, 1, 0, 40])] + [(100, None), (None, prose(r, 11, 30)), (3, prose(r, 20, 30))]
+    texts = [*ODD]
+    for _ in range(60):
+        parts = [prose(r, r.randint(0, 40), 30)]
+        for _ in range(r.randint(0, 2)):
+            w = (r.choice(items)[1] or "").split()
+            a = r.randint(0, max(0, len(w) - 10))
+            parts += [" ".join(w[a : a + r.randint(8, 15)]), prose(r, 5, 30)]
+        texts.append(" ".join(parts).upper() if r.random() < 0.3 else " ".join(parts))
+    texts += [texts[20], texts[20]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, texts)
+    rows = sorted(decontaminate.decontaminate(docs, bench, block).collect(), key=lambda x: x.doc_id)
+    assert [(x.n_words, x.n_hit, ",".join(x["items"])) for x in rows] == brute_hits(texts, items)
+    assert all(sum(b - a for a, b in zip(x.spans[::2], x.spans[1::2])) == x.n_hit for x in rows)
+    clean = decontaminate.clean(docs, bench, block)
+    assert clean.schema == docs.schema and {x.doc_id for x in clean.collect()} == {x.doc_id for x in rows if not x.n_hit}
+    assert {x.n_hit for x in decontaminate.decontaminate(docs, bench.limit(0), block).collect()} == {0}
+    assert decontaminate.decontaminate(docs.limit(0), bench, block).count() == 0
+
+
+# 2
+
+
+def test_licences(spark):
+    def places(w, phrase):
+        p = phrase.split()
+        return [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+
+    r = random.Random(3)
+    notices = [t.notice for t in licenses.TEMPLATES] + ["Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0", "under the MIT licence", "gnu license version"]
+    texts = [*ODD, *(f"{prose(r, r.randint(0, 20))} {r.choice(notices)} {prose(r, 5)} {r.choice(notices)}" for _ in range(80)), "under the mit license " * 50]
+    rows = sorted(licenses.scan(docs_of(spark, texts)).collect(), key=lambda x: x.doc_id)
+    assert len(rows) == len(texts)
+    for x in rows:
+        w = ALNUM.findall(low(texts[x.doc_id]))
+        base = sorted(p for t in licenses.BASE for p in places(w, t.notice))
+        stands = [t for t in licenses.TEMPLATES if all(places(w, p) for p in t.phrases)]
+        score = 0.0
+        for t in stands:
+            n = t.notice.split()
+            for p in t.phrases:
+                for s in places(w, p):
+                    begin = s - (places(n, p) or [10**6])[0]
+                    score = max(score, sum(0 <= begin + i < len(w) and w[begin + i] == v for i, v in enumerate(n)) / len(n))
+        assert (x.n_base, x.first_word, x.last_word) == (len(base), base[0] if base else None, base[-1] if base else None)
+        assert x.labels == ",".join(sorted({t.label for t in stands})) and x.score == pytest.approx(score)
+        assert set(filter(None, x.base_labels.split(","))) == {t.label for t in licenses.BASE if places(w, t.notice)}
+    assert licenses.scan(docs_of(spark, texts).limit(0)).count() == 0
+
+
+# 3
+
+
+def test_packing(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    texts = [*ODD, "<|endoftext|> a  b \n c", *(prose(r, int(r.paretovariate(0.7) * 20) % 3000) for _ in range(150)), "same", "same"]
+    docs = docs_of(spark, texts)
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    by_doc, by_bin = {}, {}
+    for x in rows:
+        by_doc.setdefault(x.doc_id, []).append(x)
+        by_bin.setdefault(x.sequence_id, []).append(x)
+    assert set(by_doc) == set(range(len(texts)))
+    for i, own in by_doc.items():
+        ids = np.array(t.encode(texts[i] or "", add_special_tokens=False).ids + [2], "<u4")
+        own.sort(key=lambda x: x.piece)
+        assert [x.piece for x in own] == list(range(len(own))) and sum(x.length for x in own) == len(ids)
+        for k, x in enumerate(own):
+            assert x.ids_crc32 == zlib.crc32(ids[x.start : x.start + x.length].tobytes())
+            assert x.length == 1024 or k == 0
+    for own in by_bin.values():
+        own.sort(key=lambda x: x.offset)
+        assert [x.offset for x in own] == [sum(y.length for y in own[:k]) for k in range(len(own))]
+        assert sum(x.length for x in own) <= 1024
+    assert len(by_bin) <= -(-sum(x.length for x in rows) // 1024) + 2
+    assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_fullest_bin_is_fullest():
+    r = random.Random(5)
+    for _ in range(200):
+        counts = {r.randint(1, 60): r.randint(1, 3) for _ in range(r.randint(1, 8))}
+        use = packing.fullest(counts, 60)
+        best, first = 0, max(counts)
+        sums = {first}
+        for n, c in counts.items():
+            for _ in range(c - (n == first)):
+                sums |= {s + n for s in sums if s + n <= 60}
+        best = max(sums)
+        assert sum(n * k for n, k in use) == best and all(k <= counts[n] for n, k in use)
+        assert sum(t * k for t, u in packing.patterns(counts, 60) for _, k in u) == sum(counts.values())
+
+
+# 4
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T &am</title><style>p{{}}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+<nav><ul>{nav}</ul></nav><div class="ad">Buy</div><main><div id="cookie-notice">c</div><article class="post"><h1>Title {n}</h1><p>One<br>two &amp; &nbsp;three <a href=x>link</a>.
+<p>Next<form><input value=1>F</form>{more}<div class="advert">AD</div><section id="comments"><p>reader</p></section></article><aside>s</aside></main><footer>&copy; f</footer><script>if (a<b) "</p>"</script></body></html>"""
+
+
+def test_html(spark):
+    pages = [(n, f"https://h.example/{n}", PAGE.format(n=n, nav="<li><a href=/>x</a>" * (2 + n % 3), more="<ul><li>i<li>j</ul>" if n % 2 else "")) for n in range(12)]
+    pages += [(50, None, None), (51, "no scheme", ""), (52, "http://e/", "plain < text & more"), (53, "http://e/", "<p>a<p>b<b>c</b> d"), (0, "https://h.example/0", pages[0][2]), (54, "http://e/", "<div>" * 3000 + "deep" + "</div>" * 2990 + "<p>after</p>"), (None, "http://f/", "<article>x</article><footer>y</footer>")]
+    df = spark.createDataFrame([(*p, "e") for p in pages], "page_id long, url string, html string, text string")
+    for bound in (1 << 20, 0):
+        got = html.main_text(df, bound).collect()
+        assert len(got) == len(pages)
+        by_id = {}
+        for x in got:
+            assert x.n_chars == len(x.text)
+            by_id.setdefault(x.page_id, []).append(x.text)
+        for n in range(12):
+            assert set(by_id[n]) == {f"Title {n}\nOne two & three link.\nNext" + ("\ni\nj" if n % 2 else "")}
+        assert len(by_id[0]) == 2 and by_id[50] == [""] and by_id[51] == [""] and by_id[53] == ["a\nbc d"] and by_id[54] == ["deep\nafter"] and by_id[None] == ["x"]
+        assert by_id[52] == ["plain < text & more"]
+    assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_wrapper_is_union_free_and_bounded():
+    w = html.merge(html.tree("<ul><li>a<li>b</ul><p>x"), html.tree("<ul><li>c</ul><h2>t</h2><p>y"))
+    assert html.expression(w[5]) == "<ul>(<li>#TEXT</>)+</>(<h2>\"t\"</>)?<p>#TEXT</>"
+    r = random.Random(6)
+    for _ in range(60):
+        w = html.merge(w, html.tree("".join(f"<{r.choice(['h2', 'p', 'div', 'table', 'ol'])}>z</>" for _ in range(30))))
+    assert len(w[5]) <= html.WIDE + 40
+
+
+# 5
+
+
+def test_quality_statistics():
+    r = random.Random(7)
+    texts = [*ODD, *("".join(r.choice(["ab ", "ab cd ef ", "#$ ", "É\n", "x\n", "  \n", "Zz! "]) for _ in range(r.randint(0, 80))) for _ in range(100))]
+    got = quality.statistics(pa.array(texts))
+    for i, t in enumerate(t or "" for t in texts):
+        w = SPACED.findall(t)
+        grams = Counter(zip(w, w[1:], w[2:]))
+        rep = {j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(k, k + 3)}
+        lines = [x for x in t.split("\n") if SPACED.search(x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep))
+        assert tuple(int(got[b][i]) for b in quality.BASE) == want
+
+
+def test_quality_rejects_outliers_and_keeps_prose(spark):
+    r = random.Random(8)
+    texts = [prose(r, r.randint(60, 400)).capitalize() + "." for _ in range(600)] + ["%%% ".join(f"w{r.randrange(400)}" for _ in range(100)) for _ in range(20)] + ODD
+    docs = docs_of(spark, texts).unionByName(docs_of(spark, texts[:30], lang=None, source=None))
+    rows = quality.judge(docs, ("text", "grp")).collect()
+    assert len(rows) == len(texts) + 30
+    good = [x for x in rows if x.doc_id < 600]
+    assert sum(not x.kept for x in good) <= 3
+    assert not any(x.kept for x in rows if x.doc_id >= 600)
+    assert all(x.base_failed == (x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words) and not (x.base_failed and x.kept) for x in rows)
+    assert quality.judge(docs.limit(0)).count() == 0
+
+
+def test_determinant_estimate_ignores_a_quarter_of_outliers(spark):
+    r = np.random.default_rng(9)
+    good = r.normal(0, 1, (1500, quality.P))
+    bad = r.normal(25, 1, (350, quality.P))
+    rows = spark.createDataFrame([("g", *map(float, x)) for x in np.concatenate([good, bad])], "grp string, " + ", ".join(f"{f} double" for f in quality.FLOOR))
+    found = quality.estimate(rows).collect()[0]
+    assert np.abs(np.array(found.mu)).max() < 0.3
+
+
+# 6
+
+
+def test_warc(spark, tmp_path):
+    r = random.Random(10)
+    shared = [prose(r, 50) for _ in range(5)]
+    pages = [(i, f"http://h/{i}", r.choice([*shared, prose(r, 20), None, "", "é\r\n\r\nWARC/1.1\r\n"])) for i in range(200)] + [(None, None, shared[0]), (None, "u", "alone"), (7, "x\r\ny", "twice"), (7, "x", "twice")]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, archive int")
+    folder = f"file://{tmp_path}/warc"
+    rows = warc.archive(df, folder).collect()
+    assert len(rows) == len(pages)
+    best = {}
+    for i, _, h in pages:
+        best[h or ""] = max([x for x in (best.get(h or ""), i) if x is not None], default=None)
+    digests = {warc.digest_of((h or "").encode()): (h or "") for _, _, h in pages}
+    seen = Counter()
+    for x in rows:
+        payload = digests[x.payload_digest]
+        assert x.payload_bytes == len(payload.encode())
+        seen[(payload, x.record_type)] += 1
+        assert x.refers_to == (best[payload] if x.record_type == "revisit" else None)
+        assert x.record_type == "revisit" or x.page_id == best[payload]
+    assert all(seen[(p, "response")] == 1 for p in digests.values())
+    import gzip
+
+    whole = [p for p in (tmp_path / "warc").iterdir() if p.name.endswith(".warc.gz") and ".members." not in p.name]
+    members = [p for p in (tmp_path / "warc").iterdir() if ".members." in p.name]
+    count = lambda p: sum(1 for _ in warc.Inflated(open(p, "rb")))
+    assert sum(map(count, whole)) == sum(map(count, members)) == len(pages) and all(gzip.open(p).read(5) == b"WARC/" for p in whole + members)
+    assert not list((tmp_path / "warc").glob("*.tmp")) and warc.archive(df.limit(0), folder).count() == 0
+
+
+def test_warc_broken_archive_is_an_error():
+    import io
+    import zlib as z
+
+    pack = z.compressobj(6, z.DEFLATED, 31)
+    raw = pack.compress(warc.record("response", 1, "u", b"payload", {})[:-6]) + pack.flush()
+    with pytest.raises(ValueError):
+        list(warc.Inflated(io.BytesIO(raw)))
+
+
+# 7
+
+
+def shingle_set(t):
+    w = ALNUM.findall(low(t))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_classes(texts):
+    s = [shingle_set(t) for t in texts]
+    head = list(range(len(texts)))
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for i in range(len(s)):
+        for j in range(i):
+            if s[i] and s[j] and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]):
+                a, b = find(i), find(j)
+                head[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(s))]
+
+
+def test_near_duplicates(spark):
+    r = random.Random(11)
+    base = [prose(r, 120, 5000) for _ in range(12)]
+    texts = [*ODD, *base]
+    for b in base[:6]:
+        for n in (1, 2, 3, 5, 20):
+            w = b.split()
+            for _ in range(n):
+                w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    star = prose(r, 150, 5000).split()
+    for _ in range(120):  # copies that are near to their source more than to each other
+        w = list(star)
+        for _ in range(3):
+            w[r.randrange(len(w))] = f"y{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(star), base[0].upper(), base[0] + "!!", base[1] + " " + "again and again " * 40, "tiny text", "tiny, text", " ".join(prose(r, 60, 5000) + " shared passage " + base[3])]
+    texts += [base[2]] * 5
+    rows = neardup.classes(docs_of(spark, texts)).collect()
+    got = {x.doc_id: x.class_id for x in rows}
+    assert len(rows) == len(texts) and [got[i] for i in range(len(texts))] == brute_classes(texts)
+    kept = neardup.keep_one(docs_of(spark, texts))
+    assert kept.columns == docs_of(spark, texts).columns and sorted(x.doc_id for x in kept.collect()) == sorted(set(got.values()))
+
+
+def test_near_duplicates_odd_tables(spark):
+    t = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = spark.createDataFrame([(None, t), (None, t), (5, t + "."), (5, t + "."), (5, "other words entirely in this one here"), (None, "nothing like the rest of them at all"), (9, None), (9, None)], "doc_id long, text string")
+    got = neardup.classes(rows).collect()
+    assert len(got) == 8 and {x.class_id for x in got if x.class_key is not None and x.doc_id != 5} >= {5, None}
+    kept = [tuple(x) for x in neardup.keep_one(rows).collect()]
+    assert Counter(kept)[(9, None)] == 2 and len([k for k in kept if k[1] and k[1].startswith("alpha")]) == 1
+    assert neardup.classes(rows.limit(0)).count() == 0
+
+
+def test_probminhash_estimates_probability_jaccard():
+    r = np.random.default_rng(12)
+    g = _text.mix(np.arange(300, dtype=np.uint64))
+    wa, wb = r.integers(1, 30, 200), r.integers(1, 30, 200)
+    own = neardup.registers(np.repeat([0, 1], 200), np.concatenate([g[:200], g[100:]]), np.concatenate([wa, wb]), 2, 4096)
+    u, v = np.zeros(300), np.zeros(300)
+    u[:200], v[100:] = 1 + np.log10(wa), 1 + np.log10(wb)
+    exact = sum(1 / np.maximum(u / u[d], v / v[d]).sum() for d in range(100, 200))
+    assert abs((own[0] == own[1]).mean() - exact) < 0.03
+
+
+def test_a_bucket_of_alike_texts_gives_few_pairs():
+    r = np.random.default_rng(13)
+    middle = r.integers(-(2**63), 2**63 - 1, 2)
+    sketch = np.stack([middle ^ np.array([1 << int(a), 1 << int(b)]) for a, b in r.integers(0, 62, (3000, 2))])
+    pairs = list(neardup.Bucket().pairs(np.arange(3000), sketch, True))
+    assert 2999 <= sum(len(a) for a, _ in pairs) <= 4 * 3000
+
+
+# 8
+
+
+def test_hmm(spark, monkeypatch):
+    r = random.Random(14)
+    monkeypatch.setattr(hmm, "EMITTED", 50)
+    monkeypatch.setattr(hmm, "_S", 50 + hmm.CLASSES)
+    texts = [*ODD, *(" ".join(f"{'AB'[i % 2]}{min(int(r.paretovariate(0.8)), 300)}" for _ in range(r.randint(1, 300))) for i in range(120)), "only held out words?" * 2]
+    docs = docs_of(spark, texts)
+    for head in (1 << 19, 40):
+        monkeypatch.setattr(hmm.vocabulary, "__defaults__", (head,))
+        rows = {x.doc_id: x for x in hmm.score(docs, fold(5) == 1).collect()}
+        token = [SPACED.findall(low(t)) + [None] for t in texts]
+        held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+        c = Counter(x for t, h in zip(token, held) if not h for x in t)
+        n, v = sum(c.values()), len(c)
+        for i, t in enumerate(token):
+            x = rows[i]
+            assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
+            assert x.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
+        total = lambda k: sum(getattr(rows[i], k) for i in range(len(texts)) if held[i])
+        assert total("score") > total("base_score")
+    assert hmm.score(docs.limit(0), fold(5) == 1).count() == 0
+
+
+def test_forward_recursion_and_expectation_are_exact():
+    from itertools import product
+
+    m = hmm.initial(np.array([5.0, 1, 1, 2, 3]), [np.array([0, 1]), np.array([3, 3, 4])], 3)
+    x = np.array([0, 3, 4, 1])
+
+    def joint(z, s):
+        return m.start[z[0]] * np.prod([m.emit[a, b] for a, b in zip(s, z)]) * np.prod([m.move[a, b] for a, b in zip(z, z[1:])])
+
+    p = {z: joint(z, x) for z in product(range(3), repeat=4)}
+    got = hmm.likelihood(m, [np.array([1]), x, np.array([2, 2])])
+    assert got[1] == pytest.approx(np.log10(sum(p.values()))) and got[0] == pytest.approx(np.log10(sum(joint((z,), [1]) for z in range(3))))
+    symbols, mask = np.array([x, [1, 2, 0, 0]]).T, np.array([[1, 1, 1, 1], [1, 1, 0, 0]], bool).T
+    starts, moves, emits, likely = hmm.expect(m, symbols, mask, np.array([True, False]))
+    q = {z: joint(z, [1, 2]) for z in product(range(3), repeat=2)}
+    for a in range(3):
+        assert starts[a] == pytest.approx(sum(v for z, v in p.items() if z[0] == a) / sum(p.values()))
+        for b in range(3):
+            want = sum(v * sum(z[i] == a and z[i + 1] == b for i in range(3)) for z, v in p.items()) / sum(p.values()) + q[(a, b)] / sum(q.values())
+            assert moves[a, b] == pytest.approx(want)
+    assert emits.sum() == pytest.approx(6) and likely == pytest.approx(np.log10(sum(p.values())) + np.log10(sum(q.values())))
+
+
+def test_training_raises_the_likelihood(spark):
+    r = np.random.default_rng(15)
+    rows = spark.createDataFrame([(bytearray(np.asarray(r.integers(0, 40, 300) + 40 * (i % 2), "<u2").tobytes()),) for i in range(40)], "symbols binary")
+    _, seen = hmm.train(rows, hmm.initial(np.ones(hmm._S), [], 4), 4)
+    assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:])) and seen[-1] > seen[0]
+
+
+# 9
+
+
+def test_toxicity(spark):
+    r = random.Random(16)
+    bad = ["idiot", "moron", "scum"]
+    texts, labels = [], []
+    for i in range(900):
+        w = prose(r, r.randint(20, 120)).split()
+        if i % 6 == 0:
+            for _ in range(2):
+                w.insert(r.randrange(len(w)), r.choice(bad))
+        texts.append(" ".join(w))
+        labels.append((i, 1, int(i % 6 == 0)))
+    labels += [(None, 1, 1), (3, 0, None), (10**9, 1, 1), (5, 1, 0)]
+    docs, lab = docs_of(spark, [*texts, *ODD]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = fold(4) == 2
+    model = toxicity.train(docs.where(~held), lab.where(~held))
+    rows = {x.doc_id: x for x in toxicity.score(docs, model, ("text",)).collect()}
+    assert len(rows) == len(texts) + len(ODD) and all(0 <= x.score <= 1 for x in rows.values())
+    own = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(rows[i].score >= 0.3) == (i % 6 == 0) for i in own]) > 0.95
+    assert len(model.index) < 20_000
+    for none in (lab.limit(0), lab.where("toxic = 0")):
+        m = toxicity.train(docs, none)
+        assert {round(x.score, 6) for x in toxicity.score(docs, m).collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+# 10
+
+
+def test_hosts(spark):
+    urls = ["http://A.Example.net/en/x?y", "http://example.net/en", "http://b.net", "http://b.net/", "https://x.example.com/de/1", "https://badexample.com/de/1", "http://w.org/fr/1#a/b", "http://w.org?q=/fr/", "no scheme", None, "", "a://b://c/d", "http://bad.info/1", "http://good.info/1", "HTTP://U.net:80/en/é"]
+    pages = [(i, u, "h") for i, u in enumerate(urls)] + [(100 + i, f"http://bad.info/{i}", "h") for i in range(60)] + [(300 + i, f"http://good.info/{i}", "h") for i in range(60)] + [(None, "http://bad.info/x", "h")]
+    df = spark.createDataFrame(pages, "page_id long, url string, host string")
+    out = spark.createDataFrame([(i, i >= 300) for i in range(100, 360) if i < 160 or i >= 300] + [(None, True), (301, None)], "page_id long, good boolean")
+    rows = hosts.judge(df, out, RULES).collect()
+    assert len(rows) == len(pages)
+    got = {x.page_id: x for x in rows}
+    at = lambda i: (got[i].host, got[i].path, got[i].rule, got[i].verdict)
+    assert at(0) == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert at(1) == ("example.net", "/en", "net/", "block")
+    assert at(2)[:3] == ("b.net", "", None) and at(3)[2:] == ("net/", "block")
+    assert at(4)[2:] == ("example.com/de/", "block") and at(5)[2] is None
+    assert at(6)[1:3] == ("/fr/1", "org/fr/") and at(7)[:3] == ("w.org", "", None)
+    assert at(8)[:3] == at(9)[:3] == at(10)[:3] == ("", "", None) and at(11)[:2] == ("b:", "//c/d")
+    assert at(12)[3] == at(100)[3] == at(None)[3] == "block" and at(13)[3] == "allow" and at(14)[:2] == ("u.net:80", "/en/é")
+    assert {x.verdict for x in hosts.judge(df, out.limit(0), []).collect()} == {"allow"}
+    assert hosts.judge(df.limit(0), out, RULES).count() == 0
+
+
+def test_host_posteriors_shrink(spark):
+    pages = [(i, f"{'a' if i < 50 else 'b' if i < 52 else 'c'}.d{i % 3}.com") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, host string")
+    out = spark.createDataFrame([(i, i % 2 == 0) for i in range(52)], "page_id long, good boolean")
+    for x in hosts.reputation(df, out).collect():
+        assert 0 <= x.low <= x.mean <= x.high <= 1

@@ -391,10 +391,10 @@ SELECT user_id, event_type, event_id, value FROM n WHERE new = 0 OR value > 0 QU
 
 def json_prop_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.from_json("props", "k int")["k"]
-    return _read(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return _read(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
-SQL["json_prop_project"] = "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1"
+SQL["json_prop_project"] = "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, CAST(sum(round(value * 100)) AS BIGINT) AS cents FROM events GROUP BY 1"
 
 
 def verdict_conflict_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:

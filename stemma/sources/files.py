@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-RECORD = "chunk string, anchorNode string, terms array<struct<name:string,aliases:array<string>,role:string,confidence:string,evidence:string>>, laws array<string>, extractedAt string, model string, _corrupt string"
+RECORD = "chunk string, anchorNode string, terms array<struct<name:string,aliases:array<string>,role:string,confidence:string,evidence:string>>, laws array<string>, extractedAt string, model string"
 #: Canonical front-matter keys.
 KEYS = ("title", "short", "order", "country", "field", "docType", "lawName", "lawAlias", "effectiveDate", "adoptedDate", "documentNo", "status", "statusNote")
 
@@ -18,11 +18,12 @@ def read_extractions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
     The chunk is the record's, else the file name's with __ for /; unknown roles count as used, unknown confidence as low.
     """
-    rows = spark.read.schema(RECORD).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path).withColumn("file", _name())
-    bad = rows.where("_corrupt IS NOT NULL").select("file")
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(_name().alias("file"), "value")
+    bad = texts.where(F.try_parse_json("value").isNull()).select("file")
+    rows = texts.where(F.try_parse_json("value").isNotNull()).select("file", F.from_json("value", RECORD).alias("r")).select("file", "r.*")
     chunk = F.coalesce(F.nullif("chunk", F.lit("")), F.replace("file", F.lit("__"), F.lit("/")))
-    terms = F.transform("terms", lambda t: F.struct(t.name.alias("name"), F.coalesce(t.aliases, F.array().cast("array<string>")).alias("aliases"), F.when(t.role == "defined", "defined").otherwise("used").alias("role"), F.when(t.confidence.isin("high", "mid"), t.confidence).otherwise("low").alias("confidence"), t.evidence.alias("evidence")))
-    good = rows.where("_corrupt IS NULL").select("file", chunk.alias("chunk"), "anchorNode", F.coalesce(terms, F.array().cast(terms_type())).alias("terms"), F.coalesce("laws", F.array().cast("array<string>")).alias("laws"))
+    terms = F.transform("terms", lambda t: F.struct(t["name"].alias("name"), F.coalesce(t.aliases, F.array().cast("array<string>")).alias("aliases"), F.when(t.role == "defined", "defined").otherwise("used").alias("role"), F.when(t.confidence.isin("high", "mid"), t.confidence).otherwise("low").alias("confidence"), t.evidence.alias("evidence")))
+    good = rows.select("file", chunk.alias("chunk"), "anchorNode", F.coalesce(terms, F.array().cast(terms_type())).alias("terms"), F.coalesce("laws", F.array().cast("array<string>")).alias("laws"))
     return good, bad
 
 

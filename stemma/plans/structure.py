@@ -331,13 +331,13 @@ def html_entities_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
-    pairs = tables.similar_pairs(e, "vec_id", "embedding", 0.7)
+    pairs = tables.similar_pairs(e, "vec_id", "embedding", 0.35)
     label = lambda c: e.select(F.col("vec_id").alias(c), F.col("label").alias(f"label_{c}"))
     return pairs.join(label("a"), "a").join(label("b"), "b").where("label_a <> label_b").select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) AS n FROM embeddings)"
-SQL["similar_missing_links"] = f"WITH {_UNIT} SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v) / (x.n * y.n), 4) AS cosine FROM u x JOIN u y ON x.vec_id < y.vec_id AND x.label <> y.label WHERE list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.7"
+SQL["similar_missing_links"] = f"WITH {_UNIT} SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v) / (x.n * y.n), 4) AS cosine FROM u x JOIN u y ON x.vec_id < y.vec_id AND x.label <> y.label WHERE list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.35"
 
 
 def similarity_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application has cut; frames that read them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_columnar(df: DataFrame) -> DataFrame:
     """As cut(), but as a compressed Parquet table; for wide intermediate rows that are read more than once."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

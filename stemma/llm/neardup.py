@@ -227,9 +227,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = np.bitwise_count((rows[two, 2:] ^ rows[two + 1, 2:]).view(np.uint64)).sum(1) <= _far(NEAR)
             yield rows[two[d], 1], rows[two[d] + 1, 1]
             for a, n in zip(inner[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                own = Bucket()
                 for at in range(a, a + n, BLOCK):
                     part = rows[at : min(a + n, at + BLOCK)]
-                    yield from Bucket().pairs(part[:, 1], np.ascontiguousarray(part[:, 2:]), True)
+                    yield from own.pairs(part[:, 1], np.ascontiguousarray(part[:, 2:]), n <= BLOCK)
             held, n_held = [last], len(last)
         if n_held >= BLOCK:
             bucket = bucket or Bucket()

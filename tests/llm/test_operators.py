@@ -1,5 +1,6 @@
 """Each operator against a brute-force form and on the cases that its docstring defines."""
 
+import os
 import random
 import re
 import zlib
@@ -49,6 +50,19 @@ def test_words_match_the_patterns(segment, monkeypatch):
         assert len(set(known.values())) == len(known)
 
 
+def test_cut_tables_stay_until_cleared(spark):
+    from stemma.llm import _spark
+
+    made = _spark.cut_columnar(spark.range(5))
+    assert made.count() == 5 and made.dtypes == spark.range(5).dtypes
+    assert _spark.cut_columnar(spark.range(0)).count() == 0
+    assert _spark.cut(spark.range(3)).count() == 3
+    path = made.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    _spark.clear(spark)
+    assert not os.path.exists(path)
+
+
 # 1
 
 
@@ -367,6 +381,33 @@ def test_a_bucket_of_alike_texts_gives_few_pairs():
     assert 2999 <= sum(len(a) for a, _ in pairs) <= 4 * 3000
 
 
+def test_buckets_stream_in_blocks(monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    r = np.random.default_rng(17)
+    rows = []
+    for band, n in ((1, 2), (2, 300), (3, 1), (4, 40), (5, 2), (6, 129)):
+        middle = r.integers(-(2**63), 2**63 - 1, 2)
+        rows += [(band, band * 1000 + i, *(middle ^ np.array([1 << int(a), 1 << int(b)]))) for i, (a, b) in enumerate(r.integers(0, 62, (n, 2)))]
+    table = np.array(rows, np.int64)
+    names = ["band", "key", "s0", "s1"]
+    for size in (7, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(table[i : i + size, k]) for k in range(4)], names=names) for i in range(0, len(table), size)]
+        pairs = [(a, b) for x in neardup._candidates(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()) if a < b]
+        head = {int(k): int(k) for k in table[:, 1]}
+
+        def find(x):
+            while head[x] != x:
+                x = head[x]
+            return x
+
+        for a, b in pairs:
+            assert a // 1000 == b // 1000
+            a, b = find(a), find(b)
+            head[max(a, b)] = min(a, b)
+        assert {find(k) for k in head} == {1000, 2000, 3000, 4000, 5000, 6000}
+        assert len(pairs) <= 6 * len(table)
+
+
 # 8
 
 

@@ -54,3 +54,17 @@ def batch(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def text_page(text: Column, offset: int, limit: int) -> tuple[Column, Column]:
     """The characters offset..offset+limit and whether more follow."""
     return F.substring(text, offset + 1, limit), F.length(text) > offset + limit
+
+
+def taxonomy(rows: DataFrame, levels: tuple[str, str, str], leaf: str) -> DataFrame:
+    """One row a value of the first level: nested lists of the second, the third and their leaves, each in order of name."""
+    a, b, c = levels
+    third = rows.dropna(subset=list(levels)).groupBy(a, b, c).agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    second = third.groupBy(a, b).agg(F.array_sort(F.collect_list(F.struct(c, "leaves"))).alias("below"))
+    return second.groupBy(a).agg(F.array_sort(F.collect_list(F.struct(b, "below"))).alias("below"))
+
+
+def sheets(rows: DataFrame, order: list[Column], size: int, within: list[str]) -> DataFrame:
+    """sheet: rows of each group dealt in order into sheets of ``size``, counted from 1."""
+    nth = F.row_number().over(W.partitionBy(*within).orderBy(*order)) - 1
+    return rows.withColumn("sheet", (F.floor(nth / size) + 1).cast("int"))

@@ -72,3 +72,25 @@ def chains(merges: DataFrame, rounds: int = 20) -> DataFrame:
         far = now.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
         now = now.join(far, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst"))
     return now.join(merges.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst")
+
+
+def mixed_quota(direct: DataFrame, indirect: DataFrame, most: int = 8, least: int = 2) -> DataFrame:
+    """src, dst, weight: direct targets in order of name, then indirect ones by count, each target once, up to ``most``.
+
+    direct: src, dst; indirect: src, dst, n, of which only counts from ``least`` on are taken. The cap counts what is kept.
+    """
+    first = direct.select("src", "dst", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n")).distinct()
+    second = indirect.where(F.col("n") >= least).select("src", "dst", F.lit(1).alias("kind"), F.col("n").cast("long").alias("n"))
+    best = first.unionByName(second).groupBy("src", "dst").agg(F.min(F.struct("kind", (-F.col("n")).alias("order"))).alias("b"))
+    order = W.partitionBy("src").orderBy("b.kind", "b.order", "dst")
+    kept = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return kept.select("src", "dst", F.when(F.col("b.kind") == 0, 0.7).otherwise(0.4).alias("weight"))
+
+
+def star(members: DataFrame) -> DataFrame:
+    """Edges from each member of a topic to its leader, the member whose label is the topic's name; none without a leader.
+
+    members: id, label, topic.
+    """
+    leader = members.where(F.col("label") == F.col("topic")).groupBy("topic").agg(F.min("id").alias("dst"))
+    return members.join(leader, "topic").where(F.col("id") != F.col("dst")).select(F.col("id").alias("src"), "dst", F.lit("termrel").alias("type"), F.lit(0.8).alias("weight"))

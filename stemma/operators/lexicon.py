@@ -78,3 +78,17 @@ def decisions(rows: DataFrame) -> DataFrame:
     valid = rows.withColumns({"action": action, "target": F.nullif(target, F.lit(""))}).where("action IS NOT NULL")
     best = valid.groupBy("term").agg(F.max_by(F.struct("action", "target"), F.struct(F.col("action") == "drop", "seq")).alias("d"))
     return best.select("term", "d.action", "d.target")
+
+
+def variants(cell: Column) -> Column:
+    """Names in a cell: split at 、 / ／ but not within quotes, numbers such as 1/2 or brackets; brackets are left out."""
+    bare = F.regexp_replace(cell, r"（[^（）]*）|\([^()]*\)", "")
+    masked = F.regexp_replace(F.regexp_replace(bare, r"(?<=\d)[/／](?=\d)", "\u0001"), r"(“[^”]*)[、/／]([^”]*”)", "$1\u0002$2")
+    parts = F.transform(F.split(masked, r"[、/／]"), lambda x: F.trim(F.replace(F.replace(x, F.lit("\u0001"), F.lit("/")), F.lit("\u0002"), F.lit("、"))))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+
+
+def bracketed(cell: Column) -> Column:
+    """What stands in a cell's brackets: candidates for aliases, without notes on laws or amounts."""
+    inner = F.regexp_extract_all(cell, F.lit(r"[（(]([^（）()]*)[）)]"), F.lit(1))
+    return F.array_distinct(F.filter(inner, lambda x: (x != "") & ~x.rlike(r"第.+条|[法例则]$|^\d+[个项种类]?$")))

@@ -130,3 +130,22 @@ def test_operators_on_empty_tables(spark, case):
     assert graph.dedupe(e).count() == graph.degree(e).count() == graph.chains(e).count() == 0
     t = spark.createDataFrame([], "k string, v string, n int")
     assert tables.majority(t, "k", "v").count() == tables.gaps(t, "k", "n").count() == tables.quantiles(t, "k", "n", [0.5]).count() == 0
+
+
+def test_quotas_stars_and_taxonomies(spark):
+    direct = spark.createDataFrame([("t", "b"), ("t", "a")], "src string, dst string")
+    indirect = spark.createDataFrame([("t", "a", 9), ("t", "d", 3), ("t", "c", 3), ("t", "e", 1), ("u", "z", 2)], "src string, dst string, n int")
+    assert rows(graph.mixed_quota(direct, indirect, 3)) == [("t", "a", 0.7), ("t", "b", 0.7), ("t", "c", 0.4), ("u", "z", 0.4)]
+    members = spark.createDataFrame([("1", "x", "x"), ("2", "y", "x"), ("3", "z", "w")], "id string, label string, topic string")
+    assert rows(graph.star(members)) == [("2", "1", "termrel", 0.8)]
+    books = spark.createDataFrame([("CN", "p", "law", "B"), ("CN", "p", "law", "A"), ("CN", "p", None, "C"), ("US", "t", "act", "D")], "country string, field string, kind string, title string")
+    got = {r.country: r.below for r in catalog.taxonomy(books, ("country", "field", "kind"), "title").collect()}
+    assert got["CN"][0].below[0].leaves == ["A", "B"] and got["US"][0].field == "t"
+    assert [r.sheet for r in catalog.sheets(books, [F.col("title")], 2, ["country"]).orderBy("country", "title").collect()] == [1, 1, 2, 1]
+
+
+def test_cells(spark):
+    df = spark.createDataFrame([("甲、乙（丙）/丁 1/2",), ("“a、b”／c（专利法）（第3条）(别名)",)], "t string")
+    got = df.select(lexicon.variants(F.col("t")), lexicon.bracketed(F.col("t"))).collect()
+    assert got[0][0] == ["甲", "乙", "丁 1/2"] and got[0][1] == ["丙"]
+    assert got[1][0] == ["“a、b”", "c"] and got[1][1] == ["别名"]

@@ -50,8 +50,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Parts of class and id names.
 NAMED = "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended breadcrumb breadcrumbs pagination pager comment comments disqus respond reply replies widget toolbar copyright login search".split()
 CONTENT = "content article post entry story main text body".split()
-_NAMED = re.compile(r"(?:^|[-_])(?:" + "|".join(NAMED) + r")(?:$|[-_0-9])")
-_COMMENT = re.compile(r"(?:^|[-_])(?:comments?|replies|reply|disqus)(?:$|[-_0-9])")
+#: With these beginnings or ends a name means the same without a hyphen.
+BEGINNINGS = "comment cookie advert sidebar navbar navigation newsletter breadcrumb sponsor popup disqus footer masthead subscri pagination adsby".split()
+ENDINGS = "nav menu sidebar footer banner comments".split()
+_NAMED = re.compile(r"(?:^|[-_])(?:" + "|".join(NAMED) + r")s?(?:$|[-_0-9])|(?:^|[-_])(?:" + "|".join(BEGINNINGS) + r")|(?:" + "|".join(ENDINGS) + r")(?:$|[-_0-9])")
+_COMMENT = re.compile(r"(?:^|[-_])(?:comment|repl(?:y|ies)(?:$|[-_0-9])|disqus)")
 _CONTENT = re.compile(r"(?:^|[-_])(?:" + "|".join(CONTENT) + r")(?:$|[-_0-9])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*'){0,8192})>", re.S)

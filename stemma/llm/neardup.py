@@ -302,9 +302,13 @@ def _key(text: Column) -> Column:
     return F.xxhash64(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Verified links a < b of similar texts, with their similarity. texts: key, text; rows of one key have one text."""
-    signed = texts.mapInArrow(_sign, _SIGNED_SQL)
+def links(texts: DataFrame, lowest: DataFrame) -> DataFrame:
+    """Verified links a < b of similar texts, with their similarity.
+
+    texts: doc_id, key, text, where rows of one key have one text; lowest: key, lowest (its smallest doc_id). Texts are
+    fetched by doc_id and key, so that copies of one text don't meet in one task.
+    """
+    signed = texts.select("key", "text").mapInArrow(_sign, _SIGNED_SQL)
     signed = cut_columnar(signed)
     local = signed.select(F.col("key").alias("x"), F.explode("led_by").alias("y"))
     rows = signed.select(F.explode("bands").alias("band"), "key", "s0", "s1")
@@ -312,7 +316,9 @@ def links(texts: DataFrame) -> DataFrame:
     pairs = local.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(shared).where("a < b").distinct()
     pairs = cut(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = cut_columnar(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
+    ends = ends.join(lowest, "key").select("key", F.coalesce("lowest", F.lit(0)).alias("row"))
+    found = texts.withColumn("row", F.coalesce("doc_id", F.lit(0))).join(ends, ["key", "row"], "left_semi")
+    wanted = cut_columnar(found.groupBy("key").agg(F.min("text").alias("text")))
     one, two = (wanted.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY)
@@ -326,13 +332,11 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     own = own.withColumn("key", F.when(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), _key(F.col("text"))))
     worded = own.where(F.col("key").isNotNull())
-    heads = components(links(worded.select("key", "text")))
-    lowest = worded.groupBy("key").agg(F.min("doc_id").alias("lowest")).join(heads.withColumnRenamed("node", "key"), "key", "left")
-    lowest = lowest.withColumn("head", F.coalesce("head", "key"))
-    of_head = lowest.where(F.col("head") != F.col("key")).groupBy("head").agg(F.min("lowest").alias("low"))
-    table = lowest.join(of_head, "head", "left").select("head", "key", F.least("lowest", "low").alias("own_low"))
-    top = table.where(F.col("head") == F.col("key")).select("head", F.col("own_low").alias("class_id"))
-    table = cut_columnar(table.join(top, "head").select(F.col("key").alias("table_key"), "class_id", F.col("head").alias("class_key")))
+    lowest = cut(worded.groupBy("key").agg(F.min("doc_id").alias("lowest")))
+    heads = components(links(worded, lowest))
+    member = cut(lowest.join(heads.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("head", "key")))
+    of_class = cut(member.groupBy("class_key").agg(F.min("lowest").alias("class_id")))  # cut, so that a hot class's join can be split
+    table = cut_columnar(member.join(of_class, "class_key").select(F.col("key").alias("table_key"), "class_id", "class_key"))
     out = own.join(table, F.col("key") == F.col("table_key"), "left")
     return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", *[F.col(f"kept_{c}") for c in keep])
 

@@ -125,11 +125,12 @@ def vocabulary(counts: DataFrame, most: int = HEAD) -> Vocabulary:
         if bins[b] > left:
             break
         bound, left = b, left - bins[b]
-    rows = counts.where(size >= bound).toPandas().sort_values(["n", "h"], ascending=[False, True])
+    rows = counts.where(size >= bound).select("h", "n", "kind").toArrow().sort_by([("n", "descending"), ("h", "ascending")])  # without a Python object a row
     by_kind = {r["kind"]: (r["t"], r["d"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("t"), F.count("*").alias("d")).collect()}  # at most CLASSES
     class_total, class_distinct = (np.array([by_kind.get(k, (0, 0))[i] for k in range(CLASSES)], np.int64) for i in (0, 1))
     total, distinct = int(class_total.sum()), int(class_distinct.sum())
-    h, n, kind = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["kind"].to_numpy().astype(np.int64)
+    h, n, kind = (rows[c].to_numpy() for c in ("h", "n", "kind"))
+    h, kind = h.view(np.uint64), kind.astype(np.int64)
     symbol = np.full(len(h), -1, np.int32)
     symbol[:EMITTED] = np.arange(min(EMITTED, len(h)))
     class_total -= np.bincount(kind[:EMITTED], n[:EMITTED], CLASSES).astype(np.int64)

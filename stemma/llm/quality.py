@@ -35,6 +35,9 @@ NEAREST = 0.75
 STEPS = 3
 CUTOFF = 1 - 1e-6
 MIN_GROUP = 200
+#: Groups whose parameters are broadcast (some 500 bytes each); beyond, rows and parameters are joined by group and salt.
+BROADCAST_GROUPS = 20_000
+SALTS = 32
 MIN_WORDS = 50
 
 
@@ -117,24 +120,33 @@ def _distance() -> Column:
     return reduce(Column.__add__, terms)
 
 
+def _with(rows: DataFrame, groups: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
+    """rows with their group's columns, without bringing a group's rows together. groups: one row a key; n: how many."""
+    if n <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), key, how)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*FLOOR), F.lit(SALTS)))
+    return dealt.join(groups.withColumn("_salt", F.expr(f"explode(sequence(0L, {SALTS - 1}L))")), [key, "_salt"], how).drop("_salt")
+
+
 def estimate(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """grp, mu, inverse, scale (median squared distance over its expectation) by minimum covariance determinant.
 
     vectors: grp and the statistics.
     """
     names, floor = list(FLOOR), list(FLOOR.values())
+    n = vectors.select("grp").distinct().count()
     centre = vectors.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(names)])
-    spread = vectors.join(centre, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000).alias(f"v{i}") for i, f in enumerate(names)])
+    spread = _with(vectors, centre, "grp", n).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000).alias(f"v{i}") for i, f in enumerate(names)])
     inverse = [1 / (F.pow(1.4826 * F.col(f"v{i}"), 2) + floor[i] ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
     found = cut_columnar(spread.select("grp", F.array(*[F.col(f"m{i}") for i in range(P)]).alias("mu"), F.array(*inverse).alias("inverse")))
     for _ in range(steps):
-        far = vectors.join(found, "grp").select("grp", *names, _distance().alias("d"))
+        far = _with(vectors, found, "grp", n).select("grp", *names, _distance().alias("d"))
         near = far.groupBy("grp").agg(F.percentile_approx("d", NEAREST, 1000).alias("most"))
-        kept = far.join(near, "grp").where("d <= most")
+        kept = _with(far, near, "grp", n).where("d <= most")
         sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
         moments = kept.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(names)], *sums)
         found = cut_columnar(moments.mapInArrow(_estimates, "grp string, mu array<double>, inverse array<double>"))
-    middle = vectors.join(found, "grp").groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("middle"))
+    middle = _with(vectors, found, "grp", n).groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("middle"))
     return found.join(middle, "grp").select("grp", "mu", "inverse", F.greatest(F.col("middle") / chi2(0.5), F.lit(1.0)).alias("scale"))
 
 
@@ -151,9 +163,10 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     grp = F.when(~few, F.col("pair")).when(F.col("n_lang") >= MIN_GROUP, F.to_json(F.struct(F.col("lang"), F.lit(True).alias("pooled")))).otherwise(F.lit("rest"))
     named = fine.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").select("pair", grp.alias("grp"))
     named = cut_columnar(named)
-    ready = rows.withColumn("pair", pair).join(named, "pair", "left")
+    n = named.count()
+    ready = _with(rows.withColumn("pair", pair), named, "pair", n, "left")
     vectors = cut_columnar(ready.where("NOT base_failed").select("grp", *FLOOR))
     found = estimate(vectors)
-    judged = ready.join(found, "grp", "left").withColumn("distance", _distance() / F.col("scale"))
+    judged = _with(ready, found, "grp", n, "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2(CUTOFF), F.lit(True))
     return judged.select("doc_id", *BASE, "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), kept.alias("kept"), *[F.col(f"kept_{c}") for c in keep])

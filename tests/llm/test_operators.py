@@ -213,6 +213,11 @@ def test_html(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("key, part", [("div.commentlist", -1), ("ol.comment-list", -1), ("div.topnav", -1), ("div.site-notices", -1), ("div.cookiebar", -1), ("aside", -1), ("div.ad", -1), ("div.ads-0", -1), ("div.adobe", 0), ("div.canvas", 0), ("div.shadow", 0), ("div.header-text@main", 2), ("div.with-sidebar", 0), ("body.has-sidebar", 0), ("article.comment", -1), ("article.post.sidebar-right", 3), ("main", 2), ("div@navigation", -1), ("div.entry-content", 1), ("section.downloads", 0), ("div.loading", 0), ("p", 0), ("div.breadcrumbs", -1), ("ul.menu-main", -1)])
+def test_what_names_mean(key, part):
+    assert html._part(key, False) == part
+
+
 def test_wrapper_is_union_free_and_bounded():
     w = html.merge(html.tree("<ul><li>a<li>b</ul><p>x"), html.tree("<ul><li>c</ul><h2>t</h2><p>y"))
     assert html.expression(w[5]) == "<ul>(<li>#TEXT</>)+</>(<h2>\"t\"</>)?<p>#TEXT</>"
@@ -238,7 +243,9 @@ def test_quality_statistics():
         assert tuple(int(got[b][i]) for b in quality.BASE) == want
 
 
-def test_quality_rejects_outliers_and_keeps_prose(spark):
+@pytest.mark.parametrize("groups", [quality.BROADCAST_GROUPS, 0])
+def test_quality_rejects_outliers_and_keeps_prose(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", groups)
     r = random.Random(8)
     texts = [prose(r, r.randint(60, 400)).capitalize() + "." for _ in range(600)] + ["%%% ".join(f"w{r.randrange(400)}" for _ in range(100)) for _ in range(20)] + ODD
     docs = docs_of(spark, texts).unionByName(docs_of(spark, texts[:30], lang=None, source=None))

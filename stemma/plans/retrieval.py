@@ -15,6 +15,9 @@ NOT_QUERIES = ("corpus",)
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a file of one row group would be one task
+        docs = docs.repartition(cores)
     return docs.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.col("lang").alias("domain"))
 
 

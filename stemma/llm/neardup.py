@@ -14,8 +14,8 @@ all; in buckets of up to eight members all near pairs are candidates.
 Candidates are verified on both whole texts: a Jaccard similarity of 0.8 or more of their sets of shingles, which equals the
 estimated one where no shingle repeats. Verified links are closed to classes.
 
-Scale: no group is collected into one row. Very near texts of the same input batch are linked before the shuffle and only
-their leader goes on, so a hot group of copies is reduced where it lies. A bucket streams through its task in blocks;
+Scale: no group is collected into one row. Texts of the same input batch with the same shingles are linked before the shuffle
+and only the first goes on, which has the same bands; texts that differ all go on. A bucket streams through its task in blocks;
 memory is one block and the leaders so far. Texts are shuffled only if they are in a candidate pair. Components run by
 label propagation with hooking and pointer jumping over the links, a checkpoint a round.
 
@@ -95,17 +95,20 @@ _SIGNED = pa.schema([("key", pa.int64()), ("bands", pa.list_(pa.int64())), ("s0"
 _SIGNED_SQL = "key long, bands array<long>, s0 long, s1 long, led_by array<long>"
 
 
-def sign(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether a text has words; the others' bands and sketches."""
+def sign(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a text has words; the others' bands, sketches and 64 bits of their shingles and counts."""
     h, _, _, ranges = _text.words(*_text.buffers(texts), _text.ALNUM)
-    own = registers(*shingles(h, ranges), len(texts))
+    doc, g, count = shingles(h, ranges)
+    own = registers(doc, g, count, len(texts))
+    whole = np.zeros(len(texts), np.uint64)
+    np.add.at(whole, doc, _text.mix(g + _text.mix(count.astype(np.uint64))))
     bands = np.zeros((len(texts), BANDS), np.uint64)
     for k in range(ROWS):
         bands = _text.mix(bands + own[:, k::ROWS] + np.uint64(k + 1))
     bands = _text.mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
     sketch = np.packbits((_text.mix(own[:, :_BITS]) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
     full = np.diff(ranges) > 0
-    return full, bands[full], sketch[full]
+    return full, bands[full], sketch[full], whole[full]
 
 
 def _far(similarity: float) -> int:
@@ -126,26 +129,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(keys[a:b], *sign(texts.slice(a, b - a))) for a, b in _text.chunks(texts, 1 << 20)]
         if not parts:
             continue
-        keys = np.concatenate([k[full] for k, full, _, _ in parts])
+        keys = np.concatenate([p[0][p[1]] for p in parts])
         bands, sketch = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
-        led_by: list[set[int]] = [set() for _ in keys]
-        gone = np.zeros(bands.shape, bool)
-        for k in range(BANDS):
-            order = np.argsort(bands[:, k], kind="stable")
-            own = bands[order, k]
-            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
-            starts, stops = np.append(0, cuts), np.append(cuts, len(own))
-            for a, b in zip(starts[stops - starts > 1].tolist(), stops[stops - starts > 1].tolist()):
-                member = order[a:b]
-                while len(member) > 1:
-                    near = _distance(sketch[member], sketch[member[0]]) <= _far(VERY_NEAR)
-                    for i in member[1:][near[1:]].tolist():
-                        led_by[i].add(int(keys[member[0]]))
-                    gone[member[1:][near[1:]], k] = True
-                    member = member[~near]
-        rows = [b[~g] for b, g in zip(bands, gone)]
+        _, first, same = np.unique(np.concatenate([p[4] for p in parts]), return_index=True, return_inverse=True)
+        leader = first[same]  # the first text of the batch with the same shingles, of the same counts: of the same bands
+        led = leader != np.arange(len(keys))
+        rows = [b[:0] if gone else b for b, gone in zip(bands, led)]
+        led_by = [[int(keys[i])] if gone else [] for i, gone in zip(leader, led)]
         for a in range(0, len(keys), 2000):
-            yield batch_of(_SIGNED, {"key": keys[a : a + 2000], "bands": rows[a : a + 2000], "s0": sketch[a : a + 2000, 0], "s1": sketch[a : a + 2000, 1], "led_by": [list(x) for x in led_by[a : a + 2000]]})
+            yield batch_of(_SIGNED, {"key": keys[a : a + 2000], "bands": rows[a : a + 2000], "s0": sketch[a : a + 2000, 0], "s1": sketch[a : a + 2000, 1], "led_by": led_by[a : a + 2000]})
 
 
 class Bucket:

@@ -369,6 +369,15 @@ def test_near_duplicates_odd_tables(spark):
     assert neardup.classes(rows.limit(0)).count() == 0
 
 
+def test_only_texts_with_the_same_shingles_stand_for_each_other_in_bands():
+    words = prose(random.Random(21), 400, 5000).split()
+    texts = [" ".join(words), " ".join([*words[:-1], "edited"]), ", ".join(words).upper() + "!"]
+    keys = np.arange(3)
+    out = next(neardup._sign(iter([pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts)], names=["key", "text"])])))
+    assert [len(x) for x in out.column(1).to_pylist()] == [neardup.BANDS, neardup.BANDS, 0]
+    assert out.column(4).to_pylist() == [[], [], [0]]
+
+
 def test_probminhash_estimates_probability_jaccard():
     r = np.random.default_rng(12)
     g = _text.mix(np.arange(300, dtype=np.uint64))

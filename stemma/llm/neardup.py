@@ -10,13 +10,14 @@ similarity 0.8 share no bucket with probability 1.5e-5, less above. Within a buc
 sketches with leaders: the member nearest to the bucket's majority sketch first, then members that were near to fewer than
 two leaders and very near to none. A leader is paired with the near members that still lack one and with the two nearest
 others, so a bucket of n texts gives at most 4 * n candidates, and only texts that are near to nothing are compared with
-all; in buckets of up to eight members all near pairs are candidates.
+all; in buckets of up to eight members all near pairs are candidates. Once these are verified and closed to classes, all
+near pairs of larger buckets whose texts are still in different classes are candidates too, so no near pair is left out.
 Candidates are verified on both whole texts: a Jaccard similarity of 0.8 or more of their sets of shingles, which equals the
 estimated one where no shingle repeats. Verified links are closed to classes.
 
 Scale: no group is collected into one row. Texts of the same input batch with the same shingles are linked before the shuffle
 and only the first goes on, which has the same bands; texts that differ all go on. A bucket streams through its task in blocks;
-memory is one block and the leaders so far. Texts are shuffled only if they are in a candidate pair. Components run by
+memory is one block and the leaders so far, and in the second round its keys, heads and sketches. Texts are shuffled only if they are in a candidate pair. Components run by
 label propagation with hooking and pointer jumping over the links, a checkpoint a round.
 
 Defined cases: null and wordless texts are classes of their own; repeated rows and copies share a class; the class id is
@@ -189,8 +190,8 @@ class Bucket:
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches: band, key, sketch words, sorted by band."""
+def _found(batches: Iterator[pa.RecordBatch], large: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """batches: band, key, sketch words, sorted by band. The rows of buckets of more than SMALL members are put into large."""
     held: list[np.ndarray] = []  # of the last bucket seen
     n_held, bucket = 0, None
 
@@ -199,6 +200,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held and (n_held > 1 or bucket):
             rows = np.concatenate(held)
             alone = bucket is None
+            if not alone or len(rows) > SMALL:
+                large.append(rows)
             yield from (bucket or Bucket()).pairs(rows[:, 1], np.ascontiguousarray(rows[:, 2:]), alone)
         held, n_held, bucket = [], 0, None
 
@@ -220,6 +223,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows[two[d], 1], rows[two[d] + 1, 1]
             for a, n in zip(inner[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 own = Bucket()
+                if n > SMALL:
+                    large.append(rows[a : a + n])
                 for at in range(a, a + n, BLOCK):
                     part = rows[at : min(a + n, at + BLOCK)]
                     yield from own.pairs(part[:, 1], np.ascontiguousarray(part[:, 2:]), n <= BLOCK)
@@ -227,19 +232,86 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n_held >= BLOCK:
             bucket = bucket or Bucket()
             rows = np.concatenate(held)
+            large.append(rows)
             yield from bucket.pairs(rows[:, 1], np.ascontiguousarray(rows[:, 2:]), False)
             held, n_held = [rows[-1:]], 0
 
-    def out(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        got = list(found)
-        if got:
-            a, b = (np.concatenate(x) for x in zip(*got, strict=True))
-            yield batch_of(_PAIR, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def out(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *found, strict=True))
+        return batch_of(_PAIR, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     for batch in batches:
         if batch.num_rows:
-            yield from out(taken(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)))
-    yield from out(close())
+            yield out(taken(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)))
+    yield out(close())
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _found(batches, [])
+
+
+_ROUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+_ROUND_SQL = "a long, b long, band long, s0 long, s1 long"
+
+
+def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates a, b, and the members a of large buckets with band and sketch and without b."""
+    large: list[np.ndarray] = []
+    for pairs in _found(batches, large):
+        n = pairs.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([*pairs.columns, *[pa.nulls(n, pa.int64())] * 3], schema=_ROUND)
+        for rows in large:
+            band, key, s0, s1 = (pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4))
+            yield pa.RecordBatch.from_arrays([key, pa.nulls(len(rows), pa.int64()), band, s0, s1], schema=_ROUND)
+        large.clear()
+
+
+def _apart(head: np.ndarray, key: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near pairs of a bucket whose heads differ: those of the smaller group with all of larger ones."""
+    _, group, size = np.unique(head, return_inverse=True, return_counts=True)
+    order = np.lexsort((key, group, size[group]))
+    group, key, sketch = group[order], key[order], sketch[order]
+    stops = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+    for i in range(stops[-2] if len(stops) > 1 else 0):
+        after = stops[np.searchsorted(stops, i, "right")]
+        near = _distance(sketch[after:], sketch[i]) <= _far(NEAR)
+        if near.any():
+            yield np.full(int(near.sum()), key[i]), key[after:][near]
+
+
+def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches: band, head, key, sketch words, sorted by band."""
+    held: list[np.ndarray] = []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        got, n = [], 0
+        if held:
+            rows = np.concatenate(held)
+            for pair in _apart(rows[:, 1], rows[:, 2], np.ascontiguousarray(rows[:, 3:])):
+                got.append(pair)
+                n += len(pair[0])
+                if n >= BLOCK:
+                    yield out(got)
+                    got, n = [], 0
+        if got:
+            yield out(got)
+        held = []
+
+    def out(got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+        return batch_of(_PAIR, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        for part in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
+            if held and held[-1][-1, 0] != part[0, 0]:
+                yield from close()
+            held.append(part)
+    yield from close()
 
 
 def similar(x: pa.Array, y: pa.Array) -> np.ndarray:
@@ -304,16 +376,29 @@ def links(texts: DataFrame, lowest: DataFrame) -> DataFrame:
     signed = cut_columnar(signed)
     local = signed.select(F.col("key").alias("x"), F.explode("led_by").alias("y"))
     rows = signed.select(F.explode("bands").alias("band"), "key", "s0", "s1")
-    shared = rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_candidates, "a long, b long")
-    pairs = local.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(shared).where("a < b").distinct()
+    shared = cut_columnar(rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_first_round, _ROUND_SQL))
+    large = shared.where("b IS NULL").select("band", F.col("a").alias("key"), "s0", "s1")
+    pairs = local.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(shared.where("b IS NOT NULL").select("a", "b")).where("a < b").distinct()
     pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
     ends = ends.join(lowest, "key").select("key", F.coalesce("lowest", F.lit(0)).alias("row"))
     found = texts.withColumn("row", F.coalesce("doc_id", F.lit(0))).join(ends, ["key", "row"], "left_semi")
     wanted = cut_columnar(found.groupBy("key").agg(F.min("text").alias("text")))
-    one, two = (wanted.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one, two = (wanted.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+        return full.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY)
+
+    first = verified(pairs)
+    if not large.limit(1).count():
+        return first
+    first = cut(first)
+    heads = components(first).withColumnRenamed("node", "key")
+    headed = large.join(heads, "key", "left").select("band", F.coalesce("head", "key").alias("head"), "key", "s0", "s1")
+    apart = headed.repartition("band").sortWithinPartitions("band").mapInArrow(_second_round, "a long, b long")
+    rest = cut(apart.where("a < b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    return first.unionByName(verified(rest)) if rest.limit(1).count() else first
 
 
 def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -397,6 +397,32 @@ def test_a_bucket_of_alike_texts_gives_few_pairs():
     assert 2999 <= sum(len(a) for a, _ in pairs) <= 4 * 3000
 
 
+def test_links_within_a_family_below_the_threshold(spark):
+    r = random.Random(23)
+    common = prose(r, 200, 5000).split()
+    texts = [" ".join(common + prose(r, 30, 5000).split()) for _ in range(400)]  # similarity about 0.77
+    for i in range(100):  # planted: about 0.82
+        texts.append(" ".join(texts[i].split()[:-22] + prose(r, 22, 5000).split()))
+    sets = [shingle_set(t) for t in texts]
+    assert all(len(sets[i] & sets[400 + i]) >= 0.8 * len(sets[i] | sets[400 + i]) for i in range(100))
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_second_round_gives_all_near_pairs_of_different_classes(monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    r = np.random.default_rng(24)
+    sketch = np.array([0, 0]) ^ (r.integers(0, 2, (60, 2)) << r.integers(0, 62, (60, 2)))
+    sketch[50:] = r.integers(-(2**63), 2**63 - 1, (10, 2))
+    head = r.integers(0, 5, 60)
+    table = np.column_stack([np.repeat([1, 2], 30), head, np.arange(60), sketch])
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i // 30 == j // 30 and head[i] != head[j] and neardup._distance(sketch[i : i + 1], sketch[j])[0] <= neardup._far(neardup.NEAR)}
+    for size in (7, 60):
+        batches = [pa.RecordBatch.from_arrays([pa.array(table[i : i + size, k]) for k in range(5)], names=list("hbkst")) for i in range(0, 60, size)]
+        pairs = [(a, b) for x in neardup._second_round(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
 def test_buckets_stream_in_blocks(monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 64)
     r = np.random.default_rng(17)

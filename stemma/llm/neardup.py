@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text is a weighted set: its five-word shingles (a text of one to four words is one shingle), of weight 1 + log10 of their
-count, so that a line repeated many times counts for more but doesn't drown the rest. Each shingle is a Poisson process whose rate is its weight; arrivals fall on uniformly random registers, a
-register keeps the shingle that arrives first, and a process ends once its next arrival comes after the latest register.
-Two texts agree in a register with the probability Jaccard similarity of their weighted sets.
+A text is the set of its five-word shingles (a text of one to four words is one shingle), each of weight one however often
+it occurs, as links are defined by sets. Each shingle is a Poisson process whose rate is its weight; arrivals fall on
+uniformly random registers, a register keeps the shingle that arrives first, and a process ends once its next arrival comes
+after the latest register. Two texts agree in a register with the probability Jaccard similarity of their weighted sets,
+which is the Jaccard similarity at equal weights.
 
 Texts that differ only in the case of A-Z are one node, known by 64 bits of their hash. Registers are banded: texts of
 similarity 0.8 share no bucket with probability 1.5e-5, less above. Within a bucket, members are compared by one-bit
@@ -12,8 +13,8 @@ two leaders and very near to none. A leader is paired with the near members that
 others, so a bucket of n texts gives at most 4 * n candidates, and only texts that are near to nothing are compared with
 all; in buckets of up to eight members all near pairs are candidates. Once these are verified and closed to classes, all
 near pairs of larger buckets whose texts are still in different classes are candidates too, so no near pair is left out.
-Candidates are verified on both whole texts: a Jaccard similarity of 0.8 or more of their sets of shingles, which equals the
-estimated one where no shingle repeats. Verified links are closed to classes.
+Near is a sketch distance that a pair of similarity 0.8 exceeds with probability 2.8e-7. Candidates are verified on both
+whole texts: a Jaccard similarity of 0.8 or more of their sets of shingles, the one that is estimated. Verified links are closed to classes.
 
 Scale: no group is collected into one row. Texts of the same input batch with the same shingles are linked before the shuffle
 and only the first goes on, which has the same bands; texts that differ all go on. A bucket streams through its task in blocks;
@@ -42,8 +43,8 @@ ROWS = 5
 _M = BANDS * ROWS
 #: Registers of which a sketch keeps one bit each.
 _BITS = 128
-#: Estimated similarity of near texts (3.8 standard deviations below 0.8), and of texts that need no other leader.
-NEAR = 0.6
+#: Estimated similarity of near texts (5.7 standard deviations below 0.8), and of texts that need no other leader.
+NEAR = 0.5
 VERY_NEAR = 0.92
 LEADERS = 2
 SMALL = 8
@@ -97,12 +98,12 @@ _SIGNED_SQL = "key long, bands array<long>, s0 long, s1 long, led_by array<long>
 
 
 def sign(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whether a text has words; the others' bands, sketches and 64 bits of their shingles and counts."""
+    """Whether a text has words; the others' bands, sketches and 64 bits of their sets of shingles."""
     h, _, _, ranges = _text.words(*_text.buffers(texts), _text.ALNUM)
-    doc, g, count = shingles(h, ranges)
-    own = registers(doc, g, count, len(texts))
+    doc, g, _ = shingles(h, ranges)
+    own = registers(doc, g, np.ones(len(g)), len(texts))
     whole = np.zeros(len(texts), np.uint64)
-    np.add.at(whole, doc, _text.mix(g + _text.mix(count.astype(np.uint64))))
+    np.add.at(whole, doc, _text.mix(g))
     bands = np.zeros((len(texts), BANDS), np.uint64)
     for k in range(ROWS):
         bands = _text.mix(bands + own[:, k::ROWS] + np.uint64(k + 1))
@@ -133,7 +134,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([p[0][p[1]] for p in parts])
         bands, sketch = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
         _, first, same = np.unique(np.concatenate([p[4] for p in parts]), return_index=True, return_inverse=True)
-        leader = first[same]  # the first text of the batch with the same shingles, of the same counts: of the same bands
+        leader = first[same]  # the first text of the batch with the same shingles, so of the same bands
         led = leader != np.arange(len(keys))
         rows = [b[:0] if gone else b for b, gone in zip(bands, led)]
         led_by = [[int(keys[i])] if gone else [] for i, gone in zip(leader, led)]

@@ -378,6 +378,14 @@ def test_only_texts_with_the_same_shingles_stand_for_each_other_in_bands():
     assert out.column(4).to_pylist() == [[], [], [0]]
 
 
+def test_bands_and_sketches_take_texts_as_sets():
+    words = prose(random.Random(22), 300, 5000).split()
+    often = words + words[:100] * 40
+    full, bands, sketch, whole = neardup.sign(pa.array([" ".join(words), " ".join(often), " ".join(words + words[:100] * 2)]))
+    assert (bands[1] == bands[2]).all() and (sketch[1] == sketch[2]).all() and whole[1] == whole[2] != whole[0]
+    assert neardup._far(neardup.NEAR) >= 32  # of 128 bits, each different with probability 0.1 at similarity 0.8: more in 2.8e-7
+
+
 def test_probminhash_estimates_probability_jaccard():
     r = np.random.default_rng(12)
     g = _text.mix(np.arange(300, dtype=np.uint64))

@@ -111,8 +111,8 @@ SELECT user_id, event_id, change FROM r WHERE n = 1 AND NOT (first = 'add' AND c
 
 def anchor_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A marked "the" of each document's fortieth character on, found again after a line was put before it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.instr(F.substring("text", 41, 400), "the") > 0)
-    at = F.instr(F.substring("text", 41, 400), "the") + 39
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.locate("the", "text", 41) > 0)
+    at = F.locate("the", "text", 41) - 1
     rows = docs.select("doc_id", F.concat(F.lit("New.\n"), "text").alias("now"), at.alias("start"), F.substring(F.col("text"), at - 7, F.lit(8)).alias("prefix"), F.substring(F.col("text"), at + 4, F.lit(8)).alias("suffix"))
     found = changes.anchored(F.col("now"), F.lit("the"), F.col("prefix"), F.col("suffix"), F.col("start"))
     return rows.select("doc_id", "start", found.cast("int").alias("found")).withColumn("kept", F.col("found") == F.col("start") + 5)

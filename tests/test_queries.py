@@ -50,6 +50,13 @@ def test_anchors_move_with_the_edit(spark):
     assert rows and all(r.kept for r in rows)
 
 
+def test_anchors_are_sought_in_whole_texts(spark, tmp_path):
+    texts = ["x " * 2000 + "the end of it", "the first is too early", "a" * 40 + "the", "b " * 30 + "the one and the other", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["anchor_after_edit"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.start, r.kept) for r in rows) == [(0, 4000, True), (2, 40, True), (3, 60, True)]
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.oracle_sql()) <= set(registry.queries()) <= set(entry.queries())

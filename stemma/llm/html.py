@@ -7,8 +7,8 @@ one repeated group of optional children, so a wrapper's size is bounded by the n
 
 The slots of a wrapper are then ranked by the elements around them: within an article, within the main part, within an
 element named like content, or elsewhere in the body; slots in menus, headers, footers, sidebars, notices, adverts, forms,
-comments and the like have no rank, nor has text outside articles that is constant over ``CONSTANT`` pages or more. A page's
-text is what stands in its slots of the highest rank, by block.
+comments and the like have no rank. Text elsewhere in the body that is constant over ``CONSTANT`` different pages or more
+has the lowest rank. A page's text is what stands in its slots of the highest rank, by block.
 
 Scale: wrappers are merged within each task first, then by host and salt, then by host; a host with a third of the pages
 sends a few kilobytes from each task. Wrappers are broadcast if measured below ``BROADCAST`` bytes, else joined by host.
@@ -19,6 +19,7 @@ markup is read as far as it is markup; elements left open end with their parents
 
 from __future__ import annotations
 
+import hashlib
 import html as _entities
 import json
 import re
@@ -138,38 +139,47 @@ def events(page: str) -> Iterator[tuple[str, str]]:
     yield from pop_to(0)
 
 
-# A wrapper node is [key, repeated, optional, constant text or None, pages, children]; text nodes have the key "#".
+# A wrapper node is [key, repeated, optional, constant text or None, pages, children]; text nodes have the key "#". Of long
+# texts the constant is the beginning and a digest; pages are the lowest CONSTANT digests of the different pages.
 Node = list
 
 
+def _digest(text: str, size: int) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).hexdigest()
+
+
 def tree(page: str) -> Node:
-    root: Node = ["", False, False, None, 1, []]
+    pages = [_digest(page, 8)]
+    root: Node = ["", False, False, None, [], []]
     path = [root]
     for kind, value in events(page):
         if kind == "open":
-            node = [value, False, False, None, 1, []]
+            node = [value, False, False, None, [], []]
             path[-1][5].append(node)
             path.append(node)
         elif kind == "close":
             path.pop()
         elif kind == "text" and not value.isspace():
             own = path[-1][5]
-            text = " ".join(value.split())[:120]
+            text = " ".join(value.split())
             if own and own[-1][0] == "#":
-                own[-1][3] = f"{own[-1][3]} {text}"[:120]
+                own[-1][5].append(text)
             else:
-                own.append(["#", False, False, text, 1, []])
+                own.append(["#", False, False, None, pages, [text]])
     return _folded(root)
 
 
 def _folded(node: Node) -> Node:
+    if node[0] == "#":
+        text = " ".join(node[5])
+        return [*node[:3], text if len(text) <= 120 else f"{text[:120]} {_digest(text, 16)}", node[4], []]
     node[5] = fold([_folded(c) for c in node[5]])
     return node
 
 
 def merge(a: Node, b: Node, repeated: bool = False) -> Node:
     """Of nodes with one key; repeated: they are of the same page."""
-    return [a[0], a[1] or b[1] or repeated, a[2] or b[2], a[3] if a[3] == b[3] else None, max(a[4], b[4]) if repeated else a[4] + b[4], align(a[5], b[5])]
+    return [a[0], a[1] or b[1] or repeated, a[2] or b[2], a[3] if a[3] == b[3] else None, a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:CONSTANT], align(a[5], b[5])]
 
 
 def fold(nodes: list[Node]) -> list[Node]:
@@ -247,15 +257,16 @@ def rank(path: str) -> int:
 
 
 def slots(wrapper: Node) -> dict[str, int]:
-    """Path of each slot of main text -> its rank."""
+    """Path of each slot of main text -> its rank and one; 0 if it has no rank above 0 and its text is constant."""
     out: dict[str, int] = {}
 
     def walk(node: Node, path: str) -> None:
         for child in node[5]:
             if child[0] == "#":
                 own = rank(path)
-                if own == 3 or own >= 0 and not (child[3] is not None and child[4] >= CONSTANT):
-                    out[path] = own
+                if own >= 0:
+                    constant = own == 0 and child[3] is not None and len(child[4]) >= CONSTANT
+                    out[path] = max(out.get(path, 0), 0 if constant else own + 1)
             else:
                 walk(child, f"{path}/{child[0]}" if path else child[0])
 

@@ -213,6 +213,18 @@ def test_html(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_html_drops_no_main_text_that_pages_share(spark):
+    same = "the same beginning of every page " * 6
+    pages = [(n, "http://long/", f"<p>Site<div>{same}{n}</div>") for n in range(6)]
+    pages += [(10 + n, "http://copies/", "<p>one page in copies") for n in range(6)]
+    pages += [(20 + n, "http://whole/", f"<title>{n}</title><div>all there is</div>") for n in range(6)]
+    pages += [(30 + n, "http://main/", f"<div>Site</div><main><p>in all pages<p>own {n}</main>") for n in range(6)]
+    got = {x.page_id: x.text for x in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for n in range(6):
+        assert got[n] == f"{same}{n}" and got[10 + n] == "one page in copies" and got[20 + n] == "all there is"
+        assert got[30 + n] == f"in all pages\nown {n}"
+
+
 @pytest.mark.parametrize("key, part", [("div.commentlist", -1), ("ol.comment-list", -1), ("div.topnav", -1), ("div.site-notices", -1), ("div.cookiebar", -1), ("aside", -1), ("div.ad", -1), ("div.ads-0", -1), ("div.adobe", 0), ("div.canvas", 0), ("div.shadow", 0), ("div.header-text@main", 2), ("div.with-sidebar", 0), ("body.has-sidebar", 0), ("article.comment", -1), ("article.post.sidebar-right", 3), ("main", 2), ("div@navigation", -1), ("div.entry-content", 1), ("section.downloads", 0), ("div.loading", 0), ("p", 0), ("div.breadcrumbs", -1), ("ul.menu-main", -1)])
 def test_what_names_mean(key, part):
     assert html._part(key, False) == part

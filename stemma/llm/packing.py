@@ -7,15 +7,21 @@ multiplicity, so there are at most capacity * H(capacity) of them (about 7,700 f
 Pieces get their rank within their length and from it their bin and offset.
 
 Scale: the driver sees one count per length. Ranks come from windows over (length, salt), so a length that holds a
-third of the pieces is spread over many tasks, and from one running total of at most capacity * salts counts.
+third of the pieces is spread over many tasks, and from one running total of at most capacity * salts counts. The salt
+is a running number, so neither null ids nor repeated rows meet in one task; it is written with the piece, so a retried task
+reads the same.
 
-Defined cases: a null or empty text is the end token alone; repeated rows are packed each; an empty table gives no rows.
+Defined cases: a null or empty text is the end token alone; an added token's string within a text is that token; repeated
+rows, null and repeated ids are packed each; a text of any length is cut into pieces; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +38,39 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 _PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def encoder(ranks_path: str, pattern: str) -> Callable[[str], list[int]]:
-    """Byte-level BPE of a rank file; strings of special tokens are ordinary text."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """The same byte-level BPE twice: ranks, which encode fast, and the tokenizer's json, which names the added tokens."""
+
+    ranks_path: str
+    json_path: str
+    pattern: str
+
+
+def encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
+    """Ids as the tokenizer of the json gives them without special tokens at the ends: a text is split at its added tokens."""
     import base64
 
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary.ranks_path, "rb"))}
+    ordinary = tiktoken.Encoding("own", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(vocabulary.json_path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that take white space or word bounds into account aren't supported")
+    ids = {t["content"]: t["id"] for t in added}
+    if not ids:
+        return ordinary
+    split = re.compile("(" + "|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True)) + ")").split
+
+    def encode(text: str) -> list[int]:
+        parts = split(text)
+        if len(parts) == 1:
+            return ordinary(text)
+        return [i for k, part in enumerate(parts) for i in ([ids[part]] if k % 2 else ordinary(part))]
+
+    return encode
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -48,11 +79,11 @@ def cuts(n: int, capacity: int) -> list[int]:
     return [0, *range(first, n + 1, capacity)]
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, where asked for, ids (little-endian 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern)
+        encode = encoder(vocabulary)
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _PIECE}
             held = 0
@@ -144,12 +175,12 @@ def _place(shared: Broadcast, schema: pa.Schema):
     return run
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset. docs: doc_id, text; other columns are ignored."""
     spark = docs.sparkSession
     kept = [f for f in _PIECE if f.name != "ids" or keep_ids]
     names = [f.name for f in kept]
-    cut_pieces = cut_columnar(pieces(docs, ranks_path, pattern, capacity, keep_ids).select(*names).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_SALTS)).cast("int")))
+    cut_pieces = cut_columnar(pieces(docs, vocabulary, capacity, keep_ids).select(*names).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int")))
     by_salt = {(r["length"], r["salt"]): r["n"] for r in cut_pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()}  # at most capacity * salts
     counts: dict[int, int] = {}
     before = []

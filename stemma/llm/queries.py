@@ -19,11 +19,14 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary() -> _packing.Vocabulary:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return _packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,13 @@ classes alike shifts the intercept, which is moved back to the prior measured ov
 calibrated (a slope and an intercept by Newton's method) on a fifth of the sample that a first fit doesn't see; the second
 fit uses the whole sample.
 
-Scale: labels are counted by one aggregate; the sample's ids are broadcast (2 * sample longs), only its texts reach the
-one training task (2 * sample rows whatever the input), and scoring is one scan without a shuffle.
+Scale: labels are counted by one aggregate; the sample's ids are broadcast (2 * sample longs). The rows of one id are brought
+down to one text before the training task, which so reads 2 * sample rows at most whatever the input and however often its
+ids are repeated. Scoring is one scan without a shuffle.
 
 Defined cases: null and wordless texts have the score of the intercept; labels of null doc_id or value don't count; with no
 label of either class every score is the share of toxic labels, 0 where there are none; of several labels of a document
-the largest counts; repeated rows are scored each.
+the largest counts, of several texts the least; repeated rows are scored each; texts are read whole whatever their length.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, params: Para
     ids = own.where("toxic = 1").orderBy(turn).limit(sample).unionByName(own.where("toxic = 0").orderBy(turn).limit(sample))
     ids = cut(ids.select("doc_id", "toxic", turn.alias("turn")))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(ids), "doc_id").select("turn", "toxic", "text")
+    rows = text.join(F.broadcast(ids), "doc_id").groupBy("turn", "toxic").agg(F.min("text").alias("text"))
     found = rows.repartition(1).mapInArrow(_train(params), "f long, w double").toPandas()
     if not len(found):
         return none

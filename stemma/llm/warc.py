@@ -5,14 +5,17 @@ stream once, record by record, writes every record as a gzip member of its own,
 the new archive. Records with equal payloads are known by digest: the one with the largest page_id stays a response, the
 others become revisit records without payload. Records are then read by offset, each member alone.
 
-Scale: archives are rolled at ``ROLL`` payload bytes, payloads are never shuffled and a task holds one record at a time. The
-choice of responses is a groupBy on the digest with partial aggregation and a join of short rows that adaptive execution
-can split. Archives lie in the shared folder; a task writes under a name of its own attempt and publishes by rename,
+Scale: archives are rolled at ``ROLL`` payload bytes or ``RECORDS`` records, whichever comes first, so no archive's index or
+list of revisits outgrows a task. Payloads are never shuffled, a stream is inflated ``CHUNK`` bytes at a time and a task holds
+one record. The choice of responses is a groupBy on the digest with partial aggregation and a join of short rows that adaptive
+execution can split. Archives are dealt to as many tasks as there are archives (``TASKS`` at most, which then take several
+each): adaptive execution would merge them by the size of their names. Archives lie in the shared folder; a task writes under a name of its own attempt and publishes by rename,
 and rows name only published files, so retried tasks leave at worst files that nothing refers to.
 
 Defined cases: a null html is an empty payload and has a record like any other; of records of one page_id and payload, the
 first written is the response and the others refer to their own page_id; a null page_id is smaller than any other and
-refers_to is null where the response's page_id is; a null url is written as an empty one.
+refers_to is null where the response's page_id is; a null url is written as an empty one; a payload of any length is one
+record; an empty table writes no archive and gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ from stemma.llm._spark import batch_of, cut
 from stemma.sources.shared import shared_dir
 
 ROLL = 32 << 20
+RECORDS = 50_000
 CHUNK = 1 << 18
+TASKS = 20_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -53,13 +58,14 @@ class Inflated:
 
     def _more(self) -> bool:
         while True:
-            raw = self.inflate.unused_data if self.inflate.eof else b""
+            raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
             if self.inflate.eof:
                 self.inflate = zlib.decompressobj(31)
             raw = raw or self.source.read(CHUNK)
-            if not raw:
-                return False
-            out = self.inflate.decompress(raw)
+            if not raw:  # what the last call held back
+                self.held += (rest := b"" if self.inflate.eof else self.inflate.flush())
+                return bool(rest)
+            out = self.inflate.decompress(raw, CHUNK)
             if out:
                 self.held += out
                 return True
@@ -129,7 +135,7 @@ def _write(folder: str):
                 file.write(pack.compress(record("response", page_id.as_py(), url.as_py() or "", payload, {"WARC-Payload-Digest": f"sha1:{digest}"})))
                 rows.append((page_id.as_py(), digest))
                 held += len(payload)
-                if held >= ROLL:
+                if held >= ROLL or len(rows) >= RECORDS:
                     yield close()
                     file = None
         if file is not None:
@@ -186,9 +192,9 @@ def _normalise(folder: str):
     return run
 
 
-def normalise(decided: DataFrame, folder: str) -> DataFrame:
-    """archive, offset, length of every record of the rewritten archives; decided: archive, revisits."""
-    return cut(decided.repartition("archive").mapInArrow(_normalise(_uri(folder)), "archive string, offset long, length long"))
+def normalise(decided: DataFrame, folder: str, archives: int) -> DataFrame:
+    """archive, offset, length of every record of the rewritten archives; decided: archive, revisits; archives: how many."""
+    return cut(decided.repartition(min(max(archives, 1), TASKS), "archive").mapInArrow(_normalise(_uri(folder)), "archive string, offset long, length long"))
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -231,4 +237,5 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write, normalise and read back; the folder must be shared by all executors."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc/{uuid.uuid4().hex}"
-    return read(normalise(decide(write(pages, folder)), folder), folder)
+    written = write(pages, folder)
+    return read(normalise(decide(written), folder, written.select("archive").distinct().count()), folder)

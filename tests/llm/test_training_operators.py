@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from stemma.llm import _text, decontaminate, hmm, hosts, html, licenses, neardup, packing, quality, toxicity, warc
-from stemma.llm.queries import RULES, fold
+from stemma.llm.queries import RULES, fold, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, grp string, kept_text string"
 ALNUM, SPACED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,11 +147,10 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     r = random.Random(4)
-    texts = [*ODD, "<|endoftext|> a  b \n c", *(prose(r, int(r.paretovariate(0.7) * 20) % 3000) for _ in range(150)), "same", "same"]
+    texts = [*ODD, "<|endoftext|> a  b \n c", "x <|endoftext|><|endoftext|>\n y <|endoftext", "z " * 600_000, *(prose(r, int(r.paretovariate(0.7) * 20) % 3000) for _ in range(150)), "same", "same"]
     docs = docs_of(spark, texts)
-    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    rows = packing.pack(docs, vocabulary()).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_bin = {}, {}
     for x in rows:
         by_doc.setdefault(x.doc_id, []).append(x)
@@ -169,7 +168,17 @@ def test_packing(spark):
         assert [x.offset for x in own] == [sum(y.length for y in own[:k]) for k in range(len(own))]
         assert sum(x.length for x in own) <= 1024
     assert len(by_bin) <= -(-sum(x.length for x in rows) // 1024) + 2
-    assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert packing.pack(docs.limit(0), vocabulary()).count() == 0
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "same words here")] * 300 + [(1, "same words here")] * 300, "doc_id long, text string")
+    out = packing.pack(rows, vocabulary()).collect()
+    assert Counter(x.doc_id for x in out) == {None: 300, 1: 300}
+    by_bin = {}
+    for x in out:
+        by_bin.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert all(o == sum(n for _, n in sorted(own)[:k]) for own in by_bin.values() for k, (o, _) in enumerate(sorted(own)))
 
 
 def test_fullest_bin_is_fullest():
@@ -311,6 +320,17 @@ def test_warc(spark, tmp_path):
     assert not list((tmp_path / "warc").glob("*.tmp")) and warc.archive(df.limit(0), folder).count() == 0
 
 
+def test_archives_roll_on_records_and_inflate_in_steps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 7)
+    monkeypatch.setattr(warc, "CHUNK", 64)
+    big = "y" * 300_000  # some 300 bytes as a stream
+    pages = [(i, "u", big if i == 5 else None) for i in range(40)]
+    written = list(warc._write(f"file://{tmp_path}")(iter([pa.RecordBatch.from_pylist([{"page_id": i, "url": u, "html": h} for i, u, h in pages], schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]))])))
+    assert [b.num_rows for b in written] == [7] * 5 + [5]
+    payloads = [p for b in written for _, p in warc.Inflated(open(tmp_path / b.column(0)[0].as_py(), "rb"))]
+    assert payloads == [(h or "").encode() for _, _, h in pages]
+
+
 def test_warc_broken_archive_is_an_error():
     import io
     import zlib as z
@@ -554,6 +574,40 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_ftrl_is_the_scalar_recursion():
+    p = toxicity.Params(alpha=0.7, beta=0.9, l1=3.0, l2=0.3, passes=2)
+    r = random.Random(31)
+    examples = [(np.array(sorted(r.sample(range(8), r.randint(0, 5))), np.int64), r.randrange(2)) for _ in range(60)]
+    z, n, z0, n0 = [0.0] * 8, [0.0] * 8, 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= p.l1 else -(z[i] - (1 if z[i] > 0 else -1) * p.l1) / ((p.beta + n[i] ** 0.5) / p.alpha + p.l2)
+
+    def intercept():
+        return -z0 / ((p.beta + n0**0.5) / p.alpha + p.l2)
+
+    for _ in range(p.passes):
+        for f, y in examples:
+            w, w0 = {i: weight(i) for i in f.tolist()}, intercept()
+            g = 1 / (1 + np.exp(-(sum(w.values()) + w0))) - y
+            for i, v in w.items():
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / p.alpha
+                z[i] += g - sigma * v
+                n[i] += g * g
+            z0 += g - ((n0 + g * g) ** 0.5 - n0**0.5) / p.alpha * w0
+            n0 += g * g
+    got, got0 = toxicity.fit(examples, p, 3)
+    assert got == pytest.approx([weight(i) for i in range(8)]) and got0 == pytest.approx(intercept()) and 0 < np.count_nonzero(got) < 8
+
+
+def test_toxicity_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i % 4} {'bad' if i % 2 else 'good'} {i}") for i in range(400)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    one = toxicity.train(docs, lab)
+    two = toxicity.train(docs.groupBy("doc_id").agg({"text": "min"}).toDF("doc_id", "text"), lab)
+    assert one.intercept == two.intercept and list(one.index) == list(two.index)
+
+
 # 10
 
 

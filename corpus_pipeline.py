@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemma.llm import decontaminate as _decontaminate, neardup as _neardup, packing as _packing, quality as _quality, toxicity as _toxicity
 from stemma.llm._spark import cut_columnar
-from stemma.llm.queries import fold
+from stemma.llm.queries import fold, vocabulary
 
 #: No stage has an exact SQL form (robust estimates, a trained model, hashed candidates).
 ORACLE_SQL = None
@@ -43,9 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, with their sequence and place in it."""
-    import public_tokenizers
-
-    return _packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return _packing.pack(docs, vocabulary())
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]

@@ -2,17 +2,21 @@
 
 A rule (a host and a path prefix) fits its host and all subdomains where the path starts with the rule's; the longest rule
 decides. Other pages are judged by their host: page outcomes (good or not) are shrunk through beta-binomial priors from
-all pages to the suffix (last label), from the suffix to the registered domain (last two labels), from there to the host.
+all pages to the public suffix, from the suffix to the registered domain (suffix and one label), from there to the host.
 A level's prior is a beta distribution with the parent's posterior mean and a strength fitted by moments over that level's
-groups. A page is blocked if the posterior's upper bound for good outcomes lies below the threshold.
+groups. A page is blocked if the upper bound of the posterior for good outcomes, the ``LEVEL`` quantile of the beta
+distribution, lies below the threshold; that is, if the distribution function at the threshold exceeds ``LEVEL``.
 
-Scale: outcomes are counted by host with partial aggregation, then by the levels above it from those counts; the join back
-has one row a host, so a host with a third of the pages is split by adaptive execution. Only three numbers a level and the
-rules reach the driver.
+Levels are those of the host without user info, port and final dot; the suffix is one of ``SUFFIXES`` or the last label, and
+an address of numbers or in brackets is a registered domain of its own under the suffix "".
+
+Scale: outcomes are counted by host with partial aggregation and written once; the levels above come from those counts, and
+the join back has one row a host, so a host with a third of the pages is split by adaptive execution. Only three numbers a
+level and the rules reach the driver.
 
 Defined cases: a url that is null or has no "://" has an empty host and path, fits no rule and is judged by the empty host;
-outcomes of null page_id or value don't count; without outcomes every unruled page is allowed; repeated pages are judged
-each.
+outcomes of null page_id or value don't count, of several outcomes of a page the worst does; without outcomes every unruled
+page is allowed; of rules of equal length the later one decides; repeated pages are judged each; urls have any length.
 """
 
 from __future__ import annotations
@@ -21,6 +25,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stemma.llm._spark import cut_columnar
+
+#: Public suffixes of two labels under which names are registered.
+SUFFIXES = (
+    "ac.at ac.il ac.in ac.jp ac.kr ac.nz ac.th ac.uk ac.za co.at co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za "
+    "com.ar com.au com.bd com.br com.cn com.co com.eg com.hk com.mx com.my com.ng com.pe com.ph com.pk com.pl com.sg com.tr com.tw com.ua com.vn "
+    "edu.au edu.br edu.cn edu.hk edu.in edu.mx edu.pl edu.sg edu.tr edu.tw go.jp go.kr go.th gob.ar gob.mx gov.au gov.br gov.cn gov.in gov.uk gov.za "
+    "gouv.fr ltd.uk me.uk ne.jp net.au net.br net.cn net.nz net.uk nhs.uk or.at or.jp or.kr or.th org.ar org.au org.br org.cn org.hk org.il org.in org.mx org.nz org.pl org.tr org.tw org.uk org.za plc.uk sch.uk"
+).split()
+#: Probability of the bound, and terms of its continued fraction.
+LEVEL = 0.95
+TERMS = 60
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,9 +74,46 @@ def rule_of(host: Column, path: Column, rules: list[Rule], value: str) -> Column
     return out
 
 
-def _levels(host: Column) -> dict[str, Column]:
-    labels = F.split(host, r"\.")
-    return {"suffix": F.element_at(labels, -1), "domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")}
+def levels(host: Column) -> dict[str, Column]:
+    """suffix and domain (registered) of a host."""
+    bare = F.regexp_replace(host, r"^[^@]*@", "")
+    bare = F.regexp_replace(bare, r"(?<=[^:]):[0-9]*$|(?<=\]):[0-9]*$", "")
+    bare = F.regexp_replace(bare, r"\.$", "")
+    labels = F.split(bare, r"\.")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    double = last(2).isin(*SUFFIXES)
+    return {"suffix": F.when(address, "").when(double, last(2)).otherwise(last(1)), "domain": F.when(address, bare).when(double, last(3)).otherwise(last(2))}
+
+
+def _log_gamma(z: Column) -> Column:
+    """Stirling's series above 8, moved up by the recurrence; the error is below 1e-10 for z > 0."""
+    shift = F.log(z)
+    for k in range(1, 8):
+        shift = shift + F.log(z + k)
+    x = z + 8
+    return (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - shift
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function by convergents from the inside out; settles for x < (a+1)/(a+b+2)."""
+    # more terms where the distribution is narrow: they grow with the square root of its size
+    terms = F.least(F.lit(4000), F.ceil(TERMS + 3 * F.sqrt(a + b)).cast("int"))
+
+    def step(tail: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1 + even / (1 + odd / tail)
+
+    first = -(a + b) * x / (a + 1)
+    return 1 / (1 + first / F.aggregate(F.transform(F.sequence(terms, F.lit(1)), lambda m: m.cast("double")), F.lit(1.0), step))
+
+
+def beta_cdf(a: Column, b: Column, x: float) -> Column:
+    """Distribution function of the beta distribution at x: the regularised incomplete beta function."""
+    log_front = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(F.lit(x)) + b * F.log(F.lit(1 - x))
+    front = F.exp(log_front)
+    return F.when(F.lit(x) < (a + 1) / (a + b + 2), front * _fraction(a, b, F.lit(x)) / a).otherwise(1 - front * _fraction(b, a, F.lit(1 - x)) / b)
 
 
 def _strength(groups: DataFrame, mean: Column) -> float:
@@ -74,10 +128,14 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return float(min(1000.0, max(2.0, v / extra - 1))) if extra > 0 else 1000.0
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, a, b (posterior), mean, low, high for every host of pages. pages: page_id, host; outcomes: page_id, good (boolean)."""
+def reputation(pages: DataFrame, outcomes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """host, a, b (posterior), mean, below (probability that good outcomes are rarer than the threshold) for every host of pages.
+
+    pages: page_id, host; outcomes: page_id, good (boolean).
+    """
     seen = outcomes.where("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.min("good").alias("good"))
-    by_host = pages.join(seen, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.sum(F.coalesce(F.col("good").cast("int"), F.lit(0))).alias("good")).withColumns(_levels(F.col("host")))
+    counted = pages.join(seen, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.sum(F.coalesce(F.col("good").cast("int"), F.lit(0))).alias("good"))
+    by_host = cut_columnar(counted).withColumns(levels(F.col("host")))
     total = by_host.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     top = ((total["good"] or 0) + 1.0) / ((total["n"] or 0) + 1.0)
     suffix = by_host.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -85,20 +143,20 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     suffix = suffix.select("suffix", ((F.col("good") + s * top) / (F.col("n") + s)).alias("prior"))
     domain = by_host.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).join(suffix, "suffix")
     s = _strength(domain, F.col("prior"))
-    domain = domain.select("domain", ((F.col("good") + s * F.col("prior")) / (F.col("n") + s)).alias("prior"))
-    hosts = by_host.join(domain, "domain")
+    domain = domain.select("suffix", "domain", ((F.col("good") + s * F.col("prior")) / (F.col("n") + s)).alias("prior"))
+    hosts = by_host.join(domain, ["suffix", "domain"])
     s = _strength(hosts, F.col("prior"))
     a, b = F.col("good") + s * F.col("prior"), F.col("n") - F.col("good") + s * (1 - F.col("prior"))
-    hosts = hosts.select("host", a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
-    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
-    return hosts.withColumns({"low": F.greatest(F.col("mean") - z * deviation, F.lit(0.0)), "high": F.least(F.col("mean") + z * deviation, F.lit(1.0))})
+    least = F.lit(1e-9)  # a prior share of 0 or 1 has no distribution
+    hosts = hosts.select("host", F.greatest(a, least).alias("a"), F.greatest(b, least).alias("b"))
+    return hosts.select("host", "a", "b", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), beta_cdf(F.col("a"), F.col("b"), threshold).alias("below"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, reputation, for every row. pages: page_id, url; other columns are ignored."""
     url = F.col("url").cast("string")
     own = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    held = reputation(own.select("page_id", "host"), outcomes).select("host", F.col("mean").alias("reputation"), (F.col("high") < threshold).alias("bad"))
+    held = cut_columnar(reputation(own.select("page_id", "host"), outcomes, threshold).select("host", F.col("mean").alias("reputation"), (F.col("below") > LEVEL).alias("bad")))
     host, path = F.col("host"), F.col("path")
     judged = own.join(held, "host")
     method = F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))

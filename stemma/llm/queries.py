@@ -99,28 +99,35 @@ WITH p AS MATERIALIZED (
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
 o AS (SELECT doc_id AS page_id, min(CAST(quality = 1 AND toxic = 0 AS INT)) AS good FROM labels GROUP BY doc_id),
+bare AS (SELECT DISTINCT host, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), '([^:]):[0-9]*$', '\1'), '\.$', '') AS b FROM p),
+lv AS MATERIALIZED (SELECT host, b, string_split(b, '.') AS w, regexp_matches(b, '^[0-9]+(\.[0-9]+){3}$|^\[') AS address, array_to_string(list_slice(string_split(b, '.'), -2, -1), '.') IN (SUFFIXES) AS double FROM bare),
 h AS MATERIALIZED (
-  SELECT host, list_extract(string_split(host, '.'), -1) AS suffix, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS domain,
-    count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+  SELECT host, any_value(CASE WHEN address THEN '' WHEN double THEN array_to_string(list_slice(w, -2, -1), '.') ELSE w[-1] END) AS suffix,
+    any_value(CASE WHEN address THEN b WHEN double THEN array_to_string(list_slice(w, -3, -1), '.') ELSE array_to_string(list_slice(w, -2, -1), '.') END) AS domain,
+    count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM p JOIN lv USING (host) LEFT JOIN o USING (page_id) GROUP BY host),
 t AS (SELECT (sum(good) + 1) / (sum(n) + 1) AS top FROM h),
 s0 AS MATERIALIZED (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT top FROM t) AS prior FROM h GROUP BY suffix),
 m0 AS (SELECT sum(n) AS n, sum(n * (good / n - prior) ** 2) AS between_, sum(prior * (1 - prior) * n) AS within_, count(*) AS k FROM s0 WHERE n > 1),
 f0 AS (SELECT CASE WHEN coalesce(n, 0) = 0 OR coalesce(within_, 0) = 0 THEN 10.0 WHEN between_ - within_ / n * k > 0 THEN least(1000.0, greatest(2.0, (within_ / n) / ((between_ - within_ / n * k) / greatest(n - k, 1)) - 1)) ELSE 1000.0 END AS s FROM m0),
-d0 AS MATERIALIZED (SELECT domain, sum(h.n) AS n, sum(h.good) AS good, any_value((s0.good + s * prior) / (s0.n + s)) AS prior FROM h JOIN s0 USING (suffix), f0 GROUP BY domain),
+d0 AS MATERIALIZED (SELECT suffix, domain, sum(h.n) AS n, sum(h.good) AS good, any_value((s0.good + s * prior) / (s0.n + s)) AS prior FROM h JOIN s0 USING (suffix), f0 GROUP BY suffix, domain),
 m1 AS (SELECT sum(n) AS n, sum(n * (good / n - prior) ** 2) AS between_, sum(prior * (1 - prior) * n) AS within_, count(*) AS k FROM d0 WHERE n > 1),
 f1 AS (SELECT CASE WHEN coalesce(n, 0) = 0 OR coalesce(within_, 0) = 0 THEN 10.0 WHEN between_ - within_ / n * k > 0 THEN least(1000.0, greatest(2.0, (within_ / n) / ((between_ - within_ / n * k) / greatest(n - k, 1)) - 1)) ELSE 1000.0 END AS s FROM m1),
-h0 AS MATERIALIZED (SELECT host, h.n, h.good, (d0.good + s * prior) / (d0.n + s) AS prior FROM h JOIN d0 USING (domain), f1),
+h0 AS MATERIALIZED (SELECT host, h.n, h.good, (d0.good + s * prior) / (d0.n + s) AS prior FROM h JOIN d0 USING (suffix, domain), f1),
 m2 AS (SELECT sum(n) AS n, sum(n * (good / n - prior) ** 2) AS between_, sum(prior * (1 - prior) * n) AS within_, count(*) AS k FROM h0 WHERE n > 1),
 f2 AS (SELECT CASE WHEN coalesce(n, 0) = 0 OR coalesce(within_, 0) = 0 THEN 10.0 WHEN between_ - within_ / n * k > 0 THEN least(1000.0, greatest(2.0, (within_ / n) / ((between_ - within_ / n * k) / greatest(n - k, 1)) - 1)) ELSE 1000.0 END AS s FROM m2),
-r AS (SELECT host, good + s * prior AS a, n - good + s * (1 - prior) AS b FROM h0, f2),
+r AS MATERIALIZED (SELECT host, greatest(good + s * prior, 1e-9) AS a, greatest(n - good + s * (1 - prior), 1e-9) AS b FROM h0, f2),
+-- the distribution function at 0.5 by Simpson's rule after x = t^m / 2, which has a bounded integrand for any a
+z AS (SELECT host, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * CASE WHEN i = 0 THEN 0 ELSE exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln(0.5 * pow(i / 4000.0, m)) + (b - 1) * ln(1 - 0.5 * pow(i / 4000.0, m)) + ln(0.5 * m) + (m - 1) * ln(i / 4000.0)) END) / 12000 AS below
+  FROM (SELECT *, greatest(1, ceil(4 / a)) AS m FROM r), unnest(range(4001)) AS t(i) GROUP BY host),
 ru(rule, v, rh, rp) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 w AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
   FROM (SELECT *, row_number() OVER () AS row_id FROM p) q LEFT JOIN ru ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, host, path, row_id)
 SELECT page_id, host, path, rule,
-  coalesce(v, CASE WHEN least(a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 1) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(v, CASE WHEN below > 0.95 THEN 'block' ELSE 'allow' END) AS verdict,
   round(a / (a + b), 6) AS reputation
-FROM w JOIN r USING (host)
-"""
+FROM w JOIN r USING (host) JOIN z USING (host)
+""".replace("SUFFIXES", ", ".join(f"'{x}'" for x in _hosts.SUFFIXES))
 
 
 OP1_SQL = r"""

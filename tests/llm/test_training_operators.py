@@ -1,5 +1,6 @@
 """Each operator against a brute-force form and on the cases that its docstring defines."""
 
+import math
 import os
 import random
 import re
@@ -636,4 +637,31 @@ def test_host_posteriors_shrink(spark):
     df = spark.createDataFrame(pages, "page_id long, host string")
     out = spark.createDataFrame([(i, i % 2 == 0) for i in range(52)], "page_id long, good boolean")
     for x in hosts.reputation(df, out).collect():
-        assert 0 <= x.low <= x.mean <= x.high <= 1
+        assert 0 <= x.below <= 1 and 0 < x.mean < 1
+
+
+def test_beta_distribution_function(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(32)
+    rows = [(10 ** r.uniform(-3, 4.5), 10 ** r.uniform(-3, 4.5)) for _ in range(150)] + [(1.0, 1.0), (0.5, 0.5), (3.0, 1.0), (1e-9, 1.0), (2000.0, 2010.0), (1.0, 1e-9)]
+    for x in (0.5, 0.1):
+        got = spark.createDataFrame(rows, "a double, b double").select("a", "b", hosts.beta_cdf(F.col("a"), F.col("b"), x).alias("p")).collect()
+        for v in got:
+            # stepping a up by one lowers the function by a term in closed form, until it vanishes
+            lg, lower, a, b = math.lgamma, 0.0, v.a, v.b
+            for n in range(400_000):
+                t = math.exp(lg(a + b + n) - lg(a + n + 1) - lg(b) + (a + n) * math.log(x) + b * math.log(1 - x))
+                lower += t
+                if t < 1e-14 and a + n > x * (a + b + n):
+                    break
+            assert v.p == pytest.approx(lower, abs=1e-7), (x, v)
+
+
+def test_levels_of_hosts(spark):
+    from pyspark.sql import functions as F
+
+    want = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com:8080": ("com", "y.com"), "u:p@y.com": ("com", "y.com"), "10.0.0.1:80": ("", "10.0.0.1"), "[::1]:80": ("", "[::1]"), "y.com.": ("com", "y.com"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in want], "host string").withColumns(hosts.levels(F.col("host"))).collect()
+    assert {x.host: (x.suffix, x.domain) for x in rows} == want
+    assert hosts.rule_of(F.lit("a.b"), F.lit("/"), [hosts.Rule("block", "b", "/"), hosts.Rule("allow", "b", "/")], "verdict") is not None

@@ -6,23 +6,27 @@ uniformly random registers, a register keeps the shingle that arrives first, and
 after the latest register. Two texts agree in a register with the probability Jaccard similarity of their weighted sets,
 which is the Jaccard similarity at equal weights.
 
-Texts that differ only in the case of A-Z are one node, known by 64 bits of their hash. Registers are banded: texts of
-similarity 0.8 share no bucket with probability 1.5e-5, less above. Within a bucket, members are compared by one-bit
-sketches with leaders: the member nearest to the bucket's majority sketch first, then members that were near to fewer than
-two leaders and very near to none. A leader is paired with the near members that still lack one and with the two nearest
-others, so a bucket of n texts gives at most 4 * n candidates, and only texts that are near to nothing are compared with
-all; in buckets of up to eight members all near pairs are candidates. Once these are verified and closed to classes, all
-near pairs of larger buckets whose texts are still in different classes are candidates too, so no near pair is left out.
-Near is a sketch distance that a pair of similarity 0.8 exceeds with probability 2.8e-7. Candidates are verified on both
-whole texts: a Jaccard similarity of 0.8 or more of their sets of shingles, the one that is estimated. Verified links are closed to classes.
+Equal texts are one node, known by 128 bits of hash. Registers are banded: texts of similarity 0.8 share no bucket with
+probability 1.5e-5, less above. A link is a Jaccard similarity of 0.8 or more of two whole texts' sets of shingles.
+
+First round: within a bucket, members are compared by one-bit sketches with leaders: the member nearest to the bucket's
+majority sketch first, then members that were near to fewer than two leaders and very near to none. A leader is paired with
+the near members that still lack one and with the two nearest others, so a bucket of n texts gives at most 4 * n candidates;
+in buckets of up to eight members all near pairs are candidates. Candidates are verified on both whole texts and closed to
+classes. Second round, the exact way for what leaders left out: in every larger bucket whose members are in different classes,
+all members that are near to one of another class meet with their whole sets of shingles, and the exact similarity of every
+such pair is counted in place, by an index of the bucket's shingles. No row is made for a pair that is no link, and one link
+of each two classes is enough. Near is a sketch distance that a pair of similarity 0.8 exceeds with probability 2.8e-7.
 
 Scale: no group is collected into one row. Texts of the same input batch with the same shingles are linked before the shuffle
-and only the first goes on, which has the same bands; texts that differ all go on. A bucket streams through its task in blocks;
-memory is one block and the leaders so far, and in the second round its keys, heads and sketches. Texts are shuffled only if they are in a candidate pair. Components run by
-label propagation with hooking and pointer jumping over the links, a checkpoint a round.
+and only the first goes on, which has the same bands; texts that differ all go on. In the first round a bucket streams through
+its task in blocks; memory is one block and the leaders so far. In the second round buckets of more than ``ROUND`` members or
+``CELL`` shingles are dealt in blocks, and every two blocks meet in a task of their own. Texts are hashed once, shuffled once
+and only if they are in a candidate pair or large bucket. Components run by label propagation with hooking and pointer
+jumping over the links, a checkpoint a round.
 
 Defined cases: null and wordless texts are classes of their own; repeated rows and copies share a class; the class id is
-the smallest doc_id in it (null where all are null); an empty table gives no rows.
+the smallest doc_id in it (null where all are null); texts have any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +53,9 @@ VERY_NEAR = 0.92
 LEADERS = 2
 SMALL = 8
 BLOCK = 50_000
+#: Second round: members and shingles of a block.
+ROUND = 8_000
+CELL = 4_000_000
 
 
 def shingles(h: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,51 +275,116 @@ def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large.clear()
 
 
-def _apart(head: np.ndarray, key: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The near pairs of a bucket whose heads differ: those of the smaller group with all of larger ones."""
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with equal values in the first ``width`` columns; rows are sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)], 1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            own = tuple(key[lo].tolist())
+            if held and own != last:
+                yield held
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = own
+    if held:
+        yield held
+
+
+def _column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([p.column(name).to_numpy(zero_copy_only=False) for p in parts])
+
+
+def _others(head: np.ndarray, block: np.ndarray, x: int, y: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member and those of other classes that it is to be compared with, every pair once; between two blocks, only across."""
     _, group, size = np.unique(head, return_inverse=True, return_counts=True)
-    order = np.lexsort((key, group, size[group]))
-    group, key, sketch = group[order], key[order], sketch[order]
-    stops = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
-    for i in range(stops[-2] if len(stops) > 1 else 0):
-        after = stops[np.searchsorted(stops, i, "right")]
-        near = _distance(sketch[after:], sketch[i]) <= _far(NEAR)
-        if near.any():
-            yield np.full(int(near.sum()), key[i]), key[after:][near]
-
-
-def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches: band, head, key, sketch words, sorted by band."""
-    held: list[np.ndarray] = []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        got, n = [], 0
-        if held:
-            rows = np.concatenate(held)
-            for pair in _apart(rows[:, 1], rows[:, 2], np.ascontiguousarray(rows[:, 3:])):
-                got.append(pair)
-                n += len(pair[0])
-                if n >= BLOCK:
-                    yield out(got)
-                    got, n = [], 0
-        if got:
-            yield out(got)
-        held = []
-
-    def out(got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*got, strict=True))
-        return batch_of(_PAIR, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    order = np.lexsort((group, size[group]))
+    stops = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(group))
+    for at, i in enumerate(order[: stops[-2] if len(stops) > 1 else 0].tolist()):
+        after = order[stops[np.searchsorted(stops, at, "right")] :]
+        yield i, after if x == y else after[block[after] != block[i]]
+
+
+_PLACE = [("band", pa.int64()), ("x", pa.int32()), ("y", pa.int32())]
+_INVOLVED = pa.schema([*_PLACE, ("key", pa.int64()), ("head", pa.int64()), ("block", pa.int32())])
+_INVOLVED_SQL = "band long, x int, y int, key long, head long, block int"
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a bucket, or of two blocks of it, that are near to one of another class."""
+    for parts in _groups(batches, 3):
+        key, head, block = (_column(parts, c) for c in ("key", "head", "block"))
+        sketch = np.stack([_column(parts, "s0"), _column(parts, "s1")], 1)
+        x, y = parts[0].column("x")[0].as_py(), parts[0].column("y")[0].as_py()
+        on = np.zeros(len(key), bool)
+        for i, after in _others(head, block, x, y):
+            near = _distance(sketch[after], sketch[i]) <= _far(NEAR)
+            on[after[near]] = True
+            on[i] |= near.any()
+        n = int(on.sum())
+        if n:
+            place = {k: parts[0].column(k).slice(0, 1).take(pa.array(np.zeros(n, np.int64))) for k in ("band", "x", "y")}
+            yield batch_of(_INVOLVED, place | {"key": key[on], "head": head[on], "block": block[on]})
 
+
+_SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
+        for lo, hi in _text.chunks(batch.column(1), 1 << 20):
+            own = batch.column(1).slice(lo, hi - lo)
+            h, _, _, ranges = _text.words(*_text.buffers(own), _text.ALNUM)
+            doc, g, _ = shingles(h, ranges)
+            cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
+            yield batch_of(_SETS, {"key": batch.column(0).slice(lo, hi - lo), "n": np.diff(cuts), "shingles": [g[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]})
+
+
+_BETWEEN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("head_a", pa.int64()), ("head_b", pa.int64())])
+_BETWEEN_SQL = "a long, b long, head_a long, head_b long"
+
+
+def between(key: np.ndarray, head: np.ndarray, block: np.ndarray, sets: list[np.ndarray], x: int = 0, y: int = 0) -> list[tuple[int, int, int, int]]:
+    """One link for every two classes that have one here: keys and heads, by exact similarity."""
+    size = np.array([len(v) for v in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, name, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[name] > 1
+    name, owner = name[shared], owner[shared]
+    by_name = np.argsort(name, kind="stable")
+    posted = owner[by_name]  # members of a shingle stand together
+    start = np.searchsorted(name[by_name], np.arange(len(times) + 1))
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    out, seen = [], set()
+    for i, after in _others(head, block, x, y):
+        if not len(after):
+            continue
+        own = name[first[i] : first[i + 1]]
+        n = start[own + 1] - start[own]
+        if not len(n):
             continue
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
-        for part in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
-            if held and held[-1][-1, 0] != part[0, 0]:
-                yield from close()
-            held.append(part)
-    yield from close()
+        upto = np.cumsum(n)
+        at = np.arange(upto[-1]) + np.repeat(start[own] - (upto - n), n)
+        common = np.bincount(posted[at], minlength=len(sets))[after]
+        for j in after[common >= SIMILARITY * (size[i] + size[after] - common)].tolist():
+            ends = int(min(head[i], head[j])), int(max(head[i], head[j]))
+            if ends not in seen:
+                seen.add(ends)
+                out.append((int(key[i]), int(key[j]), int(head[i]), int(head[j])))
+    return out
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for parts in _groups(batches, 3):
+        sets = [np.frombuffer(v, np.uint64) for p in parts for v in p.column("shingles").to_pylist()]
+        x, y = parts[0].column("x")[0].as_py(), parts[0].column("y")[0].as_py()
+        found = between(*(_column(parts, c) for c in ("key", "head", "block")), sets, x, y)
+        if found:
+            yield batch_of(_BETWEEN, dict(zip(_BETWEEN.names, zip(*found))))
 
 
 def similar(x: pa.Array, y: pa.Array) -> np.ndarray:
@@ -346,11 +418,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch_of(_LINK, {"a": batch.column(0).slice(lo, hi - lo), "b": batch.column(1).slice(lo, hi - lo), "similarity": similar(x.slice(lo, hi - lo), y.slice(lo, hi - lo))})
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, head (the smallest node joined to it) for every node of a link."""
+def components(links: DataFrame) -> DataFrame:
+    """node, head (the smallest node joined to it) for every node of a link. Labels only fall, so the rounds end."""
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     heads = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("head")))
-    for _ in range(rounds):
+    while True:
         near = both.join(heads.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("head").alias("low"))
         low = heads.join(near, "node").select("node", "head", F.least("head", "low").alias("low"))
         hooked = low.groupBy(F.col("head").alias("node")).agg(F.min("low").alias("found"))
@@ -360,46 +432,86 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         heads = step.select("node", "head")
         if not step.where("head < old").limit(1).count():
             return heads
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _key(text: Column) -> Column:
-    return F.xxhash64(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.xxhash64(text)
 
 
-def links(texts: DataFrame, lowest: DataFrame) -> DataFrame:
-    """Verified links a < b of similar texts, with their similarity.
+def _check(text: Column) -> Column:
+    """Other 64 bits, which tell apart texts of one key."""
+    return F.xxhash64(F.lit(0x7E57), text)
 
-    texts: doc_id, key, text, where rows of one key have one text; lowest: key, lowest (its smallest doc_id). Texts are
-    fetched by doc_id and key, so that copies of one text don't meet in one task.
-    """
-    signed = texts.select("key", "text").mapInArrow(_sign, _SIGNED_SQL)
-    signed = cut_columnar(signed)
+
+def _candidate_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of the first round; band, key and sketch words of the members of large buckets."""
+    signed = cut_columnar(texts.select("key", "text").mapInArrow(_sign, _SIGNED_SQL))
     local = signed.select(F.col("key").alias("x"), F.explode("led_by").alias("y"))
     rows = signed.select(F.explode("bands").alias("band"), "key", "s0", "s1")
     shared = cut_columnar(rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_first_round, _ROUND_SQL))
-    large = shared.where("b IS NULL").select("band", F.col("a").alias("key"), "s0", "s1")
     pairs = local.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(shared.where("b IS NOT NULL").select("a", "b")).where("a < b").distinct()
-    pairs = cut(pairs)
+    return cut(pairs), shared.where("b IS NULL").select("band", F.col("a").alias("key"), "s0", "s1")
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of a band with their block and a copy for each two blocks x <= y that meet; sizes: band, blocks."""
+    own = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
+    return own.withColumn("cell", F.explode(pair)).select("band", "cell.x", "cell.y", *[c for c in rows.columns if c != "band"], "block")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+
+def _blocks(n: Column, most: int) -> Column:
+    return F.greatest(F.ceil(n / most), F.lit(1)).cast("int")
+
+
+def _left_out(large: DataFrame, heads: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links between classes within large buckets; large: band, key, sketch words; heads: node, head; wanted: key, text."""
+    headed = large.join(heads.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("head", "key").alias("head"), "s0", "s1")
+    headed = cut_columnar(headed)
+    mixed = headed.groupBy("band").agg(F.count("*").alias("n"), F.min("head").alias("lo"), F.max("head").alias("hi")).where("lo < hi")
+    near = _together(_dealt(headed, mixed.select("band", _blocks(F.col("n"), ROUND).alias("blocks")))).mapInArrow(_involved, _INVOLVED_SQL)
+    near = cut_columnar(near.select("band", "key", "head").distinct())
+    sets = cut_columnar(wanted.join(near.select("key").distinct(), "key").select("key", "text").mapInArrow(_sets, "key long, n long, shingles binary"))
+    sizes = near.join(sets.select("key", "n"), "key").groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    dealt = _dealt(near, sizes.select("band", F.greatest(_blocks(F.col("k"), ROUND), _blocks(F.col("n"), CELL)).alias("blocks")))
+    return _together(dealt.join(sets.drop("n"), "key").select("band", "x", "y", "key", "head", "block", "shingles")).mapInArrow(_between, _BETWEEN_SQL)
+
+
+def heads_of(texts: DataFrame, lowest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, head of the first round's classes; node (such a head, or a text alone), head of those that the second round joins.
+
+    texts: doc_id, key, text, where rows of one key have one text; lowest: key, lowest (its smallest doc_id). Texts are
+    fetched by doc_id and key, so that copies of one text don't meet in one task.
+    """
+    pairs, large = _candidate_pairs(texts)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
     ends = ends.join(lowest, "key").select("key", F.coalesce("lowest", F.lit(0)).alias("row"))
     found = texts.withColumn("row", F.coalesce("doc_id", F.lit(0))).join(ends, ["key", "row"], "left_semi")
     wanted = cut_columnar(found.groupBy("key").agg(F.min("text").alias("text")))
+    one, two = (wanted.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    first = components(full.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY))
+    if not large.limit(1).count():
+        return first, first.limit(0)
+    return first, components(_left_out(large, first, wanted).select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = (wanted.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-        return full.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= SIMILARITY)
 
-    first = verified(pairs)
-    if not large.limit(1).count():
-        return first
-    first = cut(first)
-    heads = components(first).withColumnRenamed("node", "key")
-    headed = large.join(heads, "key", "left").select("band", F.coalesce("head", "key").alias("head"), "key", "s0", "s1")
-    apart = headed.repartition("band").sortWithinPartitions("band").mapInArrow(_second_round, "a long, b long")
-    rest = cut(apart.where("a < b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    return first.unionByName(verified(rest)) if rest.limit(1).count() else first
+def _identified(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own with a key for each distinct text, and lowest (key, its smallest doc_id)."""
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return cut(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("lowest"), F.min("check").alias("lo"), F.max("check").alias("hi")))
+
+    lowest = counted(own)
+    clashes = [r["key"] for r in lowest.where("lo <> hi").select("key").collect()]  # of n texts some n * n / 2 ** 65
+    if clashes:
+        own = own.withColumn("key", F.when(F.col("key").isin(clashes), F.xxhash64("check", "key")).otherwise(F.col("key")))
+        lowest = counted(own)
+    return own, lowest.select("key", "lowest")
 
 
 def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -407,16 +519,19 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     docs: doc_id, text; others are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    own = own.withColumn("key", F.when(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), _key(F.col("text"))))
-    worded = own.where(F.col("key").isNotNull())
-    lowest = cut(worded.groupBy("key").agg(F.min("doc_id").alias("lowest")))
-    heads = components(links(worded, lowest))
-    member = cut(lowest.join(heads.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("head", "key")))
+    carried = [c for c in keep if c != "text" or docs.schema["text"].dataType.typeName() != "string"]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in carried])
+    worded = F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
+    own = cut_columnar(own.withColumns({"key": F.when(worded, _key(F.col("text"))), "check": _check(F.col("text"))}))
+    own, lowest = _identified(own)
+    first, second = heads_of(own.where("key IS NOT NULL").select("doc_id", "key", "text"), lowest)
+    member = lowest.join(first.withColumnRenamed("node", "key"), "key", "left").select("key", "lowest", F.coalesce("head", "key").alias("node"))
+    member = cut(member.join(second, "node", "left").select("key", "lowest", F.coalesce("head", "node").alias("class_key")))
     of_class = cut(member.groupBy("class_key").agg(F.min("lowest").alias("class_id")))  # cut, so that a hot class's join can be split
     table = cut_columnar(member.join(of_class, "class_key").select(F.col("key").alias("table_key"), "class_id", "class_key"))
     out = own.join(table, F.col("key") == F.col("table_key"), "left")
-    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", *[F.col(f"kept_{c}") for c in keep])
+    kept = [F.col("text" if c == "text" and c not in carried else f"kept_{c}").alias(f"kept_{c}") for c in keep]
+    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", *kept)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

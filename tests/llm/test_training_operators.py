@@ -450,18 +450,49 @@ def test_links_within_a_family_below_the_threshold(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
-def test_second_round_gives_all_near_pairs_of_different_classes(monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 16)
-    r = np.random.default_rng(24)
-    sketch = np.array([0, 0]) ^ (r.integers(0, 2, (60, 2)) << r.integers(0, 62, (60, 2)))
-    sketch[50:] = r.integers(-(2**63), 2**63 - 1, (10, 2))
-    head = r.integers(0, 5, 60)
-    table = np.column_stack([np.repeat([1, 2], 30), head, np.arange(60), sketch])
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i // 30 == j // 30 and head[i] != head[j] and neardup._distance(sketch[i : i + 1], sketch[j])[0] <= neardup._far(neardup.NEAR)}
-    for size in (7, 60):
-        batches = [pa.RecordBatch.from_arrays([pa.array(table[i : i + size, k]) for k in range(5)], names=list("hbkst")) for i in range(0, 60, size)]
-        pairs = [(a, b) for x in neardup._second_round(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
-        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+@pytest.mark.parametrize("blocks", [(8000, 4_000_000), (20, 4_000_000), (8000, 4000)])
+def test_second_round_leaves_no_link_out(spark, monkeypatch, blocks):
+    monkeypatch.setattr(neardup, "ROUND", blocks[0])
+    monkeypatch.setattr(neardup, "CELL", blocks[1])
+    r = random.Random(24)
+    common = prose(r, 120, 5000).split()
+    texts = []
+    for _ in range(120):  # many near to each other, few of them linked
+        w = list(common)
+        for _ in range(r.choice([2, 4, 6, 8])):
+            w[r.randrange(len(w))] = f"z{r.randrange(40)}"
+        texts.append(" ".join(w))
+    docs = docs_of(spark, texts).selectExpr("doc_id", "doc_id AS key", "text")
+    signed = [(int(k), b, s) for k, b, s in zip(range(len(texts)), neardup.sign(pa.array(texts))[1].tolist(), neardup.sign(pa.array(texts))[2].tolist())]
+    large = spark.createDataFrame([(b, k, *s) for k, bands, s in signed for b in bands], "band long, key long, s0 long, s1 long")
+    got = {x.node: x.head for x in neardup.components(neardup._left_out(large, spark.createDataFrame([], "node long, head long"), docs).selectExpr("head_a AS a", "head_b AS b")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_links_between_classes_are_exact():
+    r = np.random.default_rng(25)
+    sets = [np.unique(r.integers(0, 40, 30).astype(np.uint64)) for _ in range(60)] + [np.zeros(0, np.uint64)]
+    head, block = r.integers(0, 6, 61), r.integers(0, 2, 61)
+    for x, y in ((0, 0), (0, 1)):
+        want = set()
+        for i in range(61):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if head[i] != head[j] and (x == y or block[i] != block[j]) and both and both >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                    want.add((min(head[i], head[j]), max(head[i], head[j])))
+        found = neardup.between(np.arange(61), head, block, sets, x, y)
+        assert {(min(a, b), max(a, b)) for _, _, a, b in found} == want and len(found) == len(want)
+        assert all(head[i] == a and head[j] == b for i, j, a, b in found)
+
+
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(26)
+    texts = [prose(r, 40, 5000) for _ in range(9)]
+    monkeypatch.setattr(neardup, "_key", lambda text: F.length(text) % 2)
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs_of(spark, texts + texts[:2])).collect()}
+    assert got == {i: i % 9 for i in range(11)}
 
 
 def test_buckets_stream_in_blocks(monkeypatch):

@@ -1,18 +1,24 @@
 """Language-model scores by a hidden Markov model, next to a unigram base score.
 
-Tokens are the words of a text (A-Z lower-cased) and one end token. The ``EMITTED`` most frequent training words are symbols
-of their own; any other word is the symbol of its class, which its last bytes name, times its smoothed share of the class.
-So every state's emissions sum to one over all words, unknown ones included. Baum-Welch trains start, transition and
-emission probabilities on all training texts, cut into segments of ``SEGMENT`` symbols; scores come from the scaled
-forward recursion over the whole sequence. States start from ``STATES`` training texts of small hashed ids.
+Tokens are the words of a text (A-Z lower-cased) and one end token. The model's emissions are factored: the ``EMITTED`` most
+frequent training words are symbols of their own; any other word is the symbol of its class, which its last bytes name, times
+its smoothed share of the class, counted over all training tokens. So every state's emissions sum to one over all words,
+unknown ones included, and no token is left out of a count or a score. Baum-Welch trains start, transition and emission
+probabilities on whole training texts until a step raises the likelihood by less than ``TOLERANCE`` of it; scores come from
+the scaled forward recursion over the whole sequence. States start from ``STATES`` training texts, drawn by hashed ids in
+proportion to their length.
+
+Expectations are those of the whole text: a text is cut into segments only to be computed side by side. The product of each
+segment's moves and emissions (a matrix of states) is taken first; what comes before and after a segment is carried over the
+cuts by these products, and the moves across cuts are counted.
 
 Scale: words are counted by 64-bit hashes with map-side combine. The ``HEAD`` most frequent words' counts are broadcast (a
 bound on words, not on the corpus); the other, rare words of each text are joined with the counts by a shuffle, which so
 holds no hot key. Symbols are encoded once (two bytes a token). An expectation step gives one block of states * symbols
-sums a partition, summed in a tree. A task holds one batch of texts.
+sums a partition, summed in a tree. A task holds some ``TOGETHER`` tokens, or one longer text.
 
 Defined cases: null and wordless texts are the end token alone; repeated rows are scored each, and trained on each; an id
-that is null is in fold 0; without training texts every count is 0 and all symbols are equally likely.
+that is null is in fold 0; texts have any length; without training texts every count is 0 and all symbols are equally likely.
 """
 
 from __future__ import annotations
@@ -29,15 +35,14 @@ from stemma.llm import _text
 from stemma.llm._spark import batch_of, cut_columnar
 
 STATES = 8
-EMITTED = 4096
+EMITTED = 1 << 15
 CLASSES = 256
 HEAD = 1 << 19
-SEGMENT = 256
-STEPS = 3
-#: Least tokens of the texts that seed the states.
-SEED_TOKENS = 200
+#: Tokens that are computed in a row, and in a task at a time.
+SEGMENT = 512
+TOGETHER = 2_000_000
+TOLERANCE = 1e-3
 END = np.uint64(0x656E64)
-_S = EMITTED + CLASSES
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,30 +191,52 @@ class Hmm:
 
 
 def initial(unigram: np.ndarray, seeds: list[np.ndarray], states: int = STATES, stay: float = 0.99) -> Hmm:
-    """States that keep to themselves, each halfway between all texts and one seed text; where seeds are few, a shifted mixture."""
+    """States that keep to themselves, each halfway between all texts and one seed text; where seeds are few, a shifted mixture.
+
+    seeds: symbol counts.
+    """
     unigram = (unigram + 0.5) / (unigram + 0.5).sum()
     r = np.random.default_rng(7)
-    own = [np.bincount(x, minlength=len(unigram)) / len(x) for x in seeds[:states]]
+    own = [x / x.sum() for x in seeds[:states]]
     own += [u / u.sum() for u in (unigram * (r.random(len(unigram)) + 0.5) for _ in range(states - len(own)))]
     move = np.full((states, states), (1 - stay) / max(states - 1, 1))
     np.fill_diagonal(move, stay if states > 1 else 1.0)
     return Hmm(np.full(states, 1 / states), move, np.stack([0.5 * x + 0.5 * unigram for x in own], 1))
 
 
-def expect(model: Hmm, symbols: np.ndarray, mask: np.ndarray, is_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of padded sequences (time, sequence), and their log10 likelihood."""
+def transfer(model: Hmm, symbols: np.ndarray, mask: np.ndarray, is_first: np.ndarray) -> np.ndarray:
+    """Each padded segment's product of moves and emissions, up to a factor: (segment, state before it, state at its end)."""
+    k, states = symbols.shape[1], len(model.start)
+    into = np.where(is_first[:, None, None], np.eye(states), model.move)
+    now = into * model.emit[symbols[0]][:, None, :]
+    for t in range(1, len(symbols)):
+        step = (now.reshape(-1, states) @ model.move).reshape(k, states, states) * model.emit[symbols[t]][:, None, :]
+        now = step if mask[t].all() else np.where(mask[t][:, None, None], step, now)
+        if t % 16 == 0:
+            now /= now.sum((1, 2), keepdims=True)
+    return now / now.sum((1, 2), keepdims=True)
+
+
+def expect(model: Hmm, symbols: np.ndarray, mask: np.ndarray, is_first: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of padded segments (time, segment), and their log10 likelihood given what is before.
+
+    before: probabilities of the states at the end of the segment before, for those that aren't first; after: of what follows
+    given the state at the segment's end, up to a factor.
+    """
     t_most, k = symbols.shape
     states = len(model.start)
     e = model.emit[symbols]
     e[~mask] = 1.0
     alpha, scale = np.empty((t_most, k, states)), np.ones((t_most, k))
-    now = model.start * e[0]
+    now = np.where(is_first[:, None], model.start, before @ model.move) * e[0]
     for t in range(t_most):
         if t:
             now = (alpha[t - 1] @ model.move) * e[t]
         scale[t] = now.sum(1)
         alpha[t] = now / scale[t][:, None]
-    beta = np.ones((k, states))
+    last = alpha[mask.sum(0) - 1, np.arange(k)]
+    after = after / (last * after).sum(1, keepdims=True)
+    beta = after
     moves = np.zeros((states, states))
     emitted = np.empty((t_most, k, states))
     for t in range(t_most - 1, -1, -1):
@@ -217,14 +244,54 @@ def expect(model: Hmm, symbols: np.ndarray, mask: np.ndarray, is_first: np.ndarr
             ahead = e[t + 1] * beta / scale[t + 1][:, None]
             on = mask[t + 1][:, None]
             moves += alpha[t].T @ np.where(on, ahead, 0)
-            beta = np.where(on, ahead @ model.move.T, 1.0)
+            beta = np.where(on, ahead @ model.move.T, after)
         emitted[t] = alpha[t] * beta
+    moves += before[~is_first].T @ (e[0] * beta / scale[0][:, None])[~is_first]
     emitted *= mask[:, :, None]
     flat, weight = symbols.ravel(), emitted.reshape(-1, states)
     emits = np.stack([np.bincount(flat, weight[:, s], len(model.emit)) for s in range(states)], 1)
     return emitted[0][is_first].sum(0), moves * model.move, emits, float(np.log10(scale)[mask].sum())
 
 
+def _padded(segments: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of segments of like length, their symbols (time, segment) and which of these are theirs."""
+    order = np.argsort([-len(x) for x in segments], kind="stable")
+    for at in range(0, len(order), size):
+        own = order[at : at + size]
+        n = np.array([len(segments[i]) for i in own])
+        out = np.zeros((n[0], len(own)), np.int64)
+        for j, i in enumerate(own):
+            out[: n[j], j] = segments[i]
+        yield own, out, np.arange(n[0])[:, None] < n
+
+
+def expect_texts(model: Hmm, texts: list[np.ndarray], size: int = 256) -> np.ndarray:
+    """Expected starts, moves, emissions and the log10 likelihood of whole texts, in one row."""
+    k = len(model.start)
+    segments = [x[a : a + SEGMENT] for x in texts for a in range(0, len(x), SEGMENT)]
+    text = np.repeat(np.arange(len(texts)), [-(-len(x) // SEGMENT) for x in texts])
+    is_first = np.ones(len(text), bool)
+    is_first[1:] = text[1:] != text[:-1]
+    before, after = np.zeros((len(text), k)), np.ones((len(text), k))
+    cut = np.flatnonzero(~is_first)  # with the segment before each, what has a neighbour
+    joined = np.unique(np.concatenate([cut, cut - 1]))
+    if len(joined):
+        product = np.empty((len(text), k, k))
+        for own, symbols, mask in _padded([segments[i] for i in joined], size):
+            product[joined[own]] = transfer(model, symbols, mask, is_first[joined[own]])
+        for i in cut.tolist():
+            v = (model.start if is_first[i - 1] else before[i - 1]) @ product[i - 1]
+            before[i] = v / v.sum()
+        for i in cut[::-1].tolist():
+            v = product[i] @ after[i]
+            after[i - 1] = v / v.sum()
+    total = np.zeros(k + k * k + model.emit.size + 1)
+    for own, symbols, mask in _padded(segments, size):
+        starts, moves, emits, likely = expect(model, symbols, mask, is_first[own], before[own], after[own])
+        total += np.concatenate([starts, moves.ravel(), emits.ravel(), [likely]])
+    return total
+
+
 def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, floor: float = 0.01) -> Hmm:
     """New probabilities; a small count for each keeps unseen events possible."""
     starts, moves = starts + 1.0, moves + 1.0
@@ -232,33 +299,6 @@ def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, floor: fl
     return Hmm(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
 
 
-def _segments(texts: Iterator[np.ndarray], size: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    def padded(held: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = np.zeros((max(len(s) for s, _ in held), len(held)), np.int64)
-        n = np.array([len(s) for s, _ in held])
-        for i, (s, _) in enumerate(held):
-            out[: len(s), i] = s
-        return out, np.arange(len(out))[:, None] < n, np.array([f for _, f in held])
-
-    full, part = [], []
-    for x in texts:
-        for a in range(0, len(x), SEGMENT):
-            s = x[a : a + SEGMENT]
-            (full if len(s) == SEGMENT else part).append((s, a == 0))
-        if len(full) >= size:
-            yield padded(full)
-            full = []
-        if len(part) >= 4 * size:
-            part.sort(key=lambda p: len(p[0]))
-            for i in range(0, len(part), size):
-                yield padded(part[i : i + size])
-            part = []
-    part.sort(key=lambda p: len(p[0]))
-    for held in (full, *(part[i : i + size] for i in range(0, len(part), size))):
-        if held:
-            yield padded(held)
-
-
 _SUMS = pa.schema([("sums", pa.binary())])
 
 
@@ -267,10 +307,17 @@ def _expect(shared: Broadcast):
         model: Hmm = shared.value
         k = len(model.start)
         total = np.zeros(k + k * k + model.emit.size + 1)
-        texts = (np.frombuffer(x.as_py(), "<u2") for batch in batches for x in batch.column(0))
-        for symbols, mask, is_first in _segments(texts):
-            starts, moves, emits, likely = expect(model, symbols, mask, is_first)
-            total += np.concatenate([starts, moves.ravel(), emits.ravel(), [likely]])
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_py(), "<u2"))
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    total += expect_texts(model, held)
+                    held, size = [], 0
+        if held:
+            total += expect_texts(model, held)
         yield batch_of(_SUMS, {"sums": [total.tobytes()]})
 
     return run
@@ -286,19 +333,41 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(_SUMS, {"sums": [total.tobytes()]})
 
 
-def train(symbols: DataFrame, model: Hmm, steps: int = STEPS) -> tuple[Hmm, list[float]]:
+def train(symbols: DataFrame, model: Hmm, tolerance: float = TOLERANCE) -> tuple[Hmm, list[float]]:
     """Baum-Welch over a column of encoded texts; the model and the log10 likelihood before each step."""
     k, seen = len(model.start), []
-    for _ in range(steps):
+    while len(seen) < 2 or seen[-1] - seen[-2] >= tolerance * abs(seen[-1]):
         shared = symbols.sparkSession.sparkContext.broadcast(model)
         rows = symbols.mapInArrow(_expect(shared), "sums binary").repartition(32).mapInArrow(_add, "sums binary").collect()  # at most 32
         total = sum((np.frombuffer(r["sums"]) for r in rows), np.zeros(k + k * k + model.emit.size + 1))
         seen.append(float(total[-1]))
         model = maximise(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : -1].reshape(-1, k))
         shared.unpersist()
+        if not total[-1]:  # no texts
+            break
     return model, seen
 
 
+_TALLY = pa.schema([("turn", pa.float64()), ("id", pa.int64()), ("symbol", pa.int32()), ("n", pa.int64())])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            symbol, n = np.unique(np.frombuffer(row["symbols"], "<u2"), return_counts=True)
+            yield batch_of(_TALLY, {"turn": [row["turn"]] * len(n), "id": [row["id"]] * len(n), "symbol": symbol.astype(np.int32), "n": n})
+
+
+def seeds_of(learnt: DataFrame, states: int = STATES) -> list[np.ndarray]:
+    """Symbol counts of some texts; learnt: id, doc_id, n_tokens, symbols. At most states * symbols rows reach the driver."""
+    u = (F.pmod(F.xxhash64("doc_id", "id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    drawn = learnt.select("id", "symbols", (-F.log(u) / F.col("n_tokens")).alias("turn")).orderBy("turn", "id").limit(states)
+    out: dict[tuple, np.ndarray] = {}
+    for r in drawn.mapInArrow(_tally, "turn double, id long, symbol int, n long").collect():
+        out.setdefault((r["turn"], r["id"]), np.zeros(EMITTED + CLASSES))[r["symbol"]] = r["n"]
+    return [out[k] for k in sorted(out)]
+
+
 def likelihood(model: Hmm, texts: list[np.ndarray], together: int = 1024) -> np.ndarray:
     """log10 probability of each symbol sequence by the scaled forward recursion."""
     out = np.zeros(len(texts))
@@ -351,8 +420,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     v = vocabulary(counts)
     coded = cut_columnar(own.mapInArrow(_encode(spark.sparkContext.broadcast(v)), _CODED_SQL))
     learnt = coded.where("NOT held_out")
-    seeds = learnt.where(F.col("n_tokens") >= SEED_TOKENS).orderBy(F.xxhash64("doc_id"), "id").select("symbols").limit(STATES).collect()
-    model, _ = train(learnt.select("symbols"), initial(v.unigram(), [np.frombuffer(r["symbols"], "<u2") for r in seeds]))
+    model, _ = train(learnt.select("symbols"), initial(v.unigram(), seeds_of(learnt)))
     shared = spark.sparkContext.broadcast(model)
     frequent = coded.drop("rare", "rare_n", "rare_kind").mapInArrow(_score(shared), "id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     rare = coded.select("id", F.explode(F.arrays_zip("rare", "rare_n", "rare_kind")).alias("r")).select("id", F.col("r.rare").alias("h"), F.col("r.rare_n").alias("times"), F.col("r.rare_kind").alias("kind"))

@@ -1,18 +1,24 @@
 """Quality rules: robust multivariate outliers among text statistics.
 
-Each text gives seven statistics, transformed so that prose is roughly normal in them. For every language and source the
-location and scatter are those of the minimum-covariance-determinant estimate: from coordinate-wise medians and median
-deviations, concentration steps keep the three quarters of the group's rows that are nearest and estimate anew; then the
-scatter is made consistent by the median distance. A row is rejected if its squared Mahalanobis distance passes the
-``CUTOFF`` quantile of the chi-squared distribution. Every scatter has the squares of ``FLOOR`` added on its diagonal, the
-resolution below which a statistic tells nothing, so constant statistics do no harm.
-
-Scale: one scan of the texts; then only seven numbers a row. Concentration steps are groupBy sums and quantiles with
+Each text gives seven statistics, transformed so that prose is roughly normal in them. For every language and source, every
+language, and all rows, location and scatter are those of the minimum-covariance-determinant estimate over ``NEAREST`` of the
+rows. Three deterministic starts (median deviations, spatial signs and hyperbolic tangents of the standardised rows) take two
+concentration steps each; the one of least determinant goes on until its determinant falls no more, and the least ever seen
+is kept. A concentration step takes the rows of the least distances; distances are sorted into bins of an eighth of an octave
+and the bin at the border counts with the share of it that is needed. Scatters are made consistent by the median distance,
+never smaller, and have the squares of ``FLOOR`` added on the diagonal, the resolution below which a statistic tells nothing.
+
+A group's estimate weighs as its rows against ``SHRINK`` rows of its language's, and a language's likewise against that of
+all rows: small groups lean on what they are part of, without a bound at which this changes. A row is rejected if its squared
+Mahalanobis distance passes the ``CUTOFF`` quantile of the chi-squared distribution.
+
+Scale: one scan of the texts; then only seven numbers a row. Concentration steps are groupBy sums over (group, bin) with
 partial aggregation, so a source that holds a third of the rows is no single task; the number of groups isn't bounded by
-the driver. Groups of fewer than ``MIN_GROUP`` rows are pooled by language, and languages of fewer into one group.
+the driver.
 
 Defined cases: a null text has no words and fails the base rule, as all texts under 50 words; null lang or source is a
-group of its own; repeated rows are judged each; an empty table gives no rows.
+group of its own; repeated rows are judged each, equal rows and equal distances alike; texts have any length; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stemma.llm import _text
 from stemma.llm._spark import batch_of, cut_columnar
@@ -32,11 +38,12 @@ from stemma.llm._spark import batch_of, cut_columnar
 FLOOR = {"log_words": 0.7, "log_word_chars": 0.06, "log_symbols": 0.28, "dup_lines": 0.09, "repeat_words": 0.08, "upper": 0.03, "punctuation": 0.03}
 P = len(FLOOR)
 NEAREST = 0.75
-STEPS = 3
 CUTOFF = 1 - 1e-6
-MIN_GROUP = 200
-#: Groups whose parameters are broadcast (some 500 bytes each); beyond, rows and parameters are joined by group and salt.
-BROADCAST_GROUPS = 20_000
+SHRINK = 50.0
+#: Least fall of the determinant's logarithm that counts.
+FALL = 1e-3
+#: Groups whose parameters are broadcast (some 500 bytes a start); beyond, rows and parameters are joined by group and salt.
+BROADCAST_GROUPS = 10_000
 SALTS = 32
 MIN_WORDS = 50
 
@@ -97,21 +104,47 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(found[f.name], f.type) for f in _STATS), *(c.slice(a, b - a) for c in batch.columns[1:])], names=[*_STATS.names, *names[1:]])
 
 
+_SYMMETRIC = [(i, j) for i in range(P) for j in range(i, P)]
+_SQUARES = np.diag(np.array(list(FLOOR.values())) ** 2)
+
+
+def _matrix(values: list[float]) -> np.ndarray:
+    out = np.zeros((P, P))
+    for (i, j), v in zip(_SYMMETRIC, values):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+_FOUND_SQL = "grp string, start int, n double, mu array<double>, scatter array<double>, inverse array<double>, size double"
+
+
+def _found(rows: list[tuple[str, int, float, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Group, start, rows, location, scatter without the floor."""
+    full = [c + _SQUARES for *_, c in rows]
+    lists = lambda xs: pa.array([np.asarray(x).ravel().tolist() for x in xs], pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([float(r[2]) for r in rows], pa.float64()), lists(r[3] for r in rows), lists(r[4] for r in rows), lists(np.linalg.inv(c) for c in full), pa.array([float(np.linalg.slogdet(c)[1]) for c in full], pa.float64())], names=["grp", "start", "n", "mu", "scatter", "inverse", "size"])
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Medians, deviations and sums over standardised rows -> three estimates a group."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            spread = np.array(r["spread"])
+            sign, tanh = (_matrix([r[f"{k}{i}_{j}"] for i, j in _SYMMETRIC]) / max(r["n"], 1) for k in ("g", "t"))
+            shapes = np.eye(P), sign * P, tanh / max(np.trace(tanh) / P, 1e-9)
+            rows += [(r["grp"], k, r["n"], np.array(r["mu"]), shape * np.outer(spread, spread)) for k, shape in enumerate(shapes)]
+        yield _found(rows)
+
+
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Group, count, sums and sums of products -> group, location, inverse scatter."""
+    """Group, start, count, sums and sums of products -> location and scatter."""
     for batch in batches:
-        rows = batch.to_pylist()
-        mu, inverse = [], []
-        for r in rows:
-            n, s = max(r["n"], 1), np.array([r[f"s{i}"] for i in range(P)])
-            m = s / n
-            cov = np.zeros((P, P))
-            for i in range(P):
-                for j in range(i, P):
-                    cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / n - m[i] * m[j]
-            mu.append(m.tolist())
-            inverse.append(np.linalg.inv(cov + np.diag(np.array(list(FLOOR.values())) ** 2)).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mu, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["grp", "mu", "inverse"])
+        rows = []
+        for r in batch.to_pylist():
+            mu = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
+            rows.append((r["grp"], r["start"], r["total"], mu, _matrix([r[f"s{i}_{j}"] for i, j in _SYMMETRIC]) / r["n"] - np.outer(mu, mu)))
+        yield _found(rows)
 
 
 def _distance() -> Column:
@@ -128,8 +161,23 @@ def _with(rows: DataFrame, groups: DataFrame, key: str, n: int, how: str = "inne
     return dealt.join(groups.withColumn("_salt", F.expr(f"explode(sequence(0L, {SALTS - 1}L))")), [key, "_salt"], how).drop("_salt")
 
 
-def estimate(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """grp, mu, inverse, scale (median squared distance over its expectation) by minimum covariance determinant.
+def _concentrated(vectors: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """The estimate of each group's and start's nearest rows."""
+    names = list(FLOOR)
+    far = _with(vectors, found.select("grp", "start", "mu", "inverse"), "grp", n)
+    far = far.select("grp", "start", *names, F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * 8).alias("bin"))
+    products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in _SYMMETRIC]
+    binned = far.groupBy("grp", "start", "bin").agg(F.count("*").alias("k"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(names)], *products)
+    own = W.partitionBy("grp", "start")
+    ranked = binned.withColumns({"total": F.sum("k").over(own), "upto": F.sum("k").over(own.orderBy("bin"))})
+    share = F.least(F.lit(1.0), (F.ceil(F.col("total") * NEAREST) - F.col("upto") + F.col("k")) / F.col("k"))
+    sums = [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in _SYMMETRIC]
+    near = ranked.withColumn("share", share).where("share > 0").groupBy("grp", "start").agg(F.first("total").alias("total"), F.sum(F.col("k") * F.col("share")).alias("n"), *[F.sum(F.col(x) * F.col("share")).alias(x) for x in sums])
+    return cut_columnar(near.mapInArrow(_estimates, _FOUND_SQL))
+
+
+def estimate(vectors: DataFrame) -> DataFrame:
+    """grp, n (rows), mu and scatter (consistent, with the floor) by minimum covariance determinant.
 
     vectors: grp and the statistics.
     """
@@ -137,17 +185,61 @@ def estimate(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     n = vectors.select("grp").distinct().count()
     centre = vectors.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(names)])
     spread = _with(vectors, centre, "grp", n).groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000).alias(f"v{i}") for i, f in enumerate(names)])
-    inverse = [1 / (F.pow(1.4826 * F.col(f"v{i}"), 2) + floor[i] ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
-    found = cut_columnar(spread.select("grp", F.array(*[F.col(f"m{i}") for i in range(P)]).alias("mu"), F.array(*inverse).alias("inverse")))
-    for _ in range(steps):
-        far = _with(vectors, found, "grp", n).select("grp", *names, _distance().alias("d"))
-        near = far.groupBy("grp").agg(F.percentile_approx("d", NEAREST, 1000).alias("most"))
-        kept = _with(far, near, "grp", n).where("d <= most")
-        sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
-        moments = kept.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(names)], *sums)
-        found = cut_columnar(moments.mapInArrow(_estimates, "grp string, mu array<double>, inverse array<double>"))
-    middle = _with(vectors, found, "grp", n).groupBy("grp").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("middle"))
-    return found.join(middle, "grp").select("grp", "mu", "inverse", F.greatest(F.col("middle") / chi2(0.5), F.lit(1.0)).alias("scale"))
+    deviation = F.array(*[F.sqrt(F.pow(1.4826 * F.col(f"v{i}"), 2) + floor[i] ** 2) for i in range(P)])
+    spread = cut_columnar(spread.select("grp", F.array(*[F.col(f"m{i}") for i in range(P)]).alias("mu"), deviation.alias("spread")))
+    z = [f"z{i}" for i in range(P)]
+    rows = _with(vectors, spread, "grp", n).select("grp", "mu", "spread", *[((F.col(f) - F.col("mu")[i]) / F.col("spread")[i]).alias(z[i]) for i, f in enumerate(names)])
+    length = F.greatest(reduce(Column.__add__, [F.col(x) * F.col(x) for x in z]), F.lit(1e-12))
+    signs = [F.sum(F.col(z[i]) * F.col(z[j]) / length).alias(f"g{i}_{j}") for i, j in _SYMMETRIC]
+    tanhs = [F.sum(F.tanh(z[i]) * F.tanh(z[j])).alias(f"t{i}_{j}") for i, j in _SYMMETRIC]
+    sums = rows.groupBy("grp").agg(F.count("*").alias("n"), F.first("mu").alias("mu"), F.first("spread").alias("spread"), *signs, *tanhs)
+    found = cut_columnar(sums.mapInArrow(_starts, _FOUND_SQL))
+    for _ in range(2):
+        found = _concentrated(vectors, found, n)
+    fields = ["size", "start", "n", "mu", "scatter", "inverse"]
+    best = cut_columnar(found.groupBy("grp").agg(F.min(F.struct(*fields)).alias("best")).select("grp", *[F.col(f"best.{f}").alias(f) for f in fields]))
+    while True:
+        new = _concentrated(vectors, best, n).select("grp", F.struct(*fields).alias("new"))
+        falls = F.col("new.size") < F.col("size") - FALL
+        step = best.join(new, "grp").withColumn("falls", falls)
+        best = cut_columnar(step.select("grp", "falls", *[F.when(F.col("falls"), F.col(f"new.{f}")).otherwise(F.col(f)).alias(f) for f in fields]))
+        if not best.where("falls").limit(1).count():
+            break
+    fine = _with(vectors, best.select("grp", "mu", "inverse"), "grp", n).groupBy("grp", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * 64).alias("bin")).agg(F.count("*").alias("k"))
+    own = W.partitionBy("grp")
+    ranked = fine.withColumns({"total": F.sum("k").over(own), "upto": F.sum("k").over(own.orderBy("bin"))})
+    middle = ranked.where("upto * 2 >= total").groupBy("grp").agg(F.min("bin").alias("bin"))
+    scale = F.greatest(F.pow(2.0, (F.col("bin") + 0.5) / 64) / chi2(0.5), F.lit(1.0))
+    full = F.zip_with("scatter", F.array(*[F.lit(float(x)) for x in _SQUARES.ravel()]), lambda a, b: a + b)
+    return best.join(middle, "grp").select("grp", "n", "mu", F.transform(full, lambda x: x * scale).alias("scatter"))
+
+
+_SHRUNK_SQL = "grp string, mu array<double>, inverse array<double>"
+
+
+def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Estimates of a group, its language and all rows -> the group's location and inverse scatter."""
+    for batch in batches:
+        mu, inverse = [], []
+        for r in batch.to_pylist():
+            m, s = np.array(r["mu_all"]), np.array(r["scatter_all"])
+            for level in ("lang", "own"):
+                w = r[f"n_{level}"] / (r[f"n_{level}"] + SHRINK)
+                m, s = (w * np.array(r[f"{k}_{level}"]) + (1 - w) * old for k, old in (("mu", m), ("scatter", s)))
+            mu.append(m.tolist())
+            inverse.append(np.linalg.inv(s.reshape(P, P)).ravel().tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mu, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["grp", "mu", "inverse"])
+
+
+def parameters(fine: DataFrame) -> DataFrame:
+    """grp (language and source as JSON), mu, inverse; fine: lang, source and the statistics of the rows to learn from."""
+    own, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
+    levels = F.array(F.lit("all"), F.concat(F.lit("lang"), lang), F.concat(F.lit("own"), own))
+    found = cut_columnar(estimate(cut_columnar(fine.select(F.explode(levels).alias("grp"), *FLOOR))))
+    groups = fine.select("lang", "source").distinct().select(own.alias("grp"), lang.alias("lang"))
+    of = lambda level: found.where(F.col("grp").startswith(level)).select(F.expr(f"substring(grp, {len(level) + 1})").alias(f"key_{level}"), *[F.col(c).alias(f"{c}_{level}") for c in ("n", "mu", "scatter")])
+    joined = groups.join(of("own"), F.col("grp") == F.col("key_own")).join(of("lang"), F.col("lang") == F.col("key_lang")).join(F.broadcast(of("all")), F.col("key_all") == "")
+    return joined.select("grp", *[f"{c}_{level}" for level in ("own", "lang", "all") for c in ("n", "mu", "scatter")]).mapInArrow(_shrunk, _SHRUNK_SQL)
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -156,17 +248,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     own = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *carried)
     fields = [*(f"{b} long" for b in BASE), *(f"{f} double" for f in FLOOR), *(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[1:])]
     rows = cut_columnar(own.mapInArrow(_measure, ", ".join(fields)).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    pair = F.to_json(F.struct("lang", "source"))
-    fine = rows.where("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("pair", pair)
-    few = F.col("n") < MIN_GROUP
-    by_lang = fine.where(few).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    grp = F.when(~few, F.col("pair")).when(F.col("n_lang") >= MIN_GROUP, F.to_json(F.struct(F.col("lang"), F.lit(True).alias("pooled")))).otherwise(F.lit("rest"))
-    named = fine.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").select("pair", grp.alias("grp"))
-    named = cut_columnar(named)
-    n = named.count()
-    ready = _with(rows.withColumn("pair", pair), named, "pair", n, "left")
-    vectors = cut_columnar(ready.where("NOT base_failed").select("grp", *FLOOR))
-    found = estimate(vectors)
-    judged = _with(ready, found, "grp", n, "left").withColumn("distance", _distance() / F.col("scale"))
+    found = cut_columnar(parameters(rows.where("NOT base_failed")))
+    judged = _with(rows.withColumn("grp", F.to_json(F.struct("lang", "source"))), found, "grp", found.count(), "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2(CUTOFF), F.lit(True))
     return judged.select("doc_id", *BASE, "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), kept.alias("kept"), *[F.col(f"kept_{c}") for c in keep])

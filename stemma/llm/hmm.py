@@ -39,9 +39,9 @@ EMITTED = 1 << 15
 CLASSES = 256
 HEAD = 1 << 19
 #: Tokens that are computed in a row, and in a task at a time.
-SEGMENT = 512
+SEGMENT = 1024
 TOGETHER = 2_000_000
-TOLERANCE = 1e-3
+TOLERANCE = 5e-3
 END = np.uint64(0x656E64)
 
 
@@ -207,12 +207,15 @@ def initial(unigram: np.ndarray, seeds: list[np.ndarray], states: int = STATES,
 def transfer(model: Hmm, symbols: np.ndarray, mask: np.ndarray, is_first: np.ndarray) -> np.ndarray:
     """Each padded segment's product of moves and emissions, up to a factor: (segment, state before it, state at its end)."""
     k, states = symbols.shape[1], len(model.start)
-    into = np.where(is_first[:, None, None], np.eye(states), model.move)
-    now = into * model.emit[symbols[0]][:, None, :]
+    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
+    emit /= emit.max(1, keepdims=True)
+    now = np.where(is_first[:, None, None], np.eye(states, dtype=np.float32), move) * emit[symbols[0]][:, None, :]
+    whole = mask.all(1)
     for t in range(1, len(symbols)):
-        step = (now.reshape(-1, states) @ model.move).reshape(k, states, states) * model.emit[symbols[t]][:, None, :]
-        now = step if mask[t].all() else np.where(mask[t][:, None, None], step, now)
-        if t % 16 == 0:
+        step = (now.reshape(-1, states) @ move).reshape(k, states, states)
+        step *= emit[symbols[t]][:, None, :]
+        now = step if whole[t] else np.where(mask[t][:, None, None], step, now)
+        if t % 4 == 0:
             now /= now.sum((1, 2), keepdims=True)
     return now / now.sum((1, 2), keepdims=True)
 
@@ -221,36 +224,41 @@ def expect(model: Hmm, symbols: np.ndarray, mask: np.ndarray, is_first: np.ndarr
     """Expected starts, moves and emissions of padded segments (time, segment), and their log10 likelihood given what is before.
 
     before: probabilities of the states at the end of the segment before, for those that aren't first; after: of what follows
-    given the state at the segment's end, up to a factor.
+    given the state at the segment's end, up to a factor. In single precision within a segment, sums in double.
     """
     t_most, k = symbols.shape
-    states = len(model.start)
-    e = model.emit[symbols]
+    states, exact = len(model.start), np.float32
+    move, back = model.move.astype(exact), np.ascontiguousarray(model.move.T, exact)
+    e = model.emit.astype(exact)[symbols]
     e[~mask] = 1.0
-    alpha, scale = np.empty((t_most, k, states)), np.ones((t_most, k))
-    now = np.where(is_first[:, None], model.start, before @ model.move) * e[0]
+    alpha, scale = np.empty((t_most, k, states), exact), np.empty((t_most, k, 1), exact)
+    one = np.ones((states, 1), exact)
+    now = (np.where(is_first[:, None], model.start, before @ model.move) * e[0]).astype(exact)
     for t in range(t_most):
         if t:
-            now = (alpha[t - 1] @ model.move) * e[t]
-        scale[t] = now.sum(1)
-        alpha[t] = now / scale[t][:, None]
+            np.matmul(alpha[t - 1], move, out=now)
+            now *= e[t]
+        np.matmul(now, one, out=scale[t])
+        np.divide(now, scale[t], out=alpha[t])
     last = alpha[mask.sum(0) - 1, np.arange(k)]
-    after = after / (last * after).sum(1, keepdims=True)
-    beta = after
-    moves = np.zeros((states, states))
-    emitted = np.empty((t_most, k, states))
-    for t in range(t_most - 1, -1, -1):
-        if t < t_most - 1:
-            ahead = e[t + 1] * beta / scale[t + 1][:, None]
-            on = mask[t + 1][:, None]
-            moves += alpha[t].T @ np.where(on, ahead, 0)
-            beta = np.where(on, ahead @ model.move.T, after)
-        emitted[t] = alpha[t] * beta
-    moves += before[~is_first].T @ (e[0] * beta / scale[0][:, None])[~is_first]
-    emitted *= mask[:, :, None]
-    flat, weight = symbols.ravel(), emitted.reshape(-1, states)
+    after = (after / (last * after).sum(1, keepdims=True)).astype(exact)
+    e /= scale  # from here on each emission over its scale
+    beta, ahead = np.empty_like(alpha), np.zeros_like(alpha)
+    beta[-1] = after
+    whole = mask.all(1)
+    for t in range(t_most - 2, -1, -1):
+        np.multiply(e[t + 1], beta[t + 1], out=ahead[t])
+        np.matmul(ahead[t], back, out=beta[t])
+        if not whole[t + 1]:
+            ended = ~mask[t + 1]
+            ahead[t][ended], beta[t][ended] = 0, after[ended]
+    moves = (alpha[:-1].reshape(-1, states).T @ ahead[:-1].reshape(-1, states)).astype(float)
+    moves += before[~is_first].T @ (e[0] * beta[0])[~is_first]
+    beta *= alpha
+    beta *= mask[:, :, None]
+    flat, weight = symbols.ravel(), beta.reshape(-1, states)
     emits = np.stack([np.bincount(flat, weight[:, s], len(model.emit)) for s in range(states)], 1)
-    return emitted[0][is_first].sum(0), moves * model.move, emits, float(np.log10(scale)[mask].sum())
+    return beta[0][is_first].sum(0, dtype=float), moves * model.move, emits, float(np.log10(scale[:, :, 0].astype(float))[mask].sum())
 
 
 def _padded(segments: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -601,7 +601,7 @@ def test_expectations_are_those_of_whole_texts(monkeypatch, segment):
     part = lambda *n: (x := r.random(n)) / x.sum(-1, keepdims=True)
     m = hmm.Hmm(part(3), part(3, 3), part(3, 5).T.copy())
     texts = [r.integers(0, 5, n).astype("<u2") for n in (1, 2, 3, 4, 5, 7, 7, 1)]
-    assert hmm.expect_texts(m, texts, 3) == pytest.approx(brute_expectations(m, texts))
+    assert hmm.expect_texts(m, texts, 3) == pytest.approx(brute_expectations(m, texts), rel=1e-5)
     got = hmm.likelihood(m, texts, 3)
     assert got == pytest.approx([brute_expectations(m, [x])[-1] for x in texts])
 
@@ -609,9 +609,9 @@ def test_expectations_are_those_of_whole_texts(monkeypatch, segment):
 def test_long_texts_carry_over_cuts():
     r = np.random.default_rng(34)
     m = hmm.initial(np.ones(40), [], 4)
-    texts = [r.integers(0, 40, n).astype("<u2") for n in (5000, 513, 512, 1)]
-    assert hmm.expect_texts(m, texts)[-1] == pytest.approx(hmm.likelihood(m, texts).sum())
-    assert hmm.expect_texts(m, texts)[4:20].sum() == pytest.approx(sum(len(x) - 1 for x in texts))
+    texts = [r.integers(0, 40, n).astype("<u2") for n in (5000, 1025, 1024, 1)]
+    assert hmm.expect_texts(m, texts)[-1] == pytest.approx(hmm.likelihood(m, texts).sum(), rel=1e-5)
+    assert hmm.expect_texts(m, texts)[4:20].sum() == pytest.approx(sum(len(x) - 1 for x in texts), rel=1e-4)
 
 
 def test_training_stops_when_the_likelihood_settles(spark):

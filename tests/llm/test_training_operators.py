@@ -252,19 +252,96 @@ def test_html(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def html_of(spark, pages, bound=1 << 20):
+    return {x.page_id: x.text for x in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), bound).collect()}
+
+
 def test_html_drops_no_main_text_that_pages_share(spark):
     same = "the same beginning of every page " * 6
     pages = [(n, "http://long/", f"<p>Site<div>{same}{n}</div>") for n in range(6)]
-    pages += [(10 + n, "http://copies/", "<p>one page in copies") for n in range(6)]
+    pages += [(10 + n, "http://copies/", "<main><h1>Title</h1><p>one page in copies</main>") for n in range(6)]
     pages += [(20 + n, "http://whole/", f"<title>{n}</title><div>all there is</div>") for n in range(6)]
     pages += [(30 + n, "http://main/", f"<div>Site</div><main><p>in all pages<p>own {n}</main>") for n in range(6)]
-    got = {x.page_id: x.text for x in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    pages += [(40 + n, "http://some/", f"<p>own {n}" + "<p>on few pages" * (n < 3)) for n in range(9)]
+    pages += [(50 + n, "http://blocks/", f"<div class='main-story'>a{n}</div><div class='p2'>b{n}</div><h2>c</h2><div class='post-text'>d{n}</div>") for n in range(3)]
+    got = html_of(spark, pages)
     for n in range(6):
-        assert got[n] == f"{same}{n}" and got[10 + n] == "one page in copies" and got[20 + n] == "all there is"
+        assert got[n] == f"{same}{n}" and got[10 + n] == "Title\none page in copies" and got[20 + n] == "all there is"
         assert got[30 + n] == f"in all pages\nown {n}"
-
-
-@pytest.mark.parametrize("key, part", [("div.commentlist", -1), ("ol.comment-list", -1), ("div.topnav", -1), ("div.site-notices", -1), ("div.cookiebar", -1), ("aside", -1), ("div.ad", -1), ("div.ads-0", -1), ("div.adobe", 0), ("div.canvas", 0), ("div.shadow", 0), ("div.header-text@main", 2), ("div.with-sidebar", 0), ("body.has-sidebar", 0), ("article.comment", -1), ("article.post.sidebar-right", 3), ("main", 2), ("div@navigation", -1), ("div.entry-content", 1), ("section.downloads", 0), ("div.loading", 0), ("p", 0), ("div.breadcrumbs", -1), ("ul.menu-main", -1)])
+    for n in range(9):
+        assert got[40 + n] == f"own {n}" + "\non few pages" * (n < 3)
+    for n in range(3):
+        assert got[50 + n] == f"a{n}\nb{n}\nc\nd{n}"
+
+
+def test_html_of_any_depth_and_length(spark):
+    deep = "<div>" * 150
+    pages = [
+        (0, "http://d/", f"<p>body text</p>{deep}<nav>MENU</nav><p>under it<aside>x</aside></p>"),
+        (1, "http://d/", f"{deep}<article>found<footer>f</footer></article>"),
+        (2, "http://t/", f"<p>a<img src={'x' * 20000}>b</p>"),
+        (3, "http://t/", f"<p title='{'> ' * 9000}'>quoted</p>"),
+        (4, "http://t/", "<p title=\"never closed>open</p>" + "<a href='x>y</a>" * 3000 + "<p>end"),
+        (5, "http://t/", "<p>kept</p><a " + "y " * 9000),
+        (6, "http://t/", "<p>" + "word " * 300_000 + "</p>"),
+        (7, "http://t/", "<p it's>apostrophe</p><!-- c > --><p>2 < 3 <- 4</p><!doctype x>"),
+    ]
+    got = html_of(spark, pages)
+    assert got[0] == "body text\nunder it" and got[1] == "found" and got[2] == "ab" and got[3] == "quoted"
+    assert got[4].endswith("end") and got[5] == "kept" and got[6] == "word " * 299_999 + "word" and got[7] == "apostrophe\n2 < 3 <- 4"
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_html_of_generated_hosts(spark, bound):
+    """Sites built around known main text: what was put in must come out, and nothing else."""
+    r = random.Random(36)
+    pages, want = [], {}
+    words = lambda n: " ".join(f"{r.choice('abcdef')}{r.randrange(10**6)}x" for _ in range(n))
+
+    def main_part():
+        blocks, lines = [], []
+        for _ in range(r.randint(1, 6)):
+            kind = r.choice(["p", "p", "h2", "ul", "table", "quote", "entity"])
+            if kind in ("p", "h2"):
+                a, b = words(5), words(3)
+                blocks.append(f"<{kind}>{a} <b class='n{r.randrange(99)}'>{b}</b></{kind}>")
+                lines.append(f"{a} {b}")
+            elif kind == "ul":
+                items = [words(2) for _ in range(r.randint(1, 4))]
+                blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+                lines += items
+            elif kind == "table":
+                cells = [words(1) for _ in range(4)]
+                blocks.append(f"<table><tr><td>{cells[0]}<td>{cells[1]}<tr><td>{cells[2]}<td>{cells[3]}</table>")
+                lines += cells
+            elif kind == "quote":
+                x = words(4)
+                blocks.append(f"<blockquote><p>{x}</p></blockquote>")
+                lines.append(x)
+            else:
+                x = words(2)
+                blocks.append(f"<p>{x} &amp; &eacute;&#x41;\n\t {x}</p>")
+                lines.append(f"{x} & éA {x}")
+        return "".join(blocks), lines
+
+    furniture = ["<nav><a href=/>{w}</a></nav>", "<div class='sidebar-left'><p>{w}</p></div>", "<aside>{w}</aside>", "<div id='cookie-notice'>{w}</div>", "<div class='ad ad-{n}'>{w}</div>", "<form><input>{w}</form>", "<script>{w}</script>", "<footer>{w}</footer>", "<div class='comments'><p>{w}</p></div>", "<header>{w}</header>", "<style>{w}</style>"]
+    for host in range(12):
+        frame = host % 3
+        before, after = r.sample(furniture, 3), r.sample(furniture, 3)
+        site = words(3)
+        for n in range(10):
+            inner, lines = main_part()
+            put = lambda xs: "".join(x.format(w=words(2), n=r.randrange(99)) for x in xs if r.random() < 0.8)
+            links = "".join(f"<li><a href=/{k}>{words(1)}</a>" for k in range(r.randint(2, 5)))
+            body = (f"<div class=x{r.randrange(10**6)}><article>{inner}{put(r.sample(furniture[:8], 2))}</article></div>", f"<main>{inner}</main><p>{site}</p>", f"<div>{site}</div><ul>{links}</ul><div class='wrap'>{inner}</div>")[frame]
+            i = host * 100 + n
+            pages.append((i, f"https://H{host}.example/{n}", f"<!DOCTYPE html><html><head><title>{words(1)}</title></head><body>{put(before)}{body}{put(after)}</body></html>"))
+            want[i] = "\n".join(lines)
+    got = html_of(spark, pages + pages[:5], bound)
+    assert {i: got[i] for i in want if got[i] != want[i]} == {} and set(got) == set(want)
+
+
+@pytest.mark.parametrize("key, part", [("div.commentlist", -1), ("ol.comment-list", -1), ("div.topnav", -1), ("div.site-notices", -1), ("div.cookiebar", -1), ("aside", -1), ("div.ad", -1), ("div.ads-0", -1), ("div.adobe", 0), ("div.canvas", 0), ("div.shadow", 0), ("div.header-text@main", 1), ("div.with-sidebar", 0), ("body.has-sidebar", 0), ("article.comment", -1), ("article.post.sidebar-right", 2), ("main", 1), ("div@navigation", -1), ("div.entry-content", 0), ("section.downloads", 0), ("div.loading", 0), ("p", 0), ("div.breadcrumbs", -1), ("ul.menu-main", -1)])
 def test_what_names_mean(key, part):
     assert html._part(key, False) == part
 
@@ -273,9 +350,33 @@ def test_wrapper_is_union_free_and_bounded():
     w = html.merge(html.tree("<ul><li>a<li>b</ul><p>x"), html.tree("<ul><li>c</ul><h2>t</h2><p>y"))
     assert html.expression(w[5]) == "<ul>(<li>#TEXT</>)+</>(<h2>\"t\"</>)?<p>#TEXT</>"
     r = random.Random(6)
-    for _ in range(60):
-        w = html.merge(w, html.tree("".join(f"<{r.choice(['h2', 'p', 'div', 'table', 'ol'])}>z</>" for _ in range(30))))
-    assert len(w[5]) <= html.WIDE + 40
+    for k in range(60):
+        w = html.merge(w, html.tree("".join(f"<{t} class={''.join(r.choices(LETTERS, k=9))}>z</{t}>" for t in r.choices(["h2", "p", "div", "table", "ol"], k=30))))
+    assert len(w[5]) <= html.WIDE + 40 and sum(1 for _ in nodes_of(w)) < 300
+
+
+def nodes_of(node):
+    yield node
+    for c in node[5]:
+        yield from nodes_of(c)
+
+
+def test_pages_match_their_wrapper():
+    r = random.Random(37)
+    pages = ["".join(f"<{t}>{r.randrange(9)}<b>{r.randrange(3)}</b></{t}>" for t in r.choices(["p", "h2", "ul", "div class=a1b"], k=r.randint(1, 9))) for _ in range(80)]
+    w = html.tree(pages[0])
+    for p in pages[1:]:
+        w = html.merge(w, html.tree(p))
+    whole = html.compiled(w)
+    missed = []
+    place = html.Wrapper.place
+    try:
+        html.Wrapper.place = lambda self, key, after: (i := place(self, key, after), missed.append(key) if i < 0 else None)[0]
+        for p in pages:
+            html.extract(p, whole)
+    finally:
+        html.Wrapper.place = place
+    assert not missed
 
 
 # 5

@@ -15,9 +15,11 @@ _CLAUSE, _ITEM = re.compile(rf"第({_NUMBER})款"), re.compile(rf"第[（(]?({_N
 _LIST, _RANGE = re.compile(r"\s*(?:、|，|,|和|及|与|或者|或|以及)\s*"), re.compile(r"\s*(?:至|到|～|~|—+|-)\s*")
 #: What may stand between a law's name and its article, closest last.
 _DECORATION = re.compile(r"(?:\s|》|〉|”|（[^（）\n]{0,40}）|\([^()\n]{0,40}\))+$")
-#: Names that make what follows another body of rules, and words for the text's own law.
-TREATY = ("条约", "公约", "协定", "议定书")
-SELF = ("本法", "本条例", "本细则", "本办法")
+#: Names that make rules named after them foreign ones, the alias for which that is looked at, and words for the
+#: text's own law.
+TREATY = ("条约", "公约", "议定书")
+LEGACY = "实施细则"
+SELF = ("本法", "本条例", "本办法", "本细则", "本规定", "本规则", "本解释", "本标准", "本规程", "本纲要", "本指引")
 #: Longest range that is spelt out; of longer ones only the ends count.
 SPELT = 60
 
@@ -64,13 +66,12 @@ class Extractor:
         left = text[max(0, end - self.window) : end]
         left = left[left.rfind("\n\n") + 2 :] if "\n\n" in left else left
         left = _DECORATION.sub("", left)
-        if self.own and left.endswith(SELF):
-            return self.own
+        undated = re.sub(r"[0-9]{2,4}$", "", left)
         for alias in self.aliases:
-            if left.endswith(alias):
-                before = left[: -len(alias)]
-                return None if before.endswith(TREATY) else self.laws[alias]
-        return None
+            for form in dict.fromkeys((left, undated)):
+                if form.endswith(alias) and not (alias == LEGACY and form.removesuffix(alias).endswith(TREATY)):
+                    return self.laws[alias]
+        return self.own if left.endswith(SELF) else None
 
     def __call__(self, text: str) -> Iterator[Citation]:
         law, at, article, clause, item = None, -1, None, None, None
@@ -132,11 +133,12 @@ SCHEMA = "array<struct<key:string,law:string,article:int,clause:int,item:int,pos
 
 
 def citations_udf(laws: dict[str, str], own: str | None = None):
-    """Column of text -> array of its citations in order."""
+    """Column of text -> array of its citations in order; the laws are a list that the driver holds, read once a task."""
 
     @F.pandas_udf(SCHEMA)
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         extract = Extractor(laws, own)
-        return texts.map(lambda t: [{"key": c.key, "law": c.law, "article": c.article, "clause": c.clause, "item": c.item, "position": c.position, "raw": c.raw} for c in extract(t or "")])
+        for texts in batches:
+            yield texts.map(lambda t: [{"key": c.key, "law": c.law, "article": c.article, "clause": c.clause, "item": c.item, "position": c.position, "raw": c.raw} for c in extract(t or "")])
 
     return run

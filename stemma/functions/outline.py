@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$", re.M)
 
@@ -48,49 +49,64 @@ def nodes_udf():
     return run
 
 
+#: What is no running text: images and links that are there already.
+FORBIDDEN = re.compile(r"!\[[^\]]*\]\([^)]*\)|\[\[[^\]]*\]\]")
+
+
 class Linker:
-    """Longest known names that don't overlap, each target once a text, not in forbidden spans.
+    """Links of known names in a text, by an automaton over the names and one pass over the intervals it finds.
 
-    names: (surface, target); a surface of two targets is dropped.
+    names: (surface, target); a surface of two targets is dropped. An interval counts if it meets no forbidden span; of those
+    that begin at one place the longest counts. From the left, an interval is linked if it begins after the last link and its
+    target isn't linked yet, nor the text's own.
     """
 
     def __init__(self, names: Iterable[tuple[str, str]]):
+        import ahocorasick
+
         targets: dict[str, set[str]] = {}
         for surface, target in names:
-            targets.setdefault(surface, set()).add(target)
-        self.by_first: dict[str, list[tuple[str, str]]] = {}
-        for surface in sorted(targets, key=lambda s: (-len(s), s)):
-            if surface and len(targets[surface]) == 1:
-                self.by_first.setdefault(surface[0], []).append((surface, next(iter(targets[surface]))))
-
-    def links(self, text: str, own: str | None = None, forbidden: re.Pattern = re.compile(r"`[^`]*`|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)|<[^>]*>|^#.*$", re.M)) -> list[tuple[int, str, str]]:
-        closed = [(m.start(), m.end()) for m in forbidden.finditer(text)]
-        seen, out, at, k = {own}, [], 0, 0
-        while at < len(text):
-            while k < len(closed) and closed[k][1] <= at:
-                k += 1
-            if k < len(closed) and closed[k][0] <= at:
-                at = closed[k][1]
-                continue
-            limit = closed[k][0] if k < len(closed) else len(text)
-            for surface, target in self.by_first.get(text[at], ()):
-                if text.startswith(surface, at) and at + len(surface) <= limit:
-                    if target not in seen:
-                        seen.add(target)
-                        out.append((at, surface, target))
-                    at += len(surface)
-                    break
-            else:
-                at += 1
+            if surface := (surface or "").strip():
+                targets.setdefault(surface, set()).add(target)
+        self.automaton = ahocorasick.Automaton()
+        for surface, own in targets.items():
+            if len(own) == 1:
+                self.automaton.add_word(surface, (len(surface), next(iter(own))))
+        self.automaton.make_automaton()
+
+    def intervals(self, text: str, forbidden: re.Pattern = FORBIDDEN) -> list[tuple[int, int, str]]:
+        """start, end, target of the longest name at each place, outside forbidden spans."""
+        if not len(self.automaton):
+            return []
+        closed = [m.span() for m in forbidden.finditer(text)]
+        starts = [a for a, _ in closed]
+        longest: dict[int, tuple[int, str]] = {}
+        for last, (size, target) in self.automaton.iter(text):
+            start, end = last - size + 1, last + 1
+            k = bisect.bisect_left(starts, end) - 1  # the last span that begins before the end
+            if (k < 0 or closed[k][1] <= start) and longest.get(start, (0, ""))[0] < end:
+                longest[start] = end, target
+        return [(a, *longest[a]) for a in sorted(longest)]
+
+    def links(self, text: str, own: str | None = None, forbidden: re.Pattern = FORBIDDEN) -> list[tuple[int, str, str]]:
+        """start, surface, target, from the left."""
+        free, linked, out = 0, {own}, []
+        for start, end, target in self.intervals(text, forbidden):
+            if start >= free and target not in linked:
+                linked.add(target)
+                out.append((start, text[start:end], target))
+                free = end
         return out
 
 
-def links_udf(names: list[tuple[str, str]]):
-    """(text, own target) -> links; names are a lexicon of bounded size, sent with the function."""
+def links_udf(spark: SparkSession, names: list[tuple[str, str]]):
+    """(text, own target) -> links; the names are a lexicon that the driver holds, broadcast once and built once a task."""
+    shared = spark.sparkContext.broadcast(names)
 
     @F.pandas_udf("array<struct<at:int,surface:string,target:string>>")
-    def run(texts: pd.Series, own: pd.Series) -> pd.Series:
-        linker = Linker(names)
-        return pd.Series([[{"at": a, "surface": s, "target": t} for a, s, t in linker.links(x or "", o)] for x, o in zip(texts, own)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        linker = Linker(shared.value)
+        for texts, own in batches:
+            yield pd.Series([[{"at": a, "surface": s, "target": t} for a, s, t in linker.links(x or "", o)] for x, o in zip(texts, own)])
 
     return run

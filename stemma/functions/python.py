@@ -78,35 +78,34 @@ def table_to_pipes(html: str) -> str | None:
     return "\n".join([lines[0], f"|{' --- |' * width}", *lines[1:]])
 
 
+_PIECE = re.compile(r'\\.|"|[^"\\]+', re.S)
+_CLOSING = re.compile(r'"\s*(?:[,:}\]]|$)')
+
+
 def repair_json(text: str) -> str | None:
-    """JSON whose strings hold bare quotes: a quote ends a string only if what follows can follow a string."""
-    try:
-        json.loads(text)
-        return text
-    except ValueError:
-        pass
-    out, inside, i = [], False, 0
-    while i < len(text):
-        c = text[i]
-        if inside and c == "\\":
-            out.append(text[i : i + 2])
-            i += 2
+    """JSON whose strings hold bare quotes or line breaks: a quote ends a string only where the text can go on after one."""
+    for attempt in (lambda: text, lambda: _repaired(text)):
+        try:
+            json.loads(out := attempt())
+            return out
+        except ValueError:
             continue
-        if c == '"':
-            after = text[i + 1 :].lstrip()[:1]
-            if inside and after not in (",", "}", "]", ":", ""):
-                out.append('\\"')
-                i += 1
-                continue
-            inside = not inside
-        out.append(c)
-        i += 1
-    fixed = "".join(out)
-    try:
-        json.loads(fixed)
-        return fixed
-    except ValueError:
-        return None
+    return None
+
+
+def _repaired(text: str) -> str:
+    inside = False
+
+    def piece(m: re.Match) -> str:
+        nonlocal inside
+        if m[0] != '"':
+            return re.sub(r"[\r\n]", r"\\n", m[0]) if inside else m[0]
+        if inside and not _CLOSING.match(text, m.start()):
+            return r'\"'
+        inside = not inside
+        return m[0]
+
+    return _PIECE.sub(piece, text)
 
 
 def _udf(f: Callable[[str], str | None]):

@@ -46,9 +46,9 @@ def budget_cap(safe: float = 12_000) -> float:
 
 
 def batch(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Each asked key in the asked order (nth), with the row or found = false. keys: nth, key; a bounded list."""
+    """Each asked key in the asked order (nth), with the row or found = false. keys: nth, key."""
     have = rows.withColumn("found", F.lit(True))
-    return F.broadcast(keys).join(have, keys[key] == have[key], "left").drop(have[key]).withColumn("found", F.coalesce("found", F.lit(False)))
+    return keys.join(have, keys[key] == have[key], "left").drop(have[key]).withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def text_page(text: Column, offset: int, limit: int) -> tuple[Column, Column]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from stemma.sources.shared import cut
+
 
 def dedupe(edges: DataFrame, seq: str = "seq") -> DataFrame:
     """One edge for each pair and type, the first by seq; loops dropped. edges: src, dst, type, weight, seq."""
@@ -62,16 +64,21 @@ def neighbourhood(edges: DataFrame, centre: Column, hops: int) -> DataFrame:
     return seen
 
 
-def chains(merges: DataFrame, rounds: int = 20) -> DataFrame:
+def chains(merges: DataFrame) -> DataFrame:
     """src, dst of a merge map followed to its end; entries that lead into a cycle are left out.
 
-    merges: src (unique), dst. Pointer doubling: after k rounds chains of length 2^k are resolved.
+    merges: src (unique), dst. Pointer doubling: a round halves what is left of every chain, and while there is a chain that
+    hasn't ended, some entry ends in the next round; so the rounds stop once no entry does. Each round is written.
     """
-    now = merges.select("src", "dst")
-    for _ in range(max(1, rounds.bit_length())):
+    ends = merges.select(F.col("src").alias("dst"))
+    now, open_ = merges.select("src", "dst"), -1
+    while True:
         far = now.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        now = now.join(far, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst"))
-    return now.join(merges.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst")
+        now = cut(now.join(far, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst")))
+        left = now.join(ends, "dst", "left_semi").count()
+        if left in (0, open_):
+            return now.join(ends, "dst", "left_anti").select("src", "dst")
+        open_ = left
 
 
 def mixed_quota(direct: DataFrame, indirect: DataFrame, most: int = 8, least: int = 2) -> DataFrame:

@@ -70,18 +70,19 @@ def contained_names(texts: DataFrame, names: DataFrame, most: int, anchor: int =
     """id, name, confidence of the ``most`` surest names (of two characters or more) contained in each text.
 
     texts: id, text; names: name, weight. Instead of testing all pairs, every ``anchor`` characters of a text look up the
-    names that begin with them, and the rest of the name is compared in place; shorter names are looked up whole.
+    names that begin with them, and the rest of the name is compared in place; shorter names are looked up whole. A name
+    longer than ``near`` is first compared as far as that, and then with the whole texts of the few that are left.
     """
+    near = 64
     low = texts.select("id", F.lower("text").alias("text"))
-    own = names.where("length(name) >= 2")
-    found = None
-    for n in range(2, anchor + 1):
-        group = own.where(F.length("name") >= n if n == anchor else F.length("name") == n).withColumn("key", F.substring("name", 1, n))
-        at = low.where(F.length("text") >= n).select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - n + 1)).alias("at"))
-        keyed = at.select("id", F.length("text").alias("size"), F.substring("text", F.col("at"), F.lit(n)).alias("key"), F.substring("text", F.col("at"), F.lit(64)).alias("rest"))
-        hit = keyed.join(group, "key").where(F.col("rest").startswith(F.col("name"))).select("id", "size", "name", "weight")
-        found = hit if found is None else found.unionByName(hit)
-    found = found.distinct().select("id", "name", (F.least(F.lit(1.0), F.length("name") / F.col("size")) * F.col("weight")).alias("confidence"))
+    own = names.where("length(name) >= 2").withColumn("key", F.substring("name", 1, anchor))
+    at = low.where("length(text) >= 2").select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("at"))
+    rest = at.select("id", F.length("text").alias("size"), F.substring("text", F.col("at"), F.lit(near)).alias("rest"))
+    keys = F.array_distinct(F.array(*[F.substring("rest", 1, n) for n in range(2, anchor + 1)]))
+    hit = rest.select("*", F.explode(keys).alias("key")).join(own, "key").where(F.col("rest").startswith(F.left("name", F.lit(near)))).select("id", "size", "name", "weight").distinct()
+    long = hit.where(F.length("name") > near).join(low, "id").where(F.contains("text", F.col("name"))).select("id", "size", "name", "weight")
+    found = hit.where(F.length("name") <= near).unionByName(long.distinct())
+    found = found.select("id", "name", (F.least(F.lit(1.0), F.length("name") / F.col("size")) * F.col("weight")).alias("confidence"))
     order = W.partitionBy("id").orderBy(F.col("confidence").desc(), "name")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("id", "name", F.round("confidence", 6).alias("confidence"))
 

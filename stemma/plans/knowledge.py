@@ -12,7 +12,7 @@ from stemma.streaming import changes
 
 SQL: dict[str, str] = {}
 
-LAWS = {"专利法": "专利法", "中华人民共和国专利法": "专利法", "商标法": "商标法", "专利法实施细则": "专利法实施细则"}
+LAWS = {"专利法": "专利法", "中华人民共和国专利法": "专利法", "商标法": "商标法", "专利法实施细则": "专利法实施细则", "实施细则": "专利法实施细则"}
 #: Texts and the keys of their citations.
 CITED = [
     ("违反商标法第十条、第十一条的规定", "商标法第10条,商标法第11条"),
@@ -25,6 +25,8 @@ CITED = [
     ("构成犯罪的，依照刑法第二百一十三条", ""),
     ("依照细则第五条", ""),
     ("不符合专利合作条约实施细则第46条的规定", ""),
+    ("依照实施细则第46条的规定", "专利法实施细则第46条"),
+    ("商标法2026第8条", "商标法第8条"),
 ]
 
 
@@ -53,7 +55,7 @@ SELECT conv_id, 'c' || conv_id || CASE WHEN top OR tops = 0 THEN '-' || lpad(CAS
 
 def lexicon_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types and users as terms of the days they occur on: claims, frequencies, tiers."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id < 40")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     day = F.date_format("ts", "yyyy-MM-dd")
     records = e.select(F.col("event_id").alias("seq"), day.alias("chunk"), F.col("event_type").alias("domain"), F.concat(F.lit("User "), F.col("user_id")).alias("name"), F.array(F.concat(F.lit("user-"), F.col("user_id") % 7)).alias("aliases"),
                        F.when(F.col("value") > 90, "defined").otherwise("used").alias("role"), F.when(F.col("value") > 50, "high").otherwise("mid").alias("confidence"), F.col("event_type").alias("evidence"))
@@ -63,7 +65,7 @@ def lexicon_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.select("term", "df", "domains", "defined_high", "tier")
 
 
-SQL["lexicon_tiers"] = """WITH e AS (SELECT 'User ' || user_id AS term, strftime(ts, '%Y-%m-%d') AS chunk, event_type AS domain, value > 90 AS d FROM events WHERE user_id < 40)
+SQL["lexicon_tiers"] = """WITH e AS (SELECT 'User ' || user_id AS term, strftime(ts, '%Y-%m-%d') AS chunk, event_type AS domain, value > 90 AS d FROM events)
 SELECT term, count(DISTINCT chunk) AS df, count(DISTINCT domain) AS domains, bool_or(d) AS defined_high,
   CASE WHEN term = 'User 3' THEN 'seed' WHEN bool_or(d) AND count(DISTINCT chunk) >= 2 THEN 'high' WHEN count(DISTINCT chunk) >= 2 OR count(DISTINCT domain) >= 2 OR bool_or(d) THEN 'mid' END AS tier FROM e GROUP BY term"""
 
@@ -79,13 +81,17 @@ SELECT name, 'term-' || lpad((7 + row_number() OVER (ORDER BY name))::VARCHAR, 4
 
 
 def dictionary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest known words of a fixed lexicon, each once a page of documents' heads."""
-    names = [("the", "t1"), ("thing", "t2"), ("this", "t3"), ("eau", "t4"), ("ung", "t5"), ("ung", "t6")]
+    """Longest names of a fixed lexicon, each target once a document: t2 where its name stands alone, or in a longer one that is linked already."""
+    names = [("ation", "t1"), ("tion", "t2"), ("qu", "t3"), ("ung", "t5"), ("ung", "t6"), (" ", "t7")]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
-    found = docs.select("doc_id", outline.links_udf(names)("text", F.lit("t3")).alias("l"))
+    found = docs.select("doc_id", outline.links_udf(spark, names)("text", F.lit("t3")).alias("l"))
     return found.select("doc_id", F.array_join(F.array_sort(F.transform("l", lambda x: x.target)), ",").alias("targets"))
 
 
+SQL["dictionary_links"] = """WITH n AS (SELECT doc_id, (length(text) - length(replace(lower(text), 'ation', ''))) / 5 AS a, (length(text) - length(replace(lower(text), 'tion', ''))) / 4 AS t FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN a > 0 THEN 't1' END, CASE WHEN t > a OR a > 1 THEN 't2' END) AS targets FROM n"""
+
+
 def topic_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     return rows.select("p_partkey", lexicon.topic(F.col("p_name"), {"round": ["ring", "wheel"], "small part": ["small ring", "widget"], "colour": ["red"]}).alias("topic"))
@@ -118,6 +124,9 @@ def anchor_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", found.cast("int").alias("found")).withColumn("kept", F.col("found") == F.col("start") + 5)
 
 
+SQL["anchor_after_edit"] = "SELECT doc_id, strpos(substr(text, 41), 'the')::INT + 39 AS start, strpos(substr(text, 41), 'the')::INT + 44 AS found, true AS kept FROM documents WHERE strpos(substr(text, 41), 'the') > 0"
+
+
 def stream_tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of the event stream, in one availableNow run; an extension."""
     from stemma.sources.shared import shared_dir

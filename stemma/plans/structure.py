@@ -19,12 +19,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.facets(_read(spark, sf_dir, "part").where("p_size > 10"), ["p_brand", "p_type", "p_size"])
+    return catalog.facets(_read(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
 
 
 SQL["facet_counts"] = """SELECT CASE WHEN grouping(p_brand) = 0 THEN 'p_brand' WHEN grouping(p_type) = 0 THEN 'p_type' ELSE 'p_size' END AS facet,
   coalesce(CASE WHEN grouping(p_brand) = 0 THEN p_brand WHEN grouping(p_type) = 0 THEN p_type ELSE p_size::VARCHAR END, '(none)') AS value, count(*) AS n
-FROM part WHERE p_size > 10 GROUP BY GROUPING SETS ((p_brand), (p_type), (p_size))"""
+FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_size))"""
 
 
 def catalog_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ SQL["edges_lawref"] = "SELECT 'o' || l_orderkey AS src, 'lawref' AS type, count(
 
 def edge_dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier and part of a line in either direction by parity; the first line of an order keeps the pair."""
-    l = _read(spark, sf_dir, "lineitem").where("l_partkey < 300")
+    l = _read(spark, sf_dir, "lineitem")
     a, b = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
     turned = F.col("l_orderkey") % 2 == 0
     rows = l.select(F.when(turned, a).otherwise(b).alias("src"), F.when(turned, b).otherwise(a).alias("dst"), F.col("l_returnflag").alias("type"), F.col("l_quantity").alias("weight"), F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").alias("seq"))
@@ -104,7 +104,7 @@ def edge_dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["edge_dedupe_first_wins"] = """SELECT CASE WHEN l_orderkey % 2 = 0 THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS src, CASE WHEN l_orderkey % 2 = 0 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS dst, l_returnflag AS type, l_quantity AS weight
-FROM lineitem WHERE l_partkey < 300 QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) = 1"""
+FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) = 1"""
 
 
 def edges_colaw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,22 +196,22 @@ SQL["degree_and_hub"] = f"WITH {_TREE}, e AS (SELECT parent AS id FROM h UNION A
 
 
 def khop_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = hierarchy(spark, sf_dir).where(~F.col("id").startswith("o")).select(F.col("parent").alias("src"), F.col("id").alias("dst"))
+    edges = hierarchy(spark, sf_dir).select(F.col("parent").alias("src"), F.col("id").alias("dst"))
     return graph.neighbourhood(edges, F.lit("n3"), 3)
 
 
-SQL["khop_neighbourhood"] = f"""WITH RECURSIVE {_TREE}, e AS (SELECT parent AS s, id AS d FROM h WHERE NOT starts_with(id, 'o')), b AS (SELECT s, d FROM e UNION SELECT d, s FROM e),
+SQL["khop_neighbourhood"] = f"""WITH RECURSIVE {_TREE}, e AS (SELECT parent AS s, id AS d FROM h), b AS (SELECT s, d FROM e UNION SELECT d, s FROM e),
 k(id, depth) AS (SELECT 'n3', 0 UNION SELECT d, depth + 1 FROM k JOIN b ON s = id WHERE depth < 3) SELECT id, min(depth)::INT AS depth FROM k GROUP BY id"""
 
 
 def merge_chain_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts merge into half their number; 3 and 7 into each other."""
-    p = _read(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("CASE p_partkey WHEN 3 THEN 7 WHEN 7 THEN 3 ELSE p_partkey DIV 2 END").alias("dst"))
+    """Each part merges into the part of the next number, hundred by hundred; 3 and 7 into each other."""
+    p = _read(spark, sf_dir, "part").where("p_partkey % 100 <> 99").select(F.col("p_partkey").alias("src"), F.expr("CASE p_partkey WHEN 3 THEN 7 WHEN 7 THEN 3 ELSE p_partkey + 1 END").alias("dst"))
     return graph.chains(p)
 
 
-SQL["merge_chain_resolution"] = """WITH RECURSIVE m AS (SELECT p_partkey AS src, CASE p_partkey WHEN 3 THEN 7 WHEN 7 THEN 3 ELSE p_partkey // 2 END AS dst FROM part WHERE p_partkey > 0),
-c(src, dst, n) AS (SELECT src, dst, 1 FROM m UNION ALL SELECT c.src, m.dst, n + 1 FROM c JOIN m ON m.src = c.dst WHERE n < 40)
+SQL["merge_chain_resolution"] = """WITH RECURSIVE m AS (SELECT p_partkey AS src, CASE p_partkey WHEN 3 THEN 7 WHEN 7 THEN 3 ELSE p_partkey + 1 END AS dst FROM part WHERE p_partkey % 100 <> 99),
+c(src, dst, n) AS (SELECT src, dst, 1 FROM m UNION ALL SELECT c.src, m.dst, n + 1 FROM c JOIN m ON m.src = c.dst WHERE n < 120)
 SELECT src, dst::BIGINT AS dst FROM c WHERE dst NOT IN (SELECT src FROM m)"""
 
 
@@ -326,6 +326,10 @@ def html_entities_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", python.decode_entities_udf()(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
 
 
+# the ampersand last, so that what it makes isn't decoded again
+SQL["html_entities_titles"] = "SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS title FROM pages"
+
+
 # Vectors
 
 
@@ -440,9 +444,9 @@ SQL["unique_aliases"] = "SELECT any_value(c_custkey) AS c_custkey, c_mktsegment
 
 def field_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers none of whose parts' types is wanted are hidden."""
-    rows = _read(spark, sf_dir, "lineitem").where("l_quantity > 45").join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     sets = rows.groupBy("l_suppkey").agg(F.array_sort(F.collect_set("p_brand")).alias("fields"))
     return sets.select("l_suppkey", F.size("fields").cast("long").alias("n"), F.coalesce(F.arrays_overlap("fields", F.array(F.lit("Brand#1"), F.lit("Brand#2"))), F.lit(False)).alias("visible"))
 
 
-SQL["field_overlap_filter"] = "SELECT l_suppkey, count(DISTINCT p_brand) AS n, list_has_any(list(DISTINCT p_brand), ['Brand#1', 'Brand#2']) AS visible FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY l_suppkey"
+SQL["field_overlap_filter"] = "SELECT l_suppkey, count(DISTINCT p_brand) AS n, list_has_any(list(DISTINCT p_brand), ['Brand#1', 'Brand#2']) AS visible FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey"

@@ -55,6 +55,9 @@ def test_citation_texts_and_self_references():
     assert [c.raw for c in found] == ["第十条", "、第十一条"] and found[0].position == 5
     assert [c.key for c in cite.Extractor(LAWS, "专利法")("依照本法第三条第一款")] == ["专利法第3条第1款"]
     assert not list(cite.Extractor(LAWS)("依照本法第三条"))
+    for word in ("本法", "本条例", "本办法", "本细则", "本规定", "本规则", "本解释", "本标准", "本规程", "本纲要", "本指引"):
+        assert [c.key for c in cite.Extractor(LAWS, "商标法")(f"依照{word}第五条")] == ["商标法第5条"]
+    assert [c.key for c in cite.Extractor({"公约实施细则": "x", "实施细则": "y"})("公约实施细则第1条")] == ["x第1条"]
 
 
 @pytest.mark.parametrize("text, value", [("&amp;lt;", "&lt;"), ("&#xD800;", "&#xD800;"), ("A&B &unknownentity;", "A&B &unknownentity;"), ("&#20013;&#x4e2d;&quot;", '中中"'), ("&#0;", "&#0;")])
@@ -69,6 +72,7 @@ def test_formulas_tables_and_json():
     assert python.table_to_pipes("<table><tr><th>a<th>b</tr><tr><td>1|2</td></tr></table>") == "| a | b |\n| --- | --- |\n| 1\\|2 |  |"
     assert python.table_to_pipes('<table><tr><td colspan="2">x</td></tr></table>') is None
     assert python.repair_json('{"a": "he said "yes" twice", "b": [1]}') == '{"a": "he said \\"yes\\" twice", "b": [1]}' and python.repair_json("{") is None
+    assert python.repair_json('{"a": "one\ntwo "x"\r\n", "b": "c\\"d"}') == '{"a": "one\\ntwo \\"x\\"\\n\\n", "b": "c\\"d"}'
     assert python.nfkc_key("Ａ Ｂ①") == "ab1"
 
 
@@ -80,9 +84,30 @@ def test_outline():
 
 
 def test_linker():
-    linker = outline.Linker([("ab", "1"), ("abc", "2"), ("b", "3"), ("x", "4"), ("x", "5")])
+    linker = outline.Linker([("ab", "1"), ("abc", "2"), ("b", "3"), ("x", "4"), ("x", "5"), (" ", "6")])
     assert linker.links("abcab b x [b](u) ab") == [(0, "abc", "2"), (3, "ab", "1"), (6, "b", "3")]
-    assert linker.links("# ab\nab `ab`", own="1") == [] and linker.links("", None) == []
+    assert linker.links("ab ab abc", own="1") == [(1, "b", "3"), (6, "abc", "2")] and linker.links("", None) == []
+    assert linker.links("[[ab]] ![b](ab) a[[b]]") == [] and linker.links("ab[[c]] abc") == [(0, "ab", "1"), (8, "abc", "2")]
+    assert linker.links("abc abc") == [(0, "abc", "2"), (5, "b", "3")]  # a place whose name is linked is given up, the next isn't
+    assert outline.Linker([]).links("ab") == []
+
+
+def test_linker_equals_a_search_of_all_places():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        names = list({"".join(r.choice("abc") for _ in range(r.randint(1, 4))): None for _ in range(5)})
+        text = "".join(r.choice("abc[]!()") for _ in range(40))
+        closed = {i for m in outline.FORBIDDEN.finditer(text) for i in range(*m.span())}
+        free, seen, want = 0, {names[0]}, []
+        for i in range(len(text)):
+            here = [n for n in names if text.startswith(n, i) and not closed & set(range(i, i + len(n)))]
+            if here and i >= free and (n := max(here, key=len)) not in seen:
+                want.append((i, n, n))
+                seen.add(n)
+                free = i + len(n)
+        assert outline.Linker([(n, n) for n in names]).links(text, names[0]) == want
 
 
 def test_udfs_keep_nulls(spark):

@@ -136,3 +136,48 @@ def fnv1a(text: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Dot product of normalised vectors."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cn_numeral(number: Column) -> Column:
+    """1..99 as a Chinese numeral; null outside."""
+    digit = lambda n: F.substring(F.lit(DIGITS), n + 1, F.lit(1))
+    tens, ones = F.floor(number / 10).cast("int"), (number % 10).cast("int")
+    return F.when(number.between(1, 99), F.concat(F.when(tens > 1, digit(tens)).otherwise(""), F.when(tens > 0, "十").otherwise(""), F.when(ones > 0, digit(ones)).otherwise("")))
+
+
+def arabic_label(label: Column) -> Column:
+    """The first Chinese numeral after 第 in a label as digits; labels without one stay."""
+    numeral = F.regexp_extract(label, "第([零一二三四五六七八九十百千]+)", 1)
+    value = cn_number(F.nullif(numeral, F.lit("")))
+    return F.when(value.isNotNull(), F.replace(label, F.concat(F.lit("第"), numeral), F.concat(F.lit("第"), value.cast("string")))).otherwise(label)
+
+
+def file_name(text: Column, default: str = "untitled", most: int = 40) -> Column:
+    """A name without characters that paths can't have, hyphens at its ends or more than ``most`` characters."""
+    bare = F.regexp_replace(F.trim(text), r'[\\/:*?"<>|#^\[\]\s]+', "-")
+    return F.coalesce(F.nullif(F.regexp_replace(F.substring(F.regexp_replace(bare, "^-+|-+$", ""), 1, most), "-+$", ""), F.lit("")), F.lit(default))
+
+
+def escaped(text: Column) -> Column:
+    """Markdown's own characters with a backslash before them."""
+    return F.regexp_replace(text, r"([\\`*_{}\[\]<>#|])", r"\\$1")
+
+
+def paragraphs(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, r"\r?\n[ \t]*\r?\n"), F.trim), lambda x: x != "")
+
+
+def node_size(level: Column, degree: Column, base: dict[str, float]) -> Column:
+    """A term's size grows with the root of its degree from 6 to 14, others' by 4 at most from their level's base."""
+    start = F.coalesce(*[F.when(level == k, F.lit(float(v))) for k, v in base.items()], F.lit(4.0))
+    return F.when(level == "term", F.least(F.lit(14.0), 6 + F.sqrt(degree))).otherwise(start + F.least(F.lit(4.0), F.sqrt(degree)))
+
+
+def congruential(seed: Column) -> Column:
+    """The next number of the linear congruential generator with 1664525 and 1013904223, 32 bits."""
+    return (seed.cast("long") * 1664525 + 1013904223) % (1 << 32)
+
+
+def shuffle_key(id_: Column, seed: int) -> Column:
+    """Rows ordered by this key are shuffled, the same for the same seed."""
+    return F.xxhash64(id_.cast("string"), F.lit(seed))

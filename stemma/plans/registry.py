@@ -8,9 +8,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.plans import knowledge, retrieval, structure
+from stemma.plans import knowledge, linking, retrieval, structure
 
-MODULES: list[ModuleType] = [retrieval, structure, knowledge]
+MODULES: list[ModuleType] = [retrieval, structure, knowledge, linking]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

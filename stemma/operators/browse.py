@@ -143,7 +143,7 @@ def allowed(aliases: DataFrame, wanted: list[str]) -> DataFrame:
     unknown = [r[0] for r in asked.join(aliases, "alias", "left_anti").limit(10).collect()]
     if unknown:
         raise ValueError(f"no page has the alias {', '.join(sorted(unknown))}")
-    return aliases.join(F.broadcast(asked), "alias", "left_semi")
+    return aliases.join(F.broadcast(asked), "alias", "left_semi").select(aliases.columns)
 
 
 def zero_hits(terms: DataFrame, texts: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def degree(edges: DataFrame) -> DataFrame:
 def closed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both ends of which are nodes."""
     ids = nodes.select("id")
-    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(edges.columns)
 
 
 def pairs_within(members: DataFrame, group: str, item: str, least: int = 2, most: int = 6) -> DataFrame:

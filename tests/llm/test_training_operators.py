@@ -86,7 +86,7 @@ def brute_hits(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
+@pytest.mark.parametrize("block", [(1 << 20, 1 << 20), (0, 1 << 20), (0, 1 << 18)])
 def test_decontamination(spark, block):
     r = random.Random(2)
     items = [(i, prose(r, n, 30)) for i, n in enumerate([30, 12, 10, 9, 3, 1, 0, 40])] + [(100, None), (None, prose(r, 11, 30)), (3, prose(r, 20, 30))]
@@ -98,16 +98,16 @@ def test_decontamination(spark, block):
             a = r.randint(0, max(0, len(w) - 10))
             parts += [" ".join(w[a : a + r.randint(8, 15)]), prose(r, 5, 30)]
         texts.append(" ".join(parts).upper() if r.random() < 0.3 else " ".join(parts))
-    texts += [texts[20], texts[20]]
+    texts += [texts[20], texts[20], prose(r, 200_000, 30) + " " + items[7][1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = docs_of(spark, texts)
-    rows = sorted(decontaminate.decontaminate(docs, bench, block).collect(), key=lambda x: x.doc_id)
+    rows = sorted(decontaminate.decontaminate(docs, bench, *block).collect(), key=lambda x: x.doc_id)
     assert [(x.n_words, x.n_hit, ",".join(x["items"])) for x in rows] == brute_hits(texts, items)
     assert all(sum(b - a for a, b in zip(x.spans[::2], x.spans[1::2])) == x.n_hit for x in rows)
-    clean = decontaminate.clean(docs, bench, block)
+    clean = decontaminate.clean(docs, bench, *block)
     assert clean.schema == docs.schema and {x.doc_id for x in clean.collect()} == {x.doc_id for x in rows if not x.n_hit}
-    assert {x.n_hit for x in decontaminate.decontaminate(docs, bench.limit(0), block).collect()} == {0}
-    assert decontaminate.decontaminate(docs.limit(0), bench, block).count() == 0
+    assert {x.n_hit for x in decontaminate.decontaminate(docs, bench.limit(0), *block).collect()} == {0}
+    assert decontaminate.decontaminate(docs.limit(0), bench, *block).count() == 0
 
 
 # 2

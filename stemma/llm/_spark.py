@@ -7,15 +7,9 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.sources.shared import shared_dir
+from stemma.sources.shared import cut, shared_dir
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Run the plan once, keep its rows in the shared folder and forget the lineage."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+__all__ = ["batch_of", "clear", "cut", "cut_columnar"]
 
 
 def _tables(spark: SparkSession) -> str:

@@ -346,7 +346,8 @@ def train(symbols: DataFrame, model: Hmm, tolerance: float = TOLERANCE) -> tuple
     k, seen = len(model.start), []
     while len(seen) < 2 or seen[-1] - seen[-2] >= tolerance * abs(seen[-1]):
         shared = symbols.sparkSession.sparkContext.broadcast(model)
-        rows = symbols.mapInArrow(_expect(shared), "sums binary").repartition(32).mapInArrow(_add, "sums binary").collect()  # at most 32
+        sums = symbols.mapInArrow(_expect(shared), "sums binary").repartition(32).mapInArrow(_add, "sums binary")
+        rows = sums.repartition(1).mapInArrow(_add, "sums binary").collect()  # one row
         total = sum((np.frombuffer(r["sums"]) for r in rows), np.zeros(k + k * k + model.emit.size + 1))
         seen.append(float(total[-1]))
         model = maximise(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : -1].reshape(-1, k))

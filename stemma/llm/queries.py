@@ -152,10 +152,61 @@ FROM d LEFT JOIN hit USING (uid) LEFT JOIN its USING (uid)
 """
 
 
+# The columns that SQL can express of operators whose others it can't.
+
+
+def licence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_licenses(spark, sf_dir).select("doc_id", "n_base", "first_word", "last_word", "base_labels")
+
+
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality(spark, sf_dir).select("doc_id", *_quality.BASE, "base_failed")
+
+
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_hmm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+LICENCE_PLACES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p(label, words) AS (VALUES ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])),
+h AS (SELECT uid, label, i - 1 AS place FROM d, p, unnest(range(1, len(w) - len(words) + 2)) AS t(i) WHERE list_slice(w, i, i + len(words) - 1) = words),
+g AS (SELECT uid, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY uid)
+SELECT doc_id, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (uid)
+"""
+
+TEXT_STATISTICS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+g AS (SELECT uid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
+c AS (SELECT *, count(*) OVER (PARTITION BY uid, g) AS k FROM g),
+r AS (SELECT uid, count(DISTINCT i + j) AS n FROM c, (VALUES (0), (1), (2)) AS o(j) WHERE k > 1 GROUP BY uid),
+l AS (SELECT uid, count(*) - count(DISTINCT x) AS n FROM (SELECT uid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ 	-
+]') GROUP BY uid),
+s AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN l USING (uid) LEFT JOIN r USING (uid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""
+
+UNIGRAM_SCORES_SQL = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL),
+-- crc32 bit by bit
+c(doc_id, s, i, bit, v) AS (SELECT doc_id, s, 1, 0, xor(4294967295::BIGINT, ascii(s[1])::BIGINT) FROM ids
+  UNION ALL SELECT doc_id, s, i + bit // 7, (bit + 1) % 8, xor(CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, CASE WHEN bit = 7 AND i < length(s) THEN ascii(s[i + 1])::BIGINT ELSE 0 END) FROM c WHERE i <= length(s)),
+f AS (SELECT doc_id, xor(v, 4294967295::BIGINT) % 5 = 1 AS held_out FROM c WHERE i = length(s) + 1),
+d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(held_out, false) AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), ' ') AS w FROM documents LEFT JOIN f USING (doc_id)),
+t AS (SELECT uid, unnest(w) AS x FROM d), n AS (SELECT x, count(*) AS c FROM t JOIN d USING (uid) WHERE NOT held_out GROUP BY x), a AS (SELECT sum(c) AS n, count(*) AS v FROM n),
+p AS (SELECT uid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.5::DOUBLE) / (a.n + 0.5::DOUBLE * (a.v + 1)))) AS base FROM t LEFT JOIN n USING (x), a GROUP BY uid)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM a)::BIGINT AS train_tokens, round(base, 4) AS base_score FROM d JOIN p USING (uid)
+"""
+
+_BASES = ("licence_places", "text_statistics", "unigram_scores")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if (k.startswith("op") or k == "pipeline") and callable(v)}
+    return {k: v for k, v in globals().items() if (k.startswith("op") or k == "pipeline" or k in _BASES) and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {k.split("_")[0]: k for k in queries()}
+    own = {k.split("_")[0] if k.startswith("op") else k: k for k in queries()}
     return {own[k.removesuffix("_SQL").lower()]: v for k, v in globals().items() if k.endswith("_SQL") and k.removesuffix("_SQL").lower() in own}

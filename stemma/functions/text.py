@@ -49,7 +49,8 @@ def coverage(text: Column, grams: list[str]) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """Wide characters count one, others a quarter, rounded half up."""
-    wide = F.length(F.regexp_replace(text, f"[^{WIDE}]", ""))
+    # wide characters take three bytes or more, so texts without two bytes too many have none and aren't searched
+    wide = F.when(F.octet_length(text) - F.length(text) < 2, F.lit(0)).otherwise(F.regexp_count(text, F.lit(f"[{WIDE}]")))
     return F.floor(wide + (F.length(text) - wide) / 4 + 0.5).cast("long")
 
 

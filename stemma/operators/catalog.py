@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from stemma.operators import ranking
+
 UNLABELLED = "(none)"
 
 
@@ -32,9 +34,7 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
 
 def budget(rows: DataFrame, cost: str, order: list[Column], cap: float, within: list[str], base: float = 0, extra: int = 2) -> DataFrame:
     """The longest prefix of each group whose running cost fits; if nothing is charged yet, the first row always fits."""
-    w = W.partitionBy(*within).orderBy(*order)
-    spent = F.sum(F.col(cost) + extra).over(w.rowsBetween(W.unboundedPreceding, 0)) + base
-    out = rows.withColumns({"spent": spent, "nth": F.row_number().over(w)})
+    out = ranking.running(rows, within, order, {"spent": F.col(cost) + extra}).withColumn("spent", F.col("spent") + base)
     fits = F.col("spent") <= cap
     return out.where(fits | (F.col("nth") == 1) if base == 0 else fits)
 
@@ -66,5 +66,4 @@ def taxonomy(rows: DataFrame, levels: tuple[str, str, str], leaf: str) -> DataFr
 
 def sheets(rows: DataFrame, order: list[Column], size: int, within: list[str]) -> DataFrame:
     """sheet: rows of each group dealt in order into sheets of ``size``, counted from 1."""
-    nth = F.row_number().over(W.partitionBy(*within).orderBy(*order)) - 1
-    return rows.withColumn("sheet", (F.floor(nth / size) + 1).cast("int"))
+    return ranking.running(rows, within, order).withColumn("sheet", (F.floor((F.col("nth") - 1) / size) + 1).cast("int")).drop("nth")

@@ -101,13 +101,22 @@ def postings(corpus: DataFrame) -> DataFrame:
     return rows.groupBy("id", "field", "token").agg(F.count("*").alias("times"))
 
 
-def located(rows: DataFrame, needles: DataFrame) -> DataFrame:
+def frequencies(corpus: DataFrame) -> DataFrame:
+    """token, df (rows that hold it), cf (how often it occurs) of title and body; one shuffle, of counts that are added up before it."""
+    tokens = F.array_sort(F.concat(T.tokens(F.col("title")), T.tokens(F.col("body"))))
+    rows = corpus.select(tokens.alias("t")).where(F.size("t") > 0)
+    fresh = F.zip_with("t", F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.size("t") - 1)), lambda x, before: F.struct(x.alias("token"), F.when(x.eqNullSafe(before), 0).otherwise(1).alias("new")))
+    return rows.select(F.inline(fresh)).groupBy("token").agg(F.sum("new").alias("df"), F.count("*").alias("cf"))
+
+
+def located(rows: DataFrame, needles: DataFrame, most: int = 100_000) -> DataFrame:
     """For each needle the first row (seq) by tier: title prefix, title substring, slug substring.
 
-    rows: slug, title, seq; needles: needle. Needles are a stated set of bounded size.
+    rows: slug, title, seq; needles: needle, a stated set that is broadcast if it is measured to be below ``most`` rows.
     """
     n, low = F.lower("needle"), F.lower("title")
     tier = F.when(low.startswith(n), 1).when(F.contains(low, n), 2).when(F.contains(F.lower("slug"), n), 3)
-    hit = rows.join(F.broadcast(needles), F.contains(low, n) | F.contains(F.lower("slug"), n)).withColumn("tier", tier)
+    asked = F.broadcast(needles) if needles.limit(most + 1).count() <= most else needles
+    hit = rows.join(asked, F.contains(low, n) | F.contains(F.lower("slug"), n)).withColumn("tier", tier)
     best = hit.groupBy("needle").agg(F.min(F.struct("tier", "seq", "slug")).alias("b"))
     return best.select("needle", F.col("b.tier").alias("tier"), F.col("b.slug").alias("slug"))

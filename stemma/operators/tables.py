@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from stemma.operators import ranking
+
 
 def majority(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key, null on a tie."""
@@ -53,20 +59,20 @@ def best_window(rows: DataFrame, key: str, order: str, measure: Column, width: i
 
 def every(rows: DataFrame, stratum: str, order: str, step: int, whole: list[str]) -> DataFrame:
     """Every step-th row of each stratum by order, and all rows of the strata in whole."""
-    nth = F.row_number().over(W.partitionBy(stratum).orderBy(order)) - 1
-    return rows.withColumn("_nth", nth).where((F.col("_nth") % step == 0) | F.col(stratum).isin(whole)).drop("_nth")
+    return ranking.running(rows, [stratum], [F.col(order)]).where(((F.col("nth") - 1) % step == 0) | F.col(stratum).isin(whole)).drop("nth")
 
 
 def round_robin(rows: DataFrame, stratum: str, order: str, limit: int) -> DataFrame:
     """The first of each stratum, then the second of each, up to the limit."""
-    turn = rows.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(order)))
-    return turn.orderBy("turn", stratum).limit(limit)
+    first = rows.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(order))).where(F.col("turn") <= limit)  # a bounded heap a group
+    return first.orderBy("turn", stratum).limit(limit)
 
 
 def quantiles(rows: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
     """The element at min(n - 1, floor(n * p)) of each key's sorted values; nothing is interpolated."""
-    w = W.partitionBy(key)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).withColumnRenamed(key, "_k")
+    ranked = ranking.running(rows.select(key, value), [key], [F.col(value)]).withColumn("_i", F.col("nth") - 1)
+    ranked = ranked.join(sizes, F.col(key).eqNullSafe(F.col("_k")))
     at = lambda p: F.least(F.col("_n") - 1, F.floor(F.col("_n") * p))
     return ranked.groupBy(key).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("_i") == at(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
 
@@ -90,16 +96,47 @@ def unique_values(rows: DataFrame, key: str, values: str) -> DataFrame:
     return once.select(key, "value")
 
 
-def similar_pairs(vectors: DataFrame, id_: str, vector: str, least: float, block: int = 2048) -> DataFrame:
-    """All pairs a < b whose cosine is at least ``least``, exactly, as matrix products of blocks.
+def hashed_pairs(vectors: DataFrame, id_: str, vector: str, least: float, size: int, tables: int = 48, planes: int = 6, seed: int = 7, bucket: int = 2000) -> DataFrame:
+    """Pairs a < b whose cosine is at least ``least``, among those that share a bucket of random hyperplanes; cosines are exact.
 
-    The work is quadratic, as the exact join is; a block is sent to each block that it meets, never row to row.
+    size: the vectors' length. Buckets of more than ``bucket`` vectors are split by further planes, so no bucket is quadratic
+    in the table. Two vectors at an angle t share a bucket of a table with probability (1 - t / pi) ** planes.
     """
-    import math
+    count = vectors.count()
+    planes = max(planes, int(np.ceil(np.log2(max(2, count / bucket * 2)))))  # expected sizes stay below the bucket's
+    normal = np.random.default_rng(seed).normal(size=(size, tables * planes)).astype(np.float32)
+    own = vectors.select(F.col(id_).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    weights = 1 << np.arange(planes, dtype=np.int64)
+
+    @F.pandas_udf("array<long>")
+    def signed(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        side = (np.stack(v.to_numpy()) @ normal > 0).reshape(len(v), tables, planes)
+        return pd.Series(list(side @ weights))
+
+    spread = own.select("id", "v", F.posexplode(signed("v")).alias("t", "h"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        p = np.stack(rows["v"].to_numpy()).astype(float)
+        p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+        ids, out = rows["id"].to_numpy(), []
+        for lo in range(0, len(ids), 1024):
+            s = p[lo : lo + 1024] @ p.T
+            i, j = np.nonzero(s >= least)
+            a, b = ids[lo + i], ids[j]
+            out.append(pd.DataFrame({"a": a, "b": b, "cosine": s[i, j]})[a < b])
+        return pd.concat(out)
+
+    return spread.groupBy("t", "h").applyInPandas(meet, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
-    import numpy as np
-    import pandas as pd
 
+def similar_pairs(vectors: DataFrame, id_: str, vector: str, least: float, block: int = 2048) -> DataFrame:
+    """All pairs a < b whose cosine is at least ``least``, exactly, as matrix products of blocks.
+
+    The work is quadratic, as the exact join is; a block is sent to each block that it meets, never row to row. For tables
+    of which that is too much, hashed_pairs() compares candidates only.
+    """
     n = max(1, math.ceil(vectors.count() / block))
     own = vectors.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("k"))
     left = own.withColumn("o", F.explode(F.sequence(F.col("k"), F.lit(n - 1))))

@@ -73,5 +73,5 @@ def overlay(rows: DataFrame, order: DataFrame, parent: str, key: str, default: l
     order: parent, keys (array); unknown keys are ignored, of repeated ones the first counts.
     """
     listed = order.select(F.col("parent").alias("_p"), F.posexplode("keys").alias("_at", "_k")).groupBy("_p", "_k").agg(F.min("_at").alias("_at"))
-    joined = rows.join(F.broadcast(listed), (F.col(parent) == F.col("_p")) & (F.col(key) == F.col("_k")), "left")
+    joined = rows.join(listed, (F.col(parent) == F.col("_p")) & (F.col(key) == F.col("_k")), "left")
     return joined.withColumn("position", F.row_number().over(W.partitionBy(parent).orderBy(F.col("_at").asc_nulls_last(), *default))).drop("_p", "_k", "_at")

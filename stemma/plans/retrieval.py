@@ -13,12 +13,16 @@ SQL: dict[str, str] = {}
 NOT_QUERIES = ("corpus",)
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents, dealt to all cores if they have fewer splits than those: then they are at most cores * maxPartitionBytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select(*columns) if columns else docs
     cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # a file of one row group would be one task
-        docs = docs.repartition(cores)
-    return docs.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.col("lang").alias("domain"))
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, "doc_id", "text", "lang").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.col("lang").alias("domain"))
 
 
 _CORPUS = "corpus AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text AS body, lang AS domain FROM documents)"
@@ -113,7 +117,7 @@ SQL["term_suggestions"] = f"WITH {_NAMES} SELECT name, min(seq)::BIGINT AS seq F
 
 
 def tokens_and_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.postings(corpus(spark, sf_dir).withColumn("title", F.lit(""))).groupBy("token").agg(F.count("*").alias("df"), F.sum("times").alias("cf"))
+    return retrieve.frequencies(corpus(spark, sf_dir).withColumn("title", F.lit("")))
 
 
 SQL["tokens_and_df"] = f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN_RE}')) AS token FROM documents) GROUP BY token"
@@ -128,11 +132,13 @@ SQL["prefix_postings"] = f"""WITH {_CORPUS} SELECT id, count(DISTINCT token) AS
 
 
 def estimate_tokens_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", T.estimate_tokens(F.col("text")).alias("tokens"))
+    """Every fifth text has its word ends as full-width commas, which count as a token each."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit(" "), F.lit("，"))).otherwise(F.col("text"))
+    rows = _documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", T.estimate_tokens(text).alias("tokens"))
     return catalog.budget(rows, "tokens", [F.col("doc_id")], catalog.budget_cap(), ["source"]).select("doc_id", "source", "tokens", F.col("spent").cast("long").alias("spent"))
 
 
-SQL["estimate_tokens_budget"] = """WITH t AS (SELECT doc_id, source, CAST(floor(length(text) / 4.0 + 0.5) AS BIGINT) AS tokens FROM documents),
+SQL["estimate_tokens_budget"] = """WITH t AS (SELECT doc_id, source, CAST(floor(w + (length(text) - w) / 4.0 + 0.5) AS BIGINT) AS tokens FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN length(text) - length(replace(text, ' ', '')) ELSE 0 END AS w FROM documents)),
 s AS (SELECT *, CAST(sum(tokens + 2) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS spent, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM t)
 SELECT doc_id, source, tokens, spent FROM s WHERE spent <= 11000 OR nth = 1"""
 
@@ -144,7 +150,7 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
     scores = [sum((F.when(F.contains(low, F.lit(k)), len(k)).otherwise(0) for k in kws), F.lit(0)) for kws in TOPICS.values()]
     ranked = F.sort_array(F.array(*[F.struct(s.alias("s"), F.lit(t).alias("t")) for s, t in zip(scores, TOPICS)]), False)
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", ranked.alias("r"))
+    rows = _documents(spark, sf_dir).select("doc_id", ranked.alias("r"))
     return rows.select("doc_id", F.when((F.col("r")[0].s > 0) & (F.col("r")[0].s - F.col("r")[1].s >= 2), F.col("r")[0].t).alias("topic"))
 
 
@@ -153,7 +159,7 @@ SQL["classify_documents"] = f"WITH s AS ({_TOPIC_ROWS}), r AS (SELECT *, row_num
 
 
 def reject_reason_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     words = F.size(T.tokens(F.col("text")))
     rules = {"short": words < 50, "shouting": F.contains("text", F.lit("!!")), "foreign": ~F.col("lang").isin("en", "de"), "symbols": F.contains("text", F.lit("%%%"))}
     return tables.rejects(docs, rules).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
@@ -166,7 +172,7 @@ SQL["reject_reason_gates"] = f"""SELECT doc_id, concat_ws(',', CASE WHEN len(reg
 def doc_containment_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document without those that its first line contains or repeats, white space aside."""
     tight = lambda c: F.regexp_replace(c, r"\s", "")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tight(F.substring_index("text", "\n", 1)).alias("head"), F.split("text", "\n").alias("lines"))
+    rows = _documents(spark, sf_dir).select("doc_id", tight(F.substring_index("text", "\n", 1)).alias("head"), F.split("text", "\n").alias("lines"))
     kept = F.filter(F.slice("lines", 2, F.size("lines")), lambda x: (tight(x) != "") & ~F.contains(F.col("head"), tight(x)))
     return rows.select("doc_id", (F.size("lines") - 1).cast("long").alias("n_lines"), F.size(kept).cast("long").alias("n_kept"))
 

@@ -76,3 +76,34 @@ def test_small_browsing_functions(spark):
     one = spark.createDataFrame([("a/b/c", ["x", "y"])], "slug string, keys array<string>")
     got = one.select(browse.path_to_root(F.col("slug")), browse.in_reading_chain(F.col("slug")), browse.in_reading_chain(F.lit("tags/x")), F.array_join(browse.moved(F.col("keys"), "z", 9), ","), F.array_join(browse.breadcrumbs(F.col("keys"), F.lit("l"), True), ","), F.array_join(browse.near_misses(F.lit("电子 商务")), ",")).first()
     assert tuple(got) == ("../..", True, False, "x,y,z", "x,y,l", "电子商务,电子 的商务")
+
+
+@pytest.mark.parametrize("group", [10**6, 10])
+def test_running_sums_of_groups_of_any_size(spark, group):
+    import random
+
+    from stemma.operators import ranking
+
+    r = random.Random(5)
+    data = [(r.choice(["a", "a", "a", "b", None]), i, r.randint(1, 9)) for i in range(300)]
+    got = ranking.running(spark.createDataFrame(data, "k string, i int, cost int"), ["k"], [F.col("i").desc()], {"spent": F.col("cost")}, group)
+    want = []
+    for k in {k for k, *_ in data}:
+        spent = 0
+        for nth, (_, i, cost) in enumerate(sorted((x for x in data if x[0] == k), key=lambda x: -x[1]), 1):
+            want.append((k, i, cost, nth, spent := spent + cost))
+    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(map(str, want)) and got.columns == ["k", "i", "cost", "nth", "spent"]
+
+
+def test_hashed_pairs_find_most_links(spark):
+    import numpy as np
+
+    from stemma.operators import tables
+
+    r = np.random.default_rng(6)
+    base = r.normal(size=(60, 64))
+    v = np.concatenate([base, *(base + 0.55 * r.normal(size=base.shape) for _ in range(4))])
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<double>")
+    exact = {(x.a, x.b) for x in tables.similar_pairs(df, "id", "v", 0.7).collect()}
+    found = tables.hashed_pairs(df, "id", "v", 0.7, 64, bucket=20).collect()
+    assert {(x.a, x.b) for x in found} <= exact and len(found) >= 0.9 * len(exact) > 100

@@ -1,11 +1,13 @@
 """The pipeline's stages take effect, keep columns and clean documents, and work on odd tables."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from stemma.llm import queries
+from stemma.llm import packing, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,6 +47,17 @@ def test_stages(spark, sf_dir):
     assert not kept["decontamination"] & leaks and kept["near_duplicates"] & clean == kept["decontamination"] & clean
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == kept["decontamination"]
+    encode, texts = packing.encoder(queries.vocabulary()), {r.doc_id: r.text for r in docs.collect()}
+    by_doc, by_bin = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_bin.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, own in by_doc.items():
+        ids = np.array([*encode(texts[i]), packing.END], "<u4")
+        own.sort(key=lambda r: r.piece)
+        assert [r.start for r in own] == packing.cuts(len(ids), 1024)[:-1] and all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+    for own in by_bin.values():
+        assert sum(n for _, n in own) <= 1024 and all(o == sum(n for _, n in sorted(own)[:k]) for k, (o, _) in enumerate(sorted(own)))
 
 
 def test_stages_on_an_empty_table(spark, sf_dir):
@@ -59,6 +72,20 @@ def test_stages_on_null_ids_and_extra_columns(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, rows, sf_dir)
         assert out.columns == rows.columns and 55 <= out.count() <= 60
+    packed = corpus_pipeline.packing(spark, rows.withColumns({"piece": rows["n_chars"], "sequence_id": rows["text"]}), sf_dir).collect()
+    assert {r.doc_id for r in packed} == {None} and sum(r.piece == 0 for r in packed) == 60
+
+
+def test_stages_on_repeated_and_very_long_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
+    r = random.Random(2)
+    long = " ".join(f"w{r.randrange(10**5)}" for _ in range(250_000))
+    rows = docs.unionByName(docs).unionByName(spark.createDataFrame([(900, long, "en", "s", len(long))], SCHEMA))
+    for name, stage in corpus_pipeline.STAGES:
+        out = [x.doc_id for x in stage(spark, rows, sf_dir).collect()]
+        want = 1 if name == "near_duplicates" else 2
+        assert 900 in out or name == "quality"
+        assert sum(out.count(i) == want for i in range(40)) >= 38 or name == "packing" and set(out) == {*range(40), 900}
 
 
 def test_every_operator_is_registered():

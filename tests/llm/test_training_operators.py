@@ -865,4 +865,99 @@ def test_levels_of_hosts(spark):
     want = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com:8080": ("com", "y.com"), "u:p@y.com": ("com", "y.com"), "10.0.0.1:80": ("", "10.0.0.1"), "[::1]:80": ("", "[::1]"), "y.com.": ("com", "y.com"), "localhost": ("localhost", "localhost"), "": ("", "")}
     rows = spark.createDataFrame([(h,) for h in want], "host string").withColumns(hosts.levels(F.col("host"))).collect()
     assert {x.host: (x.suffix, x.domain) for x in rows} == want
-    assert hosts.rule_of(F.lit("a.b"), F.lit("/"), [hosts.Rule("block", "b", "/"), hosts.Rule("allow", "b", "/")], "verdict") is not None
+    tied = [hosts.Rule("block", "b", "/x"), hosts.Rule("allow", "b", "/x")]
+    assert spark.range(1).select(hosts.rule_of(F.lit("a.b"), F.lit("/x"), tied, "verdict"), hosts.rule_of(F.lit("a.b"), F.lit("/x"), tied[::-1], "verdict")).first()[:] == ("allow", "block")
+
+
+# All operators on documents
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Prose, a text beyond the size that is handled at once, repeated rows, and texts of null and of repeated ids."""
+    r = random.Random(41)
+    long = " ".join(f"w{r.randrange(3000)}" for _ in range(300_000))
+    assert len(long) > _text.SEGMENT
+    texts = [prose(r, 120, 3000) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, long), (100, long), (101, long + " more"), (7, "another text of this id"), (None, texts[3]), (None, texts[3]), (None, None), (102, None), (103, "")]
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), [t for _, t in rows]
+
+
+def of_texts(rows, column):
+    out = {}
+    for x in rows:
+        out.setdefault(x.doc_id, []).append(getattr(x, column))
+    return out
+
+
+def test_odd_documents_in_scans(spark, odd):
+    df, texts = odd
+    bench = spark.createDataFrame([(1, " ".join(texts[60].split()[200_000:200_012])), (2, texts[3])], "item_id long, text string")
+    hit = of_texts(decontaminate.decontaminate(df, bench).collect(), "n_hit")
+    assert hit[100] == [12, 12] and hit[101] == [12] and hit[3] == [120] and hit[None].count(120) == 2 and hit[None].count(0) == 1 and sorted(hit[7]) == [0, 0]
+    assert Counter(x.doc_id for x in decontaminate.clean(df, bench).collect())[None] == 1
+    found = licenses.scan(df).collect()
+    assert len(found) == len(texts) and of_texts(found, "n_words")[100] == [300_000] * 2
+
+
+def test_odd_documents_in_quality(spark, odd):
+    df, texts = odd
+    rows = quality.judge(df, ("text",)).collect()
+    assert len(rows) == len(texts)
+    by_text = {}
+    for x in rows:
+        by_text.setdefault(x.kept_text, set()).add((x.kept, x.distance))
+    assert all(len(v) == 1 for v in by_text.values())  # equal rows are judged alike
+    assert of_texts(rows, "n_words")[100] == [300_000] * 2 and not any(of_texts(rows, "kept")[102] + of_texts(rows, "kept")[103])
+    same = df.limit(0).unionByName(spark.createDataFrame([(i, texts[0], "en", "s", 0) for i in range(80)], df.schema))
+    assert {(x.kept, round(x.distance, 6)) for x in quality.judge(same).collect()} == {(True, 0)}  # all distances tie
+
+
+def test_odd_documents_in_models(spark, odd):
+    df, texts = odd
+    held = fold(5) == 1
+    scores = of_texts(hmm.score(df, held).collect(), "score")
+    assert sum(map(len, scores.values())) == len(texts) and scores[100][0] == pytest.approx(scores[100][1]) and all(np.isfinite(v) for x in scores.values() for v in x)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(3, 1, 0), (3, 1, 1), (100, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, labels)
+    rows = of_texts(toxicity.score(df, model).collect(), "score")
+    assert sum(map(len, rows.values())) == len(texts) and rows[100][0] == rows[100][1] and rows[None].count(rows[3][0]) >= 2
+
+
+def test_odd_documents_in_near_duplicates(spark, odd):
+    df, texts = odd
+    rows = of_texts(neardup.classes(df).collect(), "class_id")
+    assert rows[100] == [100, 100] and rows[101] == [100] and rows[3] == [3] and rows[None].count(3) == 2 and rows[102] == [102] and rows[103] == [103]
+
+
+def test_quality_distances_are_those_of_least_determinants(spark):
+    """Against a plain form that sorts distances instead of binning them."""
+    r = np.random.default_rng(42)
+    mix = r.normal(size=(quality.P, quality.P))
+    data = np.concatenate([r.normal(size=(1200, quality.P)) @ mix, r.normal(12, 1, size=(250, quality.P))])
+    floor = np.diag(np.array(list(quality.FLOOR.values())) ** 2)
+    h = int(np.ceil(0.75 * len(data)))
+    best = np.inf
+    for _ in range(30):  # random starts
+        own = data[r.choice(len(data), quality.P + 1, False)]
+        for _ in range(30):
+            mu, cov = own.mean(0), np.cov(own.T, bias=True)
+            d = np.einsum("ij,jk,ik->i", data - mu, np.linalg.inv(cov + floor), data - mu)
+            own = data[np.argsort(d)[:h]]
+        best = min(best, np.linalg.slogdet(np.cov(own.T, bias=True) + floor)[1])
+    rows = spark.createDataFrame([("g", *map(float, x)) for x in data], "grp string, " + ", ".join(f"{f} double" for f in quality.FLOOR))
+    found = quality.estimate(rows).collect()[0]
+    scatter = np.array(found.scatter).reshape(quality.P, quality.P)
+    d = np.einsum("ij,jk,ik->i", data - np.array(found.mu), np.linalg.inv(scatter), data - np.array(found.mu))
+    own = data[np.argsort(d)[:h]]
+    assert np.linalg.slogdet(np.cov(own.T, bias=True) + floor)[1] <= best + 0.02
+    assert np.median(d) == pytest.approx(quality.chi2(0.5), rel=0.02) and (d[1200:] > quality.chi2(quality.CUTOFF)).all() and (d[:1200] < quality.chi2(quality.CUTOFF)).all()
+
+
+def test_small_groups_lean_on_their_language(spark):
+    r = np.random.default_rng(43)
+    draw = lambda lang, source, n, at: [(lang, source, *map(float, r.normal(at, 1, quality.P))) for _ in range(n)]
+    rows = spark.createDataFrame(draw("en", "big", 2000, 0) + draw("en", "small", 3, 9) + draw("en", "middle", 400, 9), "lang string, source string, " + ", ".join(f"{f} double" for f in quality.FLOOR))
+    mu = {x.grp: np.mean(x.mu) for x in quality.parameters(rows).collect()}
+    at = lambda source: mu[f'{{"lang":"en","source":"{source}"}}']
+    assert abs(at("big")) < 0.2 and at("small") < 2 and 7 < at("middle") < 9

@@ -51,11 +51,13 @@ def ambiguous(terms: DataFrame) -> DataFrame:
 
 
 def neighbours_of_hits(texts: DataFrame, name: str, most: int = 5) -> DataFrame:
-    """side, character, n: the characters most often next to a name, overlapping hits included. texts: text."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - len(name) + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(len(name))) == name)
-    hits = texts.where(F.contains("text", F.lit(name))).select("text", F.explode(at).alias("at"))
-    sides = F.array(F.struct(F.lit("left").alias("side"), F.when(F.col("at") > 1, F.substring(F.col("text"), F.col("at") - 1, F.lit(1))).otherwise("").alias("character")), F.struct(F.lit("right").alias("side"), F.substring(F.col("text"), F.col("at") + len(name), F.lit(1)).alias("character")))
-    counts = hits.select(F.inline(sides)).groupBy("side", "character").agg(F.count("*").alias("n"))
+    """side, character, n: the characters most often next to a name, overlapping hits included; "" at a text's ends. texts: text."""
+    here = f"(?=\\Q{name}\\E)"
+    left = F.regexp_extract_all("text", F.lit(rf"(?s)(?:(?<=(.))|^){here}"), F.lit(1))
+    right = F.regexp_extract_all("text", F.lit(rf"(?s)(?=\Q{name}\E(.?))"), F.lit(1))
+    named = lambda side: lambda x: F.struct(F.lit(side).alias("side"), x.alias("character"))
+    sides = F.concat(F.transform(left, named("left")), F.transform(right, named("right")))
+    counts = texts.where(F.contains("text", F.lit(name))).select(F.inline(sides)).groupBy("side", "character").agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.row_number().over(W.partitionBy("side").orderBy(F.col("n").desc(), "character"))).where(F.col("rank") <= most).drop("rank")
 
 

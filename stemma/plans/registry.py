@@ -8,9 +8,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.plans import knowledge, linking, retrieval, structure
+from stemma.plans import knowledge, linking, retrieval, site, structure
 
-MODULES: list[ModuleType] = [retrieval, structure, knowledge, linking]
+MODULES: list[ModuleType] = [retrieval, structure, knowledge, linking, site]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,10 +6,10 @@ combination is removed as often as the counts allow. A combination uses up one l
 multiplicity, so there are at most capacity * H(capacity) of them (about 7,700 for 1024) whatever the number of pieces.
 Pieces get their rank within their length and from it their bin and offset.
 
-Scale: the driver sees one count per length. Ranks come from windows over (length, salt), so a length that holds a
-third of the pieces is spread over many tasks, and from one running total of at most capacity * salts counts. The salt
-is a running number, so neither null ids nor repeated rows meet in one task; it is written with the piece, so a retried task
-reads the same.
+Scale: the driver sees one count per length. A piece that fills a sequence is one, without rank or shuffle. The others' ranks
+come from windows over (length, salt) and from the totals of the salts before; the salt is a running number and there is one
+for each ``RANKED`` pieces, so neither a frequent length nor null or repeated ids meet in one task. It is written with the
+piece, so a retried task reads the same.
 
 Defined cases: a null or empty text is the end token alone; an added token's string within a text is that token; repeated
 rows, null and repeated ids are packed each; a text of any length is cut into pieces; an empty table gives no rows.
@@ -32,7 +32,8 @@ from stemma.llm._spark import batch_of, cut_columnar
 
 CAPACITY = 1024
 END = 2
-_SALTS = 64
+#: Pieces of a salt, whose ranks within their length one task gives.
+RANKED = 500_000
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 _PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -180,18 +181,18 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, keep
     spark = docs.sparkSession
     kept = [f for f in _PIECE if f.name != "ids" or keep_ids]
     names = [f.name for f in kept]
-    cut_pieces = cut_columnar(pieces(docs, vocabulary, capacity, keep_ids).select(*names).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int")))
-    by_salt = {(r["length"], r["salt"]): r["n"] for r in cut_pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()}  # at most capacity * salts
-    counts: dict[int, int] = {}
-    before = []
-    for (n, salt), c in sorted(by_salt.items()):
-        before.append((n, salt, counts.get(n, 0)))
-        counts[n] = counts.get(n, 0) + c
+    number = F.monotonically_increasing_id()
+    cut_pieces = cut_columnar(pieces(docs, vocabulary, capacity, keep_ids).select(*names).withColumn("number", number))
+    whole, rest = cut_pieces.where(F.col("length") == capacity), cut_pieces.where(F.col("length") < capacity)
+    counts = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity
     table = spark.sparkContext.broadcast(slots(patterns(counts, capacity)))
-    base = spark.createDataFrame(before, "length long, salt int, base long")
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut_pieces.withColumn("nth", F.row_number().over(order)).join(F.broadcast(base), ["length", "salt"])
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(1 + sum(counts.values()) // RANKED)))
+    totals = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
+    base = totals.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
+    ranked = salted.withColumn("nth", F.row_number().over(W.partitionBy("length", "salt").orderBy("number"))).join(base, ["length", "salt"])
     ranked = ranked.select(*names, (F.col("base") + F.col("nth") - 1).alias("rank"))
     schema = pa.schema([*kept, ("sequence_id", pa.int64()), ("offset", pa.int64())])
     sql = ", ".join(["doc_id long, piece int, start long, length long, ids_crc32 long", *["ids binary"] * keep_ids, "sequence_id long, offset long"])
-    return ranked.mapInArrow(_place(table, schema), sql)
+    alone = whole.select(*names, (-F.col("number") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(_place(table, schema), sql).unionByName(alone)

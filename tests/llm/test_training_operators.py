@@ -172,7 +172,9 @@ def test_picks_follow_idf_and_agree_between_file_and_template():
 # 3
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("ranked", [500_000, 20])
+def test_packing(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
     import public_tokenizers
     from tokenizers import Tokenizer
 

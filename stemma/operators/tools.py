@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stemma.functions import law as L, text as T
-from stemma.operators import catalog, graph, retrieve, tree
+from stemma.operators import articles as A, catalog, graph, retrieve, tree
 
 #: The order in which related nodes' types are shown where groups are of one size.
 TYPES = ("hierarchy", "xref", "colaw", "lawref", "termref", "termlaw", "termrel", "termco")
@@ -36,6 +36,9 @@ class KnowledgeBase:
     citations: DataFrame
     terms: DataFrame
     laws: dict[str, str] = field(default_factory=dict)
+    #: The law that a number alone is read as; the laws whose articles come first among candidates.
+    default_law: str | None = None
+    first_laws: tuple[str, ...] = ()
 
     def opened(self, domains: list[str]) -> "KnowledgeBase":
         """The part of the base in these domains, terms kept; whatever refers to a closed node goes with it."""
@@ -43,7 +46,16 @@ class KnowledgeBase:
         ids = nodes.select(F.col("id").alias("node_id"))
         semi = lambda df: df.join(ids, "node_id", "left_semi")
         bodies = self.bodies.join(nodes.select("id"), "id", "left_semi")
-        return KnowledgeBase(nodes, bodies, graph.closed(self.edges, nodes), self.books.where(F.col("domain").isin(domains)), semi(self.articles), semi(self.citations), self.terms, self.laws)
+        return KnowledgeBase(nodes, bodies, graph.closed(self.edges, nodes), self.books.where(F.col("domain").isin(domains)), semi(self.articles), semi(self.citations), self.terms, self.laws, self.default_law, self.first_laws)
+
+    def asked(self, query: str) -> A.Asked | None:
+        """The article that a query names, and whether there is one of that number."""
+        read = L.parse_article_query(query, self.laws, {}, self.default_law)
+        if read is None:
+            return None
+        book = self.books.where(F.col("law_name") == read.law).select("domain").first()
+        there = self.articles.where((F.col("law") == read.law) & (F.col("number") == read.article)).limit(1).count()
+        return A.Asked(read.law, book["domain"] if book else "", read.article, read.explicit, not there)
 
     def _children(self) -> DataFrame:
         return self.edges.where("type = 'hierarchy'").select(F.col("src").alias("parent"), F.col("dst").alias("id"))
@@ -59,20 +71,29 @@ class KnowledgeBase:
         return (rows.where(F.col("domain").isin(domains) | (F.col("level") == "term")) if domains else rows).select("id", F.col("label").alias("title"), text.alias("body"), "domain")
 
     def search(self, query: str, domains: list[str] | None = None, limit: float | None = 8, context: float | None = 200, terms: bool = True) -> DataFrame:
-        """Text signals, the named article and those that cite it, and terms that the query contains, fused and ranked."""
+        """Text signals, the named article and those that cite it, and terms that the query contains, fused and ranked.
+
+        A hit whose title names another article, or that is of another law than the named one, is damped.
+        """
         limit, context = clamp(limit, 1, 30, 8), clamp(context, 40, 600, 200)
         w, corpus = retrieve.Weights(), self.corpus(domains, terms)
         text = retrieve.scored(corpus, query, w).select("id", "score", "via")
         parts = [text]
-        if asked := L.parse_article_query(query, self.laws, {}, None):
-            own = self.articles.where((F.col("law") == asked.law) & (F.col("number") == asked.article)).select(F.col("node_id").alias("id"), F.lit(w.article).alias("score"), F.lit("law").alias("via"))
-            citing = self.citations.where((F.col("law") == asked.law) & (F.col("article") == asked.article)).select(F.col("node_id").alias("id"), F.lit(w.cited).alias("score"), F.lit("cited").alias("via")).distinct()
+        asked = self.asked(query)
+        if asked and not asked.missing:
+            points = w.article if asked.explicit else w.article_weak
+            own = self.articles.where((F.col("law") == asked.law) & (F.col("number") == asked.number)).select(F.col("node_id").alias("id"), F.lit(points).alias("score"), F.lit("law").alias("via"))
+            citing = self.citations.where((F.col("law") == asked.law) & (F.col("article") == asked.number)).select(F.col("node_id").alias("id"), F.lit(w.cited).alias("score"), F.lit("cited").alias("via")).distinct()
             parts += [own, citing]
         if terms:
             low, key = query.lower(), F.lower("label")
             hit = self.terms.where((F.length("label") >= 2) & F.contains(F.lit(low), key))
             parts.append(hit.select("id", (w.term_page * F.least(F.lit(1.0), F.length("label") / float(max(1, len(low))))).alias("score"), F.lit("term").alias("via")))
-        best = retrieve.top(retrieve.fuse(*parts).join(corpus, "id"), limit)
+        rows = retrieve.fuse(*parts).join(corpus, "id")
+        if asked:
+            domains = [r[0] for r in self.books.where("coalesce(law_name, '') <> ''").select("domain").collect()]  # one row a book
+            rows = A.clashes(rows, asked, domains, w)
+        best = retrieve.top(rows, limit)
         return best.join(self._briefs().select("id", "book", "path"), "id", "left").select("id", F.col("title").alias("label"), "book", "path", "score", "via", T.excerpt(F.col("body"), query, context).alias("excerpt")).orderBy(F.col("score").desc(), T.natural_key(F.col("id")))
 
     def read_node(self, id_: str, mode: str = "own", offset: int = 0, limit: float | None = 4000) -> DataFrame:
@@ -117,6 +138,50 @@ class KnowledgeBase:
         top = citing.orderBy(F.col("n").desc(), "node_id").limit(clamp(limit, 5, 200, 60)).groupBy("law", "number").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", F.col("node_id").alias("id"))))).alias("cited_by"))
         return own.join(text, "node_id", "left").join(top, ["law", "number"], "left").select("law", "number", "node_id", F.col("own").alias("text"), "cited_by")
 
+    def law_answer(self, query: str) -> tuple[str, DataFrame]:
+        """What find_law means by a query, and its answer: an article, that there is none of the number, or candidates."""
+        asked = self.asked(query)
+        if asked and asked.explicit:
+            return ("no such article" if asked.missing else "article"), self.find_law(query)
+        bare = L.parse_article_query(query, {}, {}, "any")
+        if bare is None:
+            return "unknown law" if L._ARTICLE.search(query) else "nothing", self.find_law(query).limit(0)
+        rows = self.articles.withColumn("seq", F.lit(0))
+        return "candidates", A.candidates(rows, bare.article, list(self.first_laws)).drop("seq")
+
+    def occurrences(self, term: str, most: int = 40) -> DataFrame:
+        """Where a term is defined or used, defined first, with the citations of each place."""
+        ends = self.edges.where((F.col("type") == "termref") & (F.col("src") == term)).select(F.col("dst").alias("id"), "weight")
+        cited = self.citations.groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_set(F.concat("law", F.lit("第"), F.col("article").cast("string"), F.lit("条")))).alias("cites"))
+        top = ends.orderBy(F.col("weight").desc(), T.natural_key(F.col("id"))).limit(most)
+        return top.join(self._briefs().select("id", "label", "path"), "id").join(cited, "id", "left")
+
+    def browse_summary(self, group: str = "domain") -> DataFrame:
+        """Nodes by level for each value of a book's column."""
+        return self.nodes.join(self.books.select("domain", *([group] if group != "domain" else [])), "domain").groupBy(group, "level").agg(F.count("*").alias("n"))
+
+    def closed_books(self, every: DataFrame) -> DataFrame:
+        """Books of a larger base that this one doesn't open."""
+        return every.join(self.books.select("domain"), "domain", "left_anti")
+
+    def citing(self, law: str, article: int, domains: list[str] | None = None, limit: float | None = 50) -> DataFrame:
+        """The sections that cite an article, by how often, then by id."""
+        rows = self.citations.where((F.col("law") == law) & (F.col("article") == article)).groupBy(F.col("node_id").alias("id")).agg(F.sum("n").alias("n")).join(self._briefs(), "id")
+        rows = rows.where(F.col("domain").isin(domains)) if domains else rows
+        return rows.orderBy(F.col("n").desc(), T.natural_key(F.col("id"))).limit(clamp(limit, 1, 200, 50)).select("id", "label", "book", "path", "n")
+
+    def resource(self, uri: str) -> DataFrame:
+        """The node of kb://node/ID; the scheme is not looked at."""
+        kind, _, id_ = uri.partition("://")[2].partition("/")
+        if kind != "node" or not id_:
+            raise ValueError(f"no resource {uri}")
+        return self.read_node(id_, "full")
+
+    def entry(self, ids: list[str]) -> DataFrame:
+        """For containers, the node below that a reader starts with."""
+        asked = self.nodes.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+        return A.entries(self._children(), self.bodies, asked)
+
     def related(self, id_: str, types: list[str] | None = None, limit: float | None = 20) -> DataFrame:
         """Neighbours by type, larger groups first; total is the group's size before the limit."""
         ends = self.edges.where(F.col("src") == id_).select(F.col("dst").alias("id"), "type", "weight").unionByName(self.edges.where(F.col("dst") == id_).select(F.col("src").alias("id"), "type", "weight"))
@@ -126,8 +191,10 @@ class KnowledgeBase:
         kept = ranked.where(F.col("rank") <= clamp(limit, 1, 100, 20)).join(self._briefs().select("id", "label", "path"), "id", "left")
         return kept.orderBy(F.col("total").desc(), F.array_position(F.array(*map(F.lit, TYPES)), F.col("type")), "rank")
 
-    def list_books(self, offset: int = 0, limit: float | None = 20) -> DataFrame:
-        return catalog.page(self.books, [F.col("domain")], max(0, offset), clamp(limit, 1, 100, 20))
+    def list_books(self, offset: int = 0, limit: float | None = 20, detail: str = "full") -> DataFrame:
+        """Books by domain; brief: what names them only."""
+        books = self.books.select("domain", "title", "status") if detail == "brief" else self.books
+        return catalog.page(books, [F.col("domain")], max(0, offset), clamp(limit, 1, 100, 20))
 
     def catalogue(self) -> DataFrame:
         return catalog.rollup(self.books, ["country", "field", "doc_type"], {"n": F.count("*"), "chars": F.sum("chars")})

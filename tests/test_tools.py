@@ -66,6 +66,26 @@ def test_catalogue_and_neighbours(kb):
     assert clamp(float("nan"), 1, 5, 3) == 3 and clamp(99, 1, 5, 3) == 5 and clamp(None, 1, 5, 3) == 3
 
 
+def test_named_articles_in_tools(kb):
+    assert kb.asked("专利法第2条").domain == "pl" and kb.asked("专利法第99条").missing and kb.asked("刑法第1条") is None and kb.asked("第2条") is None
+    got = {r.id: r.score for r in kb.search("专利法第2条", limit=30).collect()}
+    assert got["pl-02"] >= 2400 and all(v < 300 for k, v in got.items() if k not in ("pl-02", "gl-1"))
+    assert [kb.law_answer(q)[0] for q in ("专利法第2条", "专利法第99条", "刑法第1条", "第10条", "创造性")] == ["article", "no such article", "unknown law", "candidates", "nothing"]
+    assert [r.node_id for r in kb.law_answer("第10条")[1].collect()] == ["pl-10"]
+
+
+def test_more_forms_of_answers(kb):
+    assert [(r.id, r.cites) for r in kb.occurrences("term-1").collect()] == [("gl-1", ["专利法第2条"])]
+    assert {(r.domain, r.level, r.n) for r in kb.browse_summary().collect()} >= {("gl", "section", 1), ("pl", "article", 3)}
+    assert [r.domain for r in kb.opened(["pl"]).closed_books(kb.books).collect()] == ["gl"]
+    assert [(r.id, r.n) for r in kb.citing("专利法", 2).collect()] == [("gl-1", 3)] and kb.citing("专利法", 2, ["pl"]).count() == 0
+    assert kb.resource("kb://node/pl-02").first().text.endswith("全文")
+    with pytest.raises(ValueError, match="kb://x"):
+        kb.resource("kb://x")
+    assert [(r.container, r.entry) for r in kb.entry(["pl"]).collect()] == [("pl", "pl-01")]
+    assert "country" not in kb.list_books(detail="brief").columns
+
+
 def test_closed_domains_leave_nothing_behind(kb):
     own = kb.opened(["pl"])
     assert {r.id for r in own.nodes.collect()} == {"pl", "pl-01", "pl-02", "pl-10", "term-1"} and own.citations.count() == 0

@@ -101,3 +101,11 @@ def star(members: DataFrame) -> DataFrame:
     """
     leader = members.where(F.col("label") == F.col("topic")).groupBy("topic").agg(F.min("id").alias("dst"))
     return members.join(leader, "topic").where(F.col("id") != F.col("dst")).select(F.col("id").alias("src"), "dst", F.lit("termrel").alias("type"), F.lit(0.8).alias("weight"))
+
+
+def hubs(edges: DataFrame, seeds: DataFrame, most: int = 120) -> DataFrame:
+    """id, degree of the nodes of highest degree and of the seeds, whatever their degree. seeds: id."""
+    rows = degree(edges).join(seeds.select("id").distinct().withColumn("seed", F.lit(True)), "id", "full")
+    rows = rows.select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("seed", F.lit(False)).alias("seed"))
+    top = rows.orderBy(F.col("degree").desc(), "id").limit(most)
+    return top.unionByName(rows.where("seed")).select("id", "degree").distinct()

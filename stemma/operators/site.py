@@ -136,3 +136,31 @@ def in_context(text: Column, at: Column, length: Column, around: int = 30) -> Co
 
 def located(pages: DataFrame, needles: DataFrame) -> DataFrame:
     return retrieve.located(pages, needles)
+
+
+def callouts(text: Column) -> Column:
+    """Array of (kind, title) of > [!kind] title."""
+    found = F.regexp_extract_all(text, F.lit(r"(?m)^>[ \t]*(\[![^\]\n]+\][+-]?[^\n]*)$"), F.lit(1))
+    return F.transform(found, lambda x: F.struct(F.lower(F.regexp_extract(x, r"\[!([^\]]+)\]", 1)).alias("kind"), F.trim(F.regexp_extract(x, r"\][+-]?(.*)$", 1)).alias("title")))
+
+
+def marks(text: Column) -> Column:
+    """Texts between == and ==."""
+    return F.regexp_extract_all(text, F.lit(r"==([^=\n]+)=="), F.lit(1))
+
+
+def inline_tags(text: Column) -> Column:
+    """Tags #a/b that follow white space or begin a line; numbers alone are none."""
+    found = F.regexp_extract_all(text, F.lit(r"(?:^|\s)#([\p{L}\p{N}_/-]+)"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda x: ~x.rlike("^[0-9]+$")))
+
+
+def without_comments(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)%%.*?%%", "")
+
+
+def front_list(value: Column) -> Column:
+    """A front-matter value as a list: [a, "b"], lines of - a, or a, b; without quotes, empties or repeats."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), r"^\[|\]$", ""), r"(?m)^\s*-\s+", ",")
+    parts = F.transform(F.split(bare, r"[,\n]"), lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", ""))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))

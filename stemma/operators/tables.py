@@ -89,11 +89,16 @@ def rejects(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("reasons", F.filter(marks, lambda x: x.isNotNull()))
 
 
-def unique_values(rows: DataFrame, key: str, values: str) -> DataFrame:
-    """key and those of its values that no other row has; a value that occurs twice has no winner."""
-    flat = rows.select(key, F.explode(F.array_distinct(values)).alias("value"))
-    once = flat.groupBy("value").agg(F.count("*").alias("n"), F.first(key).alias(key)).where("n = 1")
-    return once.select(key, "value")
+def unique_values(rows: DataFrame, key: str, values: str, title: str | None = None) -> DataFrame:
+    """key and those of its values that no other row has; a value that occurs twice has no winner.
+
+    With a title column, values that a path can't hold and a row's own title are left out as well.
+    """
+    own = [] if title is None else [title]
+    flat = rows.select(key, *own, F.explode(F.array_distinct(values)).alias("value"))
+    once = flat.groupBy("value").agg(F.count("*").alias("n"), F.first(key).alias(key), *[F.first(t).alias("_title") for t in own]).where("n = 1")
+    fine = once if title is None else once.where(~F.col("value").rlike(r'[\\/:*?"<>|#^\[\]]') & (F.trim("value") != "") & (F.col("value") != F.col("_title")))
+    return fine.select(key, "value")
 
 
 def hashed_pairs(vectors: DataFrame, id_: str, vector: str, least: float, size: int, tables: int = 48, planes: int = 6, seed: int = 7, bucket: int = 2000) -> DataFrame:
@@ -154,3 +159,45 @@ def similar_pairs(vectors: DataFrame, id_: str, vector: str, least: float, block
         return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "cosine": s[i, j][once]})
 
     return left.groupBy("k", "o").cogroup(right.groupBy("k", "o")).applyInPandas(meet, "a long, b long, cosine double")
+
+
+def replaced(base: DataFrame, part: DataFrame, owner: str, value: str) -> DataFrame:
+    """base with all rows of one owner replaced by part; missing columns are null. Repeating it changes nothing."""
+    return base.where(~F.col(owner).eqNullSafe(F.lit(value))).unionByName(part, allowMissingColumns=True)
+
+
+def shared(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.withColumn("shared", F.array_sort(F.array_distinct(F.array_intersect(a, b))))
+
+
+def unique(rows: DataFrame, columns: list[str]) -> None:
+    """An error that names the columns whose values occur more than once, nulls aside, with a sample."""
+    wrong = {c: r[c] for c in columns if (r := rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where("n > 1").orderBy(c).first())}
+    if wrong:
+        raise ValueError("; ".join(f"{c}: {v!r} occurs twice" for c, v in wrong.items()))
+
+
+def coverage(expected: DataFrame, found: DataFrame, key: str, number: str, pattern: str, sentinel: Column) -> DataFrame:
+    """check, faults: keys that are missing, keys too many, numbers that aren't 1..n, keys of another form, rows without the sentinel."""
+    faults = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("faults"))
+    numbers = gaps(found.withColumn("_all", F.lit(0)), "_all", number).where("NOT contiguous")
+    rows = [
+        faults("coverage", expected.select(key).distinct().join(found, key, "left_anti")),
+        faults("count", found.join(expected.select(key), key, "left_anti")),
+        faults("continuity", numbers),
+        faults("format", found.where(~F.col(key).cast("string").rlike(pattern))),
+        faults("sentinel", found.where(~F.coalesce(sentinel, F.lit(False)))),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def cross_check(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, fault of what two sources of one table don't agree on: a side that lacks the key, or fields that differ."""
+    b = theirs.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_{f}") for f in fields])
+    both = ours.join(b, F.col(key) == F.col("_k"), "full")
+    differ = F.array_join(F.filter(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull()), ",")
+    fault = F.when(F.col("_k").isNull(), "only ours").when(F.col(key).isNull(), "only theirs").otherwise(F.nullif(differ, F.lit("")))
+    return both.select(F.coalesce(key, "_k").alias(key), fault.alias("fault")).where("fault IS NOT NULL")

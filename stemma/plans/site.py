@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemma.functions import law, text as T
-from stemma.operators import audit, catalog, graph, lexicon, site, tree
+from stemma.operators import audit, catalog, graph, lexicon, site, tables, tree
 from stemma.operators.tools import KnowledgeBase
 from stemma.plans.linking import _values
 from stemma.sources import sinks
@@ -388,3 +388,85 @@ def kb_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["kb_node"] = """WITH k AS (SELECT 's' || l_suppkey AS law, l_partkey % 100 AS article, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 11 GROUP BY ALL ORDER BY n DESC, law, article LIMIT 50)
 SELECT 'c11' AS id, c_name || ' ' || c_mktsegment AS text, false AS has_more, (SELECT string_agg(law || '/' || article, ',' ORDER BY n DESC, law, article) FROM k) AS listed FROM customer WHERE c_custkey = 11
 UNION ALL SELECT 'n3', '', false, string_agg('c' || c_custkey, ',' ORDER BY c_custkey) FROM customer WHERE c_nationkey = 3"""
+
+
+# Checks and sets
+
+
+def coverage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers against the orders that name them."""
+    expected = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    found = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") + F.when(F.col("c_custkey") > 100, 2).otherwise(1)).alias("n"), "c_acctbal")
+    return tables.coverage(expected, found, "key", "n", "^[0-9]{1,3}$", F.col("c_acctbal") > 0)
+
+
+SQL["coverage_checks"] = """SELECT 'coverage' AS "check", count(DISTINCT o_custkey) AS faults FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'count', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 'continuity', CASE WHEN max(c_custkey) > 100 THEN 1 ELSE 0 END FROM customer UNION ALL SELECT 'format', count(*) FROM customer WHERE c_custkey > 999 UNION ALL SELECT 'sentinel', count(*) FROM customer WHERE c_acctbal <= 0"""
+
+
+def taxonomy_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    theirs = p.where("p_partkey % 10 <> 3").select((F.col("p_partkey") + F.when(F.col("p_partkey") % 100 == 99, 10**9).otherwise(0)).alias("p_partkey"), F.when(F.col("p_size") > 40, "other").otherwise(F.col("p_brand")).alias("p_brand"), F.when(F.col("p_size") > 45, "other").otherwise(F.col("p_type")).alias("p_type"))
+    return tables.cross_check(p.select("p_partkey", "p_brand", "p_type"), theirs, "p_partkey", ["p_brand", "p_type"])
+
+
+SQL["taxonomy_cross_check"] = """SELECT p_partkey, CASE WHEN p_partkey % 10 = 3 OR p_partkey % 100 = 99 THEN 'only ours' WHEN p_size > 45 THEN 'p_brand,p_type' ELSE 'p_brand' END AS fault FROM part WHERE p_partkey % 10 = 3 OR p_partkey % 100 = 99 OR p_size > 40
+UNION ALL SELECT p_partkey + 1000000000, 'only theirs' FROM part WHERE p_partkey % 100 = 99"""
+
+
+def replaced_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of region 2 are replaced by suppliers; doing it twice is the same."""
+    n = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.col("n_regionkey").cast("string").alias("level"), F.col("n_nationkey").alias("k"))
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("id"), F.lit("2").alias("level"))
+    return tables.replaced(tables.replaced(n, s, "level", "2"), s, "level", "2")
+
+
+SQL["replaced_union"] = "SELECT n_name AS id, n_regionkey::VARCHAR AS level, n_nationkey AS k FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT s_name, '2', NULL FROM supplier"
+
+
+def shared_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands that a supplier delivers both returned and unreturned."""
+    l = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sets = l.groupBy("l_suppkey").agg(F.collect_set(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40), F.col("p_brand"))).alias("a"), F.collect_set(F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") < 10), F.col("p_brand"))).alias("b"))
+    return tables.shared(sets, "a", "b").select("l_suppkey", F.array_join("shared", ",").alias("shared"))
+
+
+SQL["shared_items"] = """WITH s AS (SELECT l_suppkey, p_brand, bool_or(l_returnflag = 'R' AND l_quantity > 40) AS a, bool_or(l_returnflag = 'A' AND l_quantity < 10) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT l_suppkey, coalesce(string_agg(p_brand, ',' ORDER BY p_brand) FILTER (a AND b), '') AS shared FROM s GROUP BY l_suppkey"""
+
+
+def hub_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = _read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    return graph.hubs(l, spark.createDataFrame([("p1",), ("p2",), ("none",)], "id string"), 30)
+
+
+SQL["hub_seeds"] = """WITH b AS (SELECT 's' || l_suppkey AS id FROM lineitem UNION ALL SELECT 'p' || l_partkey FROM lineitem), d AS (SELECT id, count(*) AS degree FROM b GROUP BY id)
+SELECT * FROM (SELECT * FROM d ORDER BY degree DESC, id LIMIT 30) UNION SELECT id, degree FROM d WHERE id IN ('p1', 'p2') UNION SELECT 'none', 0"""
+
+_MARKED = [("> [!Note]+ A title\n> text ==one== and #tag/sub #12 %%hid ==x==%%", "note:A title", "one|x", "tag/sub", "one"), ("plain", "", "", "", ""), ("#top\n> [!tip]\n==a== ==b==", "tip:", "a|b", "top", "a|b")]
+
+
+def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(m[0],) for m in _MARKED], "text string")
+    t = F.col("text")
+    return rows.select("text", F.array_join(F.transform(site.callouts(t), lambda c: F.concat_ws(":", c.kind, c.title)), "|").alias("callouts"), F.array_join(site.marks(t), "|").alias("marks"), F.array_join(site.inline_tags(t), "|").alias("tags"), F.array_join(site.marks(site.without_comments(t)), "|").alias("seen"))
+
+
+SQL["page_marks"] = f"SELECT * FROM ({_values(_MARKED)}) AS t(text, callouts, marks, tags, seen)"
+
+_LISTS = [('["a", b, a]', "a|b"), ("a, 'b c'", "a|b c"), ("\n- x\n- y", "x|y"), ("", ""), ("one", "one")]
+
+
+def front_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(v,) for v, _ in _LISTS], "value string").select("value", F.array_join(site.front_list(F.col("value")), "|").alias("items"))
+
+
+SQL["front_lists"] = "SELECT * FROM (VALUES " + ", ".join("('" + v.replace("'", "''") + f"', '{i}')" for v, i in _LISTS) + ") AS t(value, items)"
+
+
+def unique_page_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.array(F.concat_ws(" ", "c_mktsegment", F.round("c_acctbal", -1).cast("long")), F.col("c_name"), F.concat(F.lit("a/"), "c_custkey")).alias("aliases"))
+    return tables.unique_values(c, "c_custkey", "aliases", "c_name")
+
+
+SQL["unique_page_aliases"] = "SELECT any_value(c_custkey) AS c_custkey, c_mktsegment || ' ' || round(c_acctbal, -1)::BIGINT AS value FROM customer GROUP BY value HAVING count(*) = 1"

@@ -77,11 +77,11 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
 
 
 def test_the_rest_passes_without_the_training_data_operators(tmp_path):
-    """All other tests are collected in a copy without both folders and the pipeline; those of the smaller files run there."""
+    """All other tests are collected in a copy without both folders and the pipeline; those of the smallest file run there."""
     root = os.path.dirname(os.path.abspath(entry.__file__))
     copy = shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache", "*.json"))
     run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *args], capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)}, cwd=copy)
     found = run("--collect-only", "tests")
     assert found.returncode == 0 and "error" not in found.stdout.lower(), found.stdout
-    passed = run("tests/test_site.py", "tests/test_tools.py")
+    passed = run("tests/test_site.py")
     assert passed.returncode == 0, passed.stdout

@@ -36,6 +36,65 @@ def nodes(document: str, text: str) -> list[dict]:
     return out
 
 
+#: What tells a note on how a law was passed.
+_PASSED = re.compile(r"通过|公布|发布|施行|修订|修正|批准")
+_NUMBERED = re.compile(r"^[ \t]*([0-9]+(?:\.[0-9]+)*)[ \t\u3000]+(\S.{0,39})$")
+
+
+def without_passing_note(text: str) -> str:
+    """The text without the bracketed notes on when it was passed that stand between its title and its body."""
+    lines, out, before = text.split("\n"), [], True
+    for line in lines:
+        bare = line.strip()
+        if before and re.fullmatch(r"[（(].*[）)]", bare) and _PASSED.search(bare):
+            continue
+        before = before and (not bare or bare.startswith("#"))
+        out.append(line)
+    return "\n".join(out)
+
+
+def numbered_headings(text: str, marks: int = 2) -> str:
+    """Lines such as 3.2.1 Title as headings, with a mark for each number beyond ``marks`` - 1.
+
+    A number counts only if it continues what is there: the next at its level, or the first below the last heading. So years,
+    amounts and items of lists stay text.
+    """
+    seen: list[int] = []
+    out = []
+    for line in text.split("\n"):
+        m = _NUMBERED.match(line)
+        if m:
+            own = [int(x) for x in m[1].split(".")]
+            n = len(own)
+            follows = own[:-1] == seen[: n - 1] and len(seen) >= n - 1 and own[-1] == (seen[n - 1] + 1 if len(seen) >= n else 1)
+            if follows:
+                seen = own
+                out.append(f"{'#' * (marks + n - 1)} {m[1]} {m[2].strip()}")
+                continue
+        out.append(line)
+    return "\n".join(out)
+
+
+def lifted(found: list[dict]) -> list[dict]:
+    """Nodes without a single top heading that only names the document: its children become the top, one level up."""
+    tops = [n for n in found if n["level"] == 1]
+    if len(tops) != 1 or tops[0]["own"] or len(found) < 2:
+        return found
+    top = tops[0]["id"]
+    return [n | {"level": n["level"] - 1, "parent": None if n["parent"] == top else n["parent"], "breadcrumb": n["breadcrumb"][1:]} for n in found if n["id"] != top]
+
+
+def law_nodes(law: str, text: str, suffix: str = "") -> list[dict]:
+    """Nodes of a law's text: the outline without the passing notes, with key (law and article number, or None) and title."""
+    from stemma.functions.cite import number
+
+    out = []
+    for n in lifted(nodes(law, without_passing_note(text))):
+        m = re.match(r"第([0-9]+|[一二三四五六七八九十百千零]+)条", n["label"])
+        out.append(n | {"key": f"{law}第{number(m[1])}条" if m and number(m[1]) else None, "title": n["label"] + (suffix if n["level"] == 1 else "")})
+    return out
+
+
 NODES = "array<struct<id:string,parent:string,level:int,label:string,breadcrumb:array<string>,own:string,full:string>>"
 
 

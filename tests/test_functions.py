@@ -83,6 +83,18 @@ def test_outline():
     assert outline.nodes("d", "") == []
 
 
+def test_numbered_headings_continue_what_is_there():
+    text = "1 One\n1.1 A\ntext\n2024 year\n1.3 skipped\n1.2 B\n1.2.1 deep\n3 no\n2 Two\n5.1 amount of it"
+    assert outline.numbered_headings(text) == "## 1 One\n### 1.1 A\ntext\n2024 year\n1.3 skipped\n### 1.2 B\n#### 1.2.1 deep\n3 no\n## 2 Two\n5.1 amount of it"
+
+
+def test_law_nodes():
+    text = "# 某法\n（1984年3月12日通过）\n\n（2020年修正）\n## 第一条 目的\n（本条说明）文\n## 第十二条\n文"
+    assert outline.without_passing_note(text) == "# 某法\n\n## 第一条 目的\n（本条说明）文\n## 第十二条\n文"
+    got = outline.law_nodes("某法", text, "（2020年施行）")
+    assert [(n["level"], n["key"], n["title"], n["parent"]) for n in got] == [(1, "某法第1条", "第一条 目的（2020年施行）", None), (1, "某法第12条", "第十二条（2020年施行）", None)]
+
+
 def test_linker():
     linker = outline.Linker([("ab", "1"), ("abc", "2"), ("b", "3"), ("x", "4"), ("x", "5"), (" ", "6")])
     assert linker.links("abcab b x [b](u) ab") == [(0, "abc", "2"), (3, "ab", "1"), (6, "b", "3")]

@@ -102,11 +102,12 @@ def postings(corpus: DataFrame) -> DataFrame:
 
 
 def frequencies(corpus: DataFrame) -> DataFrame:
-    """token, df (rows that hold it), cf (how often it occurs) of title and body; one shuffle, of counts that are added up before it."""
-    tokens = F.array_sort(F.concat(T.tokens(F.col("title")), T.tokens(F.col("body"))))
-    rows = corpus.select(tokens.alias("t")).where(F.size("t") > 0)
-    fresh = F.zip_with("t", F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.size("t") - 1)), lambda x, before: F.struct(x.alias("token"), F.when(x.eqNullSafe(before), 0).otherwise(1).alias("new")))
-    return rows.select(F.inline(fresh)).groupBy("token").agg(F.sum("new").alias("df"), F.count("*").alias("cf"))
+    """token, df (rows that hold it), cf (how often it occurs) of title and body.
+
+    Counts are added up by row and token first; sorting a row's tokens in place instead, for one shuffle, took twice the time.
+    """
+    rows = corpus.select("id", F.explode(F.concat(T.tokens(F.col("title")), T.tokens(F.col("body")))).alias("token"))
+    return rows.groupBy("id", "token").agg(F.count("*").alias("times")).groupBy("token").agg(F.count("*").alias("df"), F.sum("times").alias("cf"))
 
 
 def located(rows: DataFrame, needles: DataFrame, most: int = 100_000) -> DataFrame:

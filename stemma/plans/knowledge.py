@@ -116,11 +116,16 @@ SELECT user_id, event_id, change FROM r WHERE n = 1 AND NOT (first = 'add' AND c
 
 
 def anchor_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A marked "the" of each document's fortieth character on, found again after a line was put before it."""
+    """A marked "the" of each document's fortieth character on, found again after a line was put before it.
+
+    Marks carry 64 characters of context, as eight don't tell repeats apart that are shorter than the line. Only a "the" before
+    the fortieth character can lie nearer than the moved one, and then the mark's whole text before it is among the 64.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.locate("the", "text", 41) > 0)
-    at = F.locate("the", "text", 41) - 1
-    rows = docs.select("doc_id", F.concat(F.lit("New.\n"), "text").alias("now"), at.alias("start"), F.substring(F.col("text"), at - 7, F.lit(8)).alias("prefix"), F.substring(F.col("text"), at + 4, F.lit(8)).alias("suffix"))
-    found = changes.anchored(F.col("now"), F.lit("the"), F.col("prefix"), F.col("suffix"), F.col("start"))
+    at, context = F.locate("the", "text", 41) - 1, 64
+    prefix, suffix = F.right(F.left("text", at), F.lit(context)), F.substring(F.col("text"), at + 4, F.lit(context))
+    rows = docs.select("doc_id", F.concat(F.lit("New.\n"), "text").alias("now"), at.alias("start"), prefix.alias("prefix"), suffix.alias("suffix"))
+    found = changes.anchored(F.col("now"), F.lit("the"), F.col("prefix"), F.col("suffix"), F.col("start"), context)
     return rows.select("doc_id", "start", found.cast("int").alias("found")).withColumn("kept", F.col("found") == F.col("start") + 5)
 
 

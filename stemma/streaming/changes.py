@@ -18,19 +18,22 @@ def coalesced(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
 def anchored(text: Column, exact: Column, prefix: Column, suffix: Column, start: Column, context: int = 8) -> Column:
     """Where a marked passage stands now (0-based): 4 points each for equal context before and after, less distance / 1000.
 
-    Null where the passage is gone.
+    Null where the passage is gone. Only the nearest place on either side can be the best of those with the same points, so
+    each form of context is sought twice, from ``start`` on and, in the reversed text, back from it.
     """
-    pieces = F.split(text, F.regexp_replace(exact, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), -1)
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * F.length(exact))
-
-    def points(at: Column) -> Column:
-        before = F.substring(F.substring(text, F.lit(1), at), F.greatest(at - context + 1, F.lit(1)), F.lit(context))
-        after = F.substring(text, at + F.length(exact) + 1, F.lit(context))
-        same = F.when(before.endswith(F.right(prefix, F.lit(context))), 4).otherwise(0) + F.when(after.startswith(F.left(suffix, F.lit(context))), 4).otherwise(0)
-        return same - F.abs(at - start) / 1000.0
-
-    best = F.array_max(F.transform(ends, lambda at: F.struct(points(at).alias("points"), (-at).alias("at"))))
-    return F.when((F.size(pieces) > 1) & (exact != ""), -best.at)
+    before, after, start, back = F.right(prefix, F.lit(context)), F.left(suffix, F.lit(context)), F.coalesce(start, F.lit(0)), F.reverse(text)
+
+    def nearest(points: int, lead: Column, rest: Column) -> list[Column]:
+        whole = F.concat(lead, exact, rest)
+        later = F.position(whole, text, F.greatest(start - F.length(lead) + 1, F.lit(1)))
+        past = F.length(text) - F.length(whole) + F.length(lead) + 1
+        earlier = F.position(F.reverse(whole), back, F.greatest(past - start + 1, F.lit(1)))
+        places = [(later, later - 1 + F.length(lead)), (earlier, past - earlier)]
+        return [F.when(found > 0, F.struct((points - F.abs(at - start) / 1000.0).alias("points"), (-at).alias("at"))) for found, at in places]
+
+    none = F.lit("")
+    best = F.array_max(F.array(*nearest(8, before, after), *nearest(4, before, none), *nearest(4, none, after), *nearest(0, none, none)))
+    return F.when(exact != "", -best.at)
 
 
 def tumbling(events: DataFrame, size: str, late: str) -> DataFrame:

@@ -124,6 +124,23 @@ def test_anchor_prefers_its_context(spark):
     assert got[1] is None and got[0] == 8
 
 
+def test_anchor_equals_a_search_of_all_places(spark):
+    import random
+
+    def best(text, exact, prefix, suffix, start, context):
+        at = [i for i in range(len(text)) if exact and text.startswith(exact, i)]
+        points = lambda i: 4 * text[:i].endswith(prefix[-context:]) + 4 * text.startswith(suffix[:context], i + len(exact)) - abs(i - start) / 1000
+        return max(at, key=lambda i: (points(i), -i), default=None)
+
+    r = random.Random(3)
+    some = lambda most: "".join(r.choices("ab😀.", (5, 3, 1, 1), k=r.randint(0, most)))
+    given = [(some(30) * r.choice([1, 1, 300]), some(2), some(10), some(10), r.randint(-3, 40) * r.choice([1, 1, 200])) for _ in range(600)]
+    df = spark.createDataFrame([(i, *g) for i, g in enumerate(given)], "id int, t string, e string, p string, s string, at int")
+    for context in (2, 8):
+        got = df.select("id", changes.anchored(F.col("t"), F.col("e"), F.col("p"), F.col("s"), F.col("at"), context).alias("found")).collect()
+        assert {x.id: x.found for x in got} == {i: best(*g, context) for i, g in enumerate(given)}
+
+
 @pytest.mark.parametrize("case", ["empty"])
 def test_operators_on_empty_tables(spark, case):
     e = spark.createDataFrame([], "src string, dst string, type string, weight double, seq int")

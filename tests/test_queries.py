@@ -58,6 +58,17 @@ def test_anchors_are_sought_in_whole_texts(spark, tmp_path):
     assert sorted((r.doc_id, r.start, r.kept) for r in rows) == [(0, 4000, True), (2, 40, True), (3, 60, True)]
 
 
+def test_anchors_in_repeated_texts_equal_the_sql(spark, tmp_path):
+    stems = ["the ", "Sthe. ", "Thernthe ", "Ththes ", "é the\n", "the", "New.\nthe", "New.\n", "w.\nthe ", "\nthe"]
+    texts = [" " * n + stem * 30 + end for stem in stems for n in (0, 3, 39) for end in ("", "the", " the end")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["anchor_after_edit"](spark, str(tmp_path)).select("doc_id", "start", "found", "kept").collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(registry.oracle_sql()["anchor_after_edit"]).fetchall()
+    assert len(want) > 80 and sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.oracle_sql()) <= set(registry.queries()) <= set(entry.queries())
